@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, packing, sentencepiece_codec, sharding, toxicity
+from gridloom.llm import chat, embedding_dedup, language, near_dedup, packing, sentencepiece_codec, sharding, toxicity, vector_search
 from gridloom.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,33 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query("op7_minhash_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document at a similarity of 0.8 over five-word shingles."""
+    found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+@_query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, from its text, its markup and its address."""
+    pages, docs = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    html, url = F.col("html"), F.col("url")
+    evidence = {"text": language.html_text(html), "declared": language.html_lang(html), "host": language.url_host(url), "suffix": language.url_suffix(url)}
+    rows = pages.select("page_id", "html", "url", evidence["declared"].alias("declared"))
+    return language.identify(rows, model, **evidence, drop=("html", "url"))
+
+
+@_query("op9_collision_search")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every query row, a query being a row whose vec_id is divisible by 20."""
+    return vector_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query("op10_embedding_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
