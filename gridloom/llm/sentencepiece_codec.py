@@ -17,7 +17,9 @@ is replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import cached
+from gridloom.llm.wordhash import slices
 
 MARK = "▁"
-WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words that a worker remembers between batches.
 REMEMBERED = 700_000
 
@@ -46,10 +48,11 @@ class Codec:
         plain = [k for k in range(n) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))]
         self.ids = {model.id_to_piece(k): k for k in plain}
         self.scores = {model.id_to_piece(k): model.get_score(k) for k in plain}
-        #: the longest piece that ends with these two characters
+        #: the longest piece that ends with these three characters
         self.reach: dict[str, int] = {}
         for piece in self.ids:
-            self.reach[piece[-2:]] = max(len(piece), self.reach.get(piece[-2:], 1))
+            self.reach[piece[-3:]] = max(len(piece), self.reach.get(piece[-3:], 1))
+        self.cut = re.compile(f"{MARK}*{self._separate()}|{MARK}*[^{MARK}]+|{MARK}+").findall
         self.bytes = {int(model.id_to_piece(k)[3:5], 16): k for k in range(n) if model.is_byte(k)}
         self.unigram = (_model_type(model_file) == 1) if unigram is None else unigram
         self.least = min(self.scores.values()) - 10
@@ -59,11 +62,28 @@ class Codec:
         for value, k in self.bytes.items():
             self.text[k] = bytes([value])
         self.text[self.unknown] = " ⁇ ".encode()
+        # the caches hold no cycles, and walking them over and over costs more than it frees
+        gc.disable()
         self.code = {piece: k.to_bytes(4, "little") for piece, k in self.ids.items()}
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.built: dict[str, bool] = {}
 
+    def _separate(self) -> str:
+        """A pattern for letters and digits up to a punctuation mark that no piece has behind the last of them.
+
+        No segmentation crosses such a place, so words are cut there too, and the same word with and without a comma is
+        encoded once.
+        """
+        joined: dict[str, set[str]] = {mark: set() for mark in string.punctuation}
+        for piece in self.ids:
+            for a, b in zip(piece, piece[1:], strict=False):
+                if b in joined and re.match(r"\w", a):
+                    joined[b].add(a)
+        marks = "".join(m for m, letters in joined.items() if len(letters) <= 8)
+        kept = "".join(sorted(set().union(*(joined[m] for m in marks))))
+        return rf"\w*[^\W{kept}](?=[{re.escape(marks)}])" if marks else r"(?!)"
+
     def _merged(self, text: str) -> list[str]:
         """The merges over a short string: the best-scored adjacent pair first, the leftmost among equals."""
         parts = list(text)
@@ -123,7 +143,7 @@ class Codec:
 
     def _state(self, word: str, end: int, states: list[tuple[float, str]]) -> tuple[float, str]:
         scores, lone = self.scores, word[end - 1]
-        first = max(0, end - self.reach.get(word[max(0, end - 2) : end], 1))
+        first = max(0, end - self.reach.get(word[max(0, end - 3) : end], min(end, 2)))
         if self.unigram:
             best = (states[end - 1][0] + scores.get(lone, self.least), lone)
             for start in range(first, end - 1):
@@ -151,7 +171,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, four little-endian bytes an id."""
-        marked = [WORDS.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
+        marked = [self.cut((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
         new = {w for ws in marked for w in ws}.difference(self.words)
@@ -206,9 +226,9 @@ def encode(docs: DataFrame, model_file: str, *, text: str = "text", into: str =
     def ids_of(texts: pd.Series) -> pd.Series:
         codec = cached(("sentencepiece", model_file), lambda: Codec(model_file))
         values, out = texts.tolist(), []
-        for at in range(0, len(values), 256):
-            out += codec.encode(values[at : at + 256])
-        return pd.Series(out)
+        for a, z in slices(values, 4_000_000):
+            out += codec.encode(values[a:z])
+        return pd.Series(out, dtype=object)
 
     return docs.withColumn(into, ids_of(F.col(text)))
 
