@@ -17,7 +17,7 @@ If the labels name no row of one of the classes there is nothing to learn: every
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,23 +81,34 @@ def _expand(x: np.ndarray) -> np.ndarray:
 
 
 def _trained(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary's content; where there is too little to train on, the samples themselves."""
+    """A trained dictionary's content; where the distinct samples fit into it as they are, those, the commonest last."""
+    distinct = [x for x, _ in Counter(samples).most_common()]
+    if sum(map(len, distinct)) <= size:
+        return b"".join(reversed(distinct))
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()[-size * 3 // 4 :]
     except zstandard.ZstdError:
-        return b" ".join(dict.fromkeys(samples))[-size:]
+        return b"".join(distinct)[-size:]
 
 
-def _contexts(texts: list[str]) -> dict[str, set[str]]:
-    """The distinct words before each word: copies of a text add nothing."""
+def _starts(word: str) -> list[str]:
+    """What a word is counted by: itself and its beginnings of four to seven characters."""
+    return [word[:n] for n in range(4, min(8, len(word)))] + [word]
+
+
+def _contexts(texts: list[str]) -> tuple[dict[str, set[str]], int]:
+    """The distinct words before each word or beginning, and how many there are of all words: copies add nothing."""
     seen: dict[str, set[str]] = defaultdict(set)
+    total = set()
     for text in texts:
         before = ""
         for word in text.lower().split():
-            if len(seen[word]) < 64:
-                seen[word].add(before)
+            total.add((before, word))
+            for part in _starts(word):
+                if len(seen[part]) < 256:
+                    seen[part].add(before)
             before = word
-    return seen
+    return seen, max(1, len(total))
 
 
 def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
@@ -105,11 +116,10 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     base = len(toxic) / max(1, len(toxic) + len(ordinary))
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", (), (), (), base)
-    a, b = max(1, len(toxic) * 3 // 5), max(1, len(ordinary) * 3 // 5)
-    bad, good = _contexts(toxic[:a]), _contexts(ordinary[:b])
-    n_bad, n_good = max(1, sum(map(len, bad.values()))), max(1, sum(map(len, good.values())))
-    telling = {w for w, c in bad.items() if len(c) >= 4 and len(c) / n_bad > 8 * (len(good.get(w, ())) + 0.5) / n_good}
-    samples = [f" {w}".encode("utf-8", "replace") for t in toxic[:a] for w in t.lower().split() if w in telling]
+    a, b = max(1, len(toxic) * 7 // 10), max(1, len(ordinary) * 7 // 10)
+    (bad, n_bad), (good, n_good) = _contexts(toxic[:a]), _contexts(ordinary[:b])
+    telling = {w for w, c in bad.items() if len(c) >= 6 and len(c) / n_bad > 12 * (len(good.get(w, ())) + 1) / n_good}
+    samples = [f" {w}".encode("utf-8", "replace") for t in toxic[:a] for w in t.lower().split() if not telling.isdisjoint(_starts(w))]
     common = _trained(DICTIONARY, [w for t in ordinary[:b] for w in windows(t, 8)][:60_000]) or b" "
     special = _trained(TOXIC_DICTIONARY, samples[:200_000]) or b" "
     rest_bad, rest_good = toxic[a:] or toxic, ordinary[b:] or ordinary
