@@ -5,9 +5,10 @@ at each element from its hash alone: a dart has a rank, a coordinate and a heigh
 element's weight. Per coordinate the hit of smallest rank is the signature, so two texts agree in a coordinate with the
 probability of their (weighted) Jaccard similarity, and a text throws about k ln k + 2k darts however many elements it has.
 
-Rows of bands meet in buckets. A bucket does not compare all with all: its members are compared with its smallest and its
-largest key, linked texts become components, and only members of different components which still share a bucket are then
-compared with each other. Comparisons are exact, on the sets of shingle hashes. With 24 bands of 5 rows a pair at 0.8 is
+Rows of bands meet in buckets. A bucket does not compare all with all: in turns, its members are compared with two pivots,
+which change from turn to turn, and linked texts become components. Once the pairs of different components that still
+share buckets are no more than the buckets' members (or after MOST_TURNS turns), all of these are compared, so that no link
+between components is lost. Comparisons are exact, on the sets of shingle hashes. With 24 bands of 5 rows a pair at 0.8 is
 missed with probability 7e-5, one at 0.85 with 2e-6.
 
 Texts of the same words are one class before anything else; a class is compared once, whatever its copies. Null texts,
@@ -26,12 +27,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.common import stored
 from gridloom.llm.components import connected
 from gridloom.llm.wordhash import grams, mix, slices, words
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
+MOST_TURNS = 12
 #: Below so many keys a table of keys is broadcast; above, joined by shuffling.
 BROADCAST_KEYS = 1_000_000
 _CDF = np.cumsum([np.exp(-1.0)] + [np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(1, 16)])
@@ -117,9 +120,9 @@ def _signed(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame
     """(doc_id, key, buckets): key is null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = whole.column("text").to_pylist()
-            for a, z in slices(texts, 400_000):
+            for a, z in slices(texts, 200_000):
                 of, value, weight, keys = shingles(texts[a:z])
                 sig = signatures(of, value, weight if weighted else np.ones_like(weight), z - a, bands * rows)
                 hashes = _band_hashes(sig, bands)
@@ -131,7 +134,7 @@ def _signed(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, key binary, buckets array<long>")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _sets(texts: pd.Series) -> pd.Series:
     """The sorted shingle hashes, four bytes each."""
     values, out = texts.tolist(), []
@@ -171,25 +174,32 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = BAN
     usable = signed.where("key is not null and doc_id is not null")
     classes = stored(usable.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("buckets").alias("buckets")))
     members = classes.select("key", F.explode("buckets").alias("bucket"))
-    pivots = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("low <> high")
-    # buckets of two or more, with their members: all that later steps need of the bands
-    met = stored(members.join(pivots, "bucket").select("bucket", "key", "low", "high"))
-    ends = met.select("key", F.explode(F.array("low", "high")).alias("other")).where("key <> other")
-    pairs = stored(_ordered(ends).distinct())
+    shared = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket")
+    # the members of buckets of two or more: all that later steps need of the bands
+    met = stored(members.join(shared, "bucket").select("bucket", "key"))
     involved = stored(met.select("key").distinct().join(classes.select("key", "first"), "key"))
     sets = stored(_shingle_sets(docs, involved))
-    links = stored(_verified(pairs, sets, threshold))
-    parts = connected(links)
-    # members of different components that still share a bucket
-    mixed = met.select("bucket", "key").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
-    split = mixed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    open_ = stored(mixed.join(split, "bucket").select("bucket", "key", "part"))
-    left, right = open_.alias("l"), open_.alias("r")
-    crossed = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.part") < F.col("r.part"))).select(F.col("l.key").alias("key"), F.col("r.key").alias("other"))
-    fresh = _ordered(crossed).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(_verified(fresh, sets, threshold))
-    if more.limit(1).count():
-        parts = connected(links.unionByName(more))
+    open_, tested, links, parts = met.withColumn("part", F.col("key")), None, None, None
+    for turn in range(MOST_TURNS + 1):
+        # how many pairs of different components still share buckets
+        sizes = open_.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+        rows, crossed = sizes.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()
+        if not crossed:
+            break
+        last = turn > 0 and crossed <= rows or turn == MOST_TURNS
+        fresh = _ordered(_all_open(open_) if last else _pivot_pairs(open_, turn)).distinct()
+        fresh = stored(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"))
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        more = stored(_verified(fresh, sets, threshold))
+        links = more if links is None else links.unionByName(more)
+        parts = connected(links)
+        if last:
+            break
+        joined = met.join(parts.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("part"))
+        split = joined.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+        open_ = stored(joined.join(split, "bucket"))
+    if parts is None:
+        parts = met.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
     own = classes.select("key", "first", "copies").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
     linked = own.where("component is not null").groupBy("part").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     found = own.join(linked, "part", "left").select("key", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"))
@@ -197,6 +207,21 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = BAN
     return met_ids.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
+def _pivot_pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """Each member with two others of its bucket, which change from turn to turn, if their components differ."""
+    ranked = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.col("key"), F.col("part"))
+    pivots = open_.groupBy("bucket").agg(F.min(ranked).alias("low"), F.max(ranked).alias("high"))
+    met = open_.join(pivots, "bucket").select("key", "part", F.explode(F.array("low", "high")).alias("p"))
+    return met.where("part <> p.part").select("key", F.col("p.key").alias("other"))
+
+
+def _all_open(open_: DataFrame) -> DataFrame:
+    """Every two members of a bucket of different components."""
+    left, right = open_.alias("l"), open_.alias("r")
+    crossed = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.part") < F.col("r.part")))
+    return crossed.select(F.col("l.key").alias("key"), F.col("r.key").alias("other"))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     low: Column = F.least("key", "other")
     return pairs.select(low.alias("a"), F.greatest("key", "other").alias("b"))
@@ -212,7 +237,7 @@ def _shingle_sets(docs: DataFrame, involved: DataFrame) -> DataFrame:
     return keyed.where("key is not null").groupBy("key").agg(F.first("set").alias("set"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _keys(texts: pd.Series) -> pd.Series:
     values, out = texts.tolist(), []
     for a, z in slices(values, 400_000):

@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.common import stored
 from gridloom.llm.fm_index import FMIndex
@@ -72,7 +73,7 @@ def _by_text(docs: DataFrame, table: DataFrame, entries: str) -> DataFrame:
     return F.broadcast(table) if n <= BROADCAST_ROWS and m <= BROADCAST_ENTRIES else table
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _key(texts: pd.Series) -> pd.Series:
     values, out = texts.tolist(), []
     for a, z in slices(values, 400_000):
