@@ -1,10 +1,4 @@
-"""The registered queries and the SQL that checks them."""
+"""All queries of the grid engine."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from gridloom.plans import grid_queries, plant_queries, source_queries, table_queries  # noqa: F401
+from gridloom.plans.registry import ORACLES, QUERIES  # noqa: F401
