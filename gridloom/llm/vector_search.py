@@ -26,18 +26,18 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import stored
 from gridloom.llm.vectors import matrix, numbered, usable
 
-PROJECTIONS, COLLIDE, WIDEN, START = 96, 0.6, 1.15, 0.5
+PROJECTIONS, COLLIDE, WIDEN, START = 96, 0.6, 1.12, 0.8
 #: Queries whose counts a task holds at a time.
 AT_ONCE = 64
 #: The share of a block's vectors that a query verifies at least.
-VERIFIED = 0.15
+VERIFIED = 0.12
 
 
 class CollisionIndex:
     """Sorted projections of a block of vectors."""
 
     def __init__(self, vectors: np.ndarray, longest: float, projections: int = PROJECTIONS, seed: int = 7):
-        self.vectors = vectors
+        self.vectors, self.single, self.longest = vectors, vectors.astype(np.float32), longest
         unit = vectors / longest
         rest = np.sqrt(np.maximum(0.0, 1 - (unit * unit).sum(axis=1)))
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
@@ -73,10 +73,18 @@ class CollisionIndex:
             half *= widen
 
 
-def best(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: int, query: np.ndarray, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of the given rows: their places and scores. Equal vectors get equal sums."""
+def best(index: CollisionIndex, ids: np.ndarray, rows: np.ndarray, own: int, query: np.ndarray, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of the given rows: their places and scores. Equal vectors get equal sums.
+
+    Single precision tells which rows can be among the k, with a margin of many times its error; those are computed in
+    double precision.
+    """
     at = at[rows[at] != own]
-    score = (vectors[at] * query).sum(axis=1)
+    if len(at) > 4 * k:
+        rough = index.single[at] @ query.astype(np.float32)
+        margin = 1e-6 * len(query) * index.longest * np.linalg.norm(query)
+        at = at[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - margin]
+    score = (index.vectors[at] * query).sum(axis=1)
     order = np.lexsort((ids[at], -score))[:k]
     return at[order], score[order]
 
@@ -106,7 +114,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, verified: float
             for a in range(0, len(mine), AT_ONCE):
                 for k_, near in built.candidates(asked[a : a + AT_ONCE], k + 1 + int(verified * len(v))):
                     at = mine[a + k_]
-                    places, scores = best(v, ids[held], own[held], own[at], asked[a + k_], k, near)
+                    places, scores = best(built, ids[held], own[held], own[at], asked[a + k_], k, near)
                     out["query_row"] += [own[at]] * len(places)
                     out["query_id"] += [ids[at]] * len(places)
                     out["vec_id"] += ids[held][places].tolist()
