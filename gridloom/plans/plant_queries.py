@@ -44,7 +44,7 @@ def proximity_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ROLL = bhash("x", "z", 77, DUCK)
 _KIND, _GROWN = P.species("elev", "size", "roll")
-TREES_SQL = f"trees as materialized (select *, {_KIND} as kind, {_GROWN} as grown from (select s.x, s.z, s.layer, s.size, c.elev, {bhash('s.x', 's.z', 77, DUCK)} as roll from slots s join cells c on c.x = s.x and c.z = s.z where not c.water))"
+TREES_SQL = f"trees as materialized (select *, {_KIND} as kind, {_GROWN} as grown from (select row_number() over (order by s.x, s.z, s.layer) as id, s.x, s.z, s.layer, s.size, c.elev, {bhash('s.x', 's.z', 77, DUCK)} as roll from slots s join cells c on c.x = s.x and c.z = s.z where not c.water))"
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +74,9 @@ def _catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_CATALOGUE, "kind string, variant string, size string, snowy boolean, blocks array<struct<dx: int, dy: int, dz: int, name: string>>")
 
 
-CHOSEN_SQL = """levels as (select t.x, t.z, t.layer, t.roll, v.variant, case when v.size = t.grown and v.snowy = (t.elev > 1700) then 0 when v.snowy = (t.elev > 1700) then 1 when v.size = t.grown then 2 else 3 end as level
+CHOSEN_SQL = """levels as (select t.id, t.x, t.z, t.roll, v.variant, case when v.size = t.grown and v.snowy = (t.elev > 1700) then 0 when v.snowy = (t.elev > 1700) then 1 when v.size = t.grown then 2 else 3 end as level
   from trees t join variants v on v.kind = t.kind),
-ranked as (select *, row_number() over (partition by x, z, layer order by variant) - 1 as k, count(*) over (partition by x, z, layer) as m from (select *, min(level) over (partition by x, z, layer) as best from levels) where level = best),
+ranked as (select *, row_number() over (partition by id order by variant) - 1 as k, count(*) over (partition by id) as m from (select *, min(level) over (partition by id) as best from levels) where level = best),
 chosen as materialized (select x, z, variant from ranked where k = least(cast(floor(roll * m) as int), m - 1))"""
 
 

@@ -1 +1,136 @@
-"""Queries."""
+"""Queries on decoders, names and states: binary containers are made in the query, from the tables, and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.plans.registry import query
+from gridloom.sources import binary
+
+# fixed values: folder of a template, and the kind it stands for (none: left out), the more special ones first
+FOLDER_KIND = [("paleoaktrees", None), ("darkoaktrees", "oak"), ("sprucetrees", "spruce"), ("oaktrees", "oak"), ("birchtrees", "birch"), ("azaleatrees", "azalea"), ("mushrooms", "mushroom")]
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template paths made of part names."""
+    folder = F.element_at(F.array(*map(F.lit, ["Lunas_Spruce Trees", "Dark Oak Trees", "PaleOakTrees", "Oak Trees", "Birch Trees", "other", "Snowy/Azalea Trees"])), (F.col("p_partkey") % 7 + 1).cast("int"))
+    size = F.element_at(F.array(*map(F.lit, ["Big_", "Small_", "Large_", "", "Snowy_"])), (F.col("p_size") % 5 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.lit("packs/"), folder, F.lit("/"), size, F.lit("T"), F.col("p_partkey") % 50, F.when(F.col("p_partkey") % 3 == 0, ".schem").otherwise(".nbt")).alias("path"))
+
+
+_PATHS_SQL = """paths as (select p_partkey, concat('packs/', (['Lunas_Spruce Trees', 'Dark Oak Trees', 'PaleOakTrees', 'Oak Trees', 'Birch Trees', 'other', 'Snowy/Azalea Trees'])[p_partkey % 7 + 1], '/',
+  (['Big_', 'Small_', 'Large_', '', 'Snowy_'])[p_size % 5 + 1], 'T', p_partkey % 50, case when p_partkey % 3 = 0 then '.schem' else '.nbt' end) as path from part)"""
+_KINDS = "case " + " ".join(f"when contains({{p}}, '{f}') then {repr(k) if k else 'null'}" for f, k in FOLDER_KIND) + " end"
+
+
+def classified(paths: DataFrame) -> DataFrame:
+    """kind, size and snowy by the path's parts: the first part that a folder is found in decides, in the folders' order."""
+    parts = F.transform(F.split(F.lower("path"), "/"), lambda p: F.replace(F.replace(p, F.lit("lunas_"), F.lit("")), F.lit(" "), F.lit("")))
+    known = F.filter(parts, lambda p: F.exists(F.array(*[F.lit(f) for f, _ in FOLDER_KIND]), lambda f: F.contains(p, f)))
+    first = F.try_element_at(known, F.lit(1))
+    kind = F.lit(None).cast("string")
+    for folder, name in reversed(FOLDER_KIND):
+        kind = F.when(F.contains(first, F.lit(folder)), F.lit(name)).otherwise(kind)
+    base = F.substring_index(F.lower("path"), "/", -1)
+    size = F.when(F.contains(base, F.lit("small")), "small").when(F.contains(base, F.lit("big")) | F.contains(base, F.lit("large")), "big").otherwise("normal")
+    return paths.withColumns({"kind": kind, "size": size, "snowy": F.contains(F.lower("path"), F.lit("snow"))})
+
+
+_CLASSES_SQL = f"""{_PATHS_SQL}, classes as (select p_partkey, path, {_KINDS.format(p="replace(replace(lower(path), 'lunas_', ''), ' ', '')")} as kind,
+  case when contains(lower(split_part(path, '/', -1)), 'small') then 'small' when contains(lower(split_part(path, '/', -1)), 'big') or contains(lower(split_part(path, '/', -1)), 'large') then 'big' else 'normal' end as size,
+  contains(lower(path), 'snow') as snowy from paths)"""
+
+
+@query("path_classify", f"with {_CLASSES_SQL} select * from classes")
+def path_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(_paths(spark, sf_dir))
+
+
+@query("dedupe_priority", f"""with {_CLASSES_SQL} select kind, stem, snowy, p_partkey, path from (
+  select *, regexp_replace(split_part(path, '/', -1), '\\.[a-z]+$', '') as stem,
+  row_number() over (partition by kind, regexp_replace(split_part(path, '/', -1), '\\.[a-z]+$', ''), snowy order by case when path like '%.schem' then 0 else 1 end, p_partkey) as k from classes where kind is not null) where k = 1""")
+def dedupe_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each kind, stem and snow; schematics before others. A minimum, so it combines before it moves."""
+    rows = classified(_paths(spark, sf_dir)).where("kind is not null")
+    rows = rows.withColumn("stem", F.regexp_replace(F.substring_index("path", "/", -1), r"\.[a-z]+$", ""))
+    order = F.struct(F.when(F.col("path").endswith(".schem"), 0).otherwise(1).alias("k"), F.col("p_partkey"), F.col("path"))
+    return rows.groupBy("kind", "stem", "snowy").agg(F.min(order).alias("m")).select("kind", "stem", "snowy", "m.p_partkey", "m.path")
+
+
+@query("block_state_parse", """select p_partkey, lower(p_brand) as name, concat('axis=', ['x','y','z'][p_partkey % 3 + 1], case when p_size > 25 then concat(', level=', p_size) else '' end) as raw,
+  ['x','y','z'][p_partkey % 3 + 1] as axis, case when p_size > 25 then cast(p_size as varchar) end as level from part""")
+def block_state_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the form `name[key=value, ...]`."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    axis = F.element_at(F.array(*map(F.lit, "xyz")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    props = F.concat(F.lit("axis="), axis, F.when(F.col("p_size") > 25, F.concat(F.lit(", level="), F.col("p_size"))).otherwise(""))
+    named = part.select("p_partkey", F.concat(F.lower("p_brand"), F.lit("["), props, F.lit("]")).alias("state"))
+    raw = F.regexp_extract("state", r"\[(.*)\]$", 1)
+    found = F.str_to_map(F.regexp_replace(raw, r"\s*,\s*", ","), F.lit(","), F.lit("="))
+    return named.select("p_partkey", F.substring_index("state", "[", 1).alias("name"), raw.alias("raw"), F.try_element_at(found, F.lit("axis")).alias("axis"), F.try_element_at(found, F.lit("level")).alias("level"))
+
+
+@query("varint_decode", "select o_orderkey, o_orderkey * 37 % 70000 as value from orders")
+def varint_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a number in groups of seven bits, the last without the high bit, and folds the bytes back."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") * 37 % 70000).alias("v"))
+    bytes_ = F.expr("filter(array(cast(v & 127 as bigint) | if(v > 127, 128, 0), if(v > 127, (shiftright(v, 7) & 127) | if(v > 16383, 128, 0), null), if(v > 16383, shiftright(v, 14) & 127, null)), b -> b is not null)")
+    coded = orders.select("o_orderkey", bytes_.alias("bytes"))
+    back = F.expr("aggregate(bytes, named_struct('v', 0L, 's', 0), (a, b) -> named_struct('v', a.v | shiftleft(b & 127, a.s), 's', a.s + 7), a -> a.v)")
+    return coded.select("o_orderkey", back.alias("value"))
+
+
+@query("bit_unpack", "select o_orderkey, unnest(range(12)) as k, (o_orderkey * 7 + unnest(range(12)) * 5) % 32 as value from orders where o_orderkey % 10 = 0")
+def bit_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve five-bit numbers and more lie in 64-bit words without gaps; the thirteenth lies across two."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 10 = 0").select("o_orderkey")
+    values = "transform(sequence(0, 11), k -> cast((o_orderkey * 7 + k * 5) % 32 as bigint))"
+    # a lead of twenty bits makes the ninth number cross the words' border
+    low = f"aggregate(transform(sequence(0, 8), k -> shiftleft(element_at({values}, k + 1), 20 + 5 * k)), 0L, (a, b) -> a | b)"
+    high = f"aggregate(transform(sequence(8, 11), k -> if(k = 8, shiftrightunsigned(element_at({values}, 9), 4), shiftleft(element_at({values}, k + 1), 5 * k - 44))), 0L, (a, b) -> a | b)"
+    packed = rows.select("o_orderkey", F.expr(f"array({low}, {high})").alias("words"))
+    bits = """transform(sequence(0, 11), k -> case when 24 + 5 * k < 64 then shiftrightunsigned(words[0], 20 + 5 * k) & 31
+      when 20 + 5 * k >= 64 then shiftrightunsigned(words[1], 5 * k - 44) & 31
+      else (shiftrightunsigned(words[0], 20 + 5 * k) | shiftleft(words[1], 44 - 5 * k)) & 31 end)"""
+    return packed.select("o_orderkey", F.posexplode(F.expr(bits)).alias("k", "value")).select("o_orderkey", F.col("k").cast("long").alias("k"), "value")
+
+
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region files of the orders: one a customer's remainder, a slot an order."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 25 = 0").select((F.col("o_custkey") % 4).alias("f"), (F.col("o_orderkey") % 1024).cast("int").alias("slot"), F.col("o_orderpriority").alias("p"))
+    one = orders.groupBy("f", "slot").agg(F.min("p").alias("p"))
+
+    def pack(part):
+        import pandas as pd
+
+        slots = [(int(s), 1000 + int(s), p.encode()) for s, p in zip(part["slot"], part["p"], strict=True)]
+        return pd.DataFrame({"path": [f"r.{part['f'].iloc[0]}.mca"], "content": [binary.region_bytes(slots)]})
+
+    return one.groupBy("f").applyInPandas(pack, "path string, content binary")
+
+
+_SLOTS_SQL = "slots as (select concat('r.', o_custkey % 4, '.mca') as path, cast(o_orderkey % 1024 as int) as slot, min(o_orderpriority) as text from orders where o_orderkey % 25 = 0 group by 1, 2)"
+
+
+@query("region_scan", f"with {_SLOTS_SQL} select path, slot, cast(slot % 32 as int) as cx, cast(slot // 32 as int) as cz, cast(1000 + slot as bigint) as timestamp, text from slots")
+def region_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.regions(_containers(spark, sf_dir)).select("path", "slot", "cx", "cz", "timestamp", F.decode("payload", "UTF-8").alias("text"))
+
+
+@query("region_compact", f"with {_SLOTS_SQL} select path, slot, text from slots where text like '1%' or text like '2%'")
+def region_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.decode("payload", "UTF-8")
+    kept = binary.compacted(binary.regions(_containers(spark, sf_dir)), text.startswith("1") | text.startswith("2"))
+    return binary.regions(kept).select("path", "slot", F.decode("payload", "UTF-8").alias("text"))
+
+
+@query("content_fingerprint")
+def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.fingerprint(_containers(spark, sf_dir), "v1")
+
+
+@query("name_filter", "select p_partkey, p_type from part where (contains(p_type, 'A') or contains(p_type, 'S')) and not contains(p_type, 'ECONOMY')")
+def name_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.where(F.col("p_type").rlike("A|S") & ~F.col("p_type").contains("ECONOMY")).select("p_partkey", "p_type")
