@@ -40,7 +40,7 @@ from gridloom.llm.wordhash import Words, grams, mix, slices, words
 
 WINDOW, ANCHOR = 35, 20
 #: A shard's distinct pieces, and those of one route, at most.
-SHARD_PIECES, ROUTE_PIECES = 20_000, 4_000
+SHARD_PIECES, ROUTE_PIECES = 10_000, 4_000
 #: Tables by text are broadcast up to so many rows and array entries; above, joined by shuffling.
 BROADCAST_ROWS, BROADCAST_ENTRIES = 500_000, 4_000_000
 
@@ -85,7 +85,7 @@ def _anchored(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(doc_id, key, anchors) of texts with a window at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = whole.column("text").to_pylist()
             for a, z in slices(texts, 400_000):
                 w = words(texts[a:z])
@@ -104,7 +104,7 @@ def _emit(rows: DataFrame, window: int, anchor: int, bodies: bool) -> DataFrame:
     names = ["pid", "route", "body", "windows", "copies"] if bodies else ["key", "pid", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts, hot = whole.column("text").to_pylist(), whole.column("hot")
             for a, z in slices(texts, 400_000):
                 w = words(texts[a:z])
