@@ -17,7 +17,8 @@ If the labels name no row of one of the classes there is nothing to learn: every
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,19 +97,29 @@ def _starts(word: str) -> list[str]:
     return [word[:n] for n in range(4, min(8, len(word)))] + [word]
 
 
-def _contexts(texts: list[str]) -> tuple[dict[str, set[str]], int]:
-    """The distinct words before each word or beginning, and how many there are of all words: copies add nothing."""
-    seen: dict[str, set[str]] = defaultdict(set)
-    total = set()
+def _contexts(texts: list[str], wanted: set[str]) -> dict[str, int]:
+    """How many distinct words stand before each wanted word or beginning, up to 256: copies of a text add nothing."""
+    seen: dict[str, set[int]] = {part: set() for part in wanted}
     for text in texts:
-        before = ""
+        before = 0
         for word in text.lower().split():
-            total.add((before, word))
             for part in _starts(word):
-                if len(seen[part]) < 256:
+                if part in wanted and len(seen[part]) < 256:
                     seen[part].add(before)
-            before = word
-    return seen, max(1, len(total))
+            before = zlib.crc32(word.encode("utf-8", "replace"))
+    return {part: len(own) for part, own in seen.items()}
+
+
+def _telling(toxic: list[str], ordinary: list[str]) -> set[str]:
+    """Words and beginnings that toxic text uses in many contexts and ordinary text, for its length, in few."""
+    often = Counter(part for text in toxic for word in text.lower().split() for part in _starts(word))
+    least = 6 + len(toxic) // 100
+    bad = _contexts(toxic, {part for part, n in often.items() if n >= least})
+    bad = {part: n for part, n in bad.items() if n >= least}
+    del often
+    good = _contexts(ordinary, set(bad))
+    n_bad, n_good = (max(1, sum(len(t.split()) for t in side)) for side in (toxic, ordinary))
+    return {part for part, n in bad.items() if n / n_bad > 12 * (good[part] + 1) / n_good}
 
 
 def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
@@ -117,8 +128,7 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", (), (), (), base)
     a, b = max(1, len(toxic) * 7 // 10), max(1, len(ordinary) * 7 // 10)
-    (bad, n_bad), (good, n_good) = _contexts(toxic[:a]), _contexts(ordinary[:b])
-    telling = {w for w, c in bad.items() if len(c) >= 6 and len(c) / n_bad > 12 * (len(good.get(w, ())) + 1) / n_good}
+    telling = _telling(toxic[:a], ordinary[:b])
     samples = [f" {w}".encode("utf-8", "replace") for t in toxic[:a] for w in t.lower().split() if not telling.isdisjoint(_starts(w))]
     common = _trained(DICTIONARY, [w for t in ordinary[:b] for w in windows(t, 8)][:60_000]) or b" "
     special = _trained(TOXIC_DICTIONARY, samples[:200_000]) or b" "
@@ -143,7 +153,7 @@ def score_texts(model: ToxicityModel, texts) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_expand(np.clip(x, -6, 6)) @ np.array(model.weights), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_toxic: int = 2500, max_ordinary: int = 6000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_toxic: int = 2000, max_ordinary: int = 4000) -> ToxicityModel:
     """Learns from the labelled rows given; at most max_toxic and max_ordinary of them reach the driver."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y")).distinct()
     sides = []
