@@ -129,7 +129,8 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
         return ToxicityModel(b"", b"", (), (), (), base)
     a, b = max(1, len(toxic) * 7 // 10), max(1, len(ordinary) * 7 // 10)
     telling = _telling(toxic[:a], ordinary[:b])
-    samples = [f" {w}".encode("utf-8", "replace") for t in toxic[:a] for w in t.lower().split() if not telling.isdisjoint(_starts(w))]
+    heads = {w: next((s for s in sorted(_starts(w), key=len) if s in telling and (len(s) > 4 or s == w)), None) for t in toxic[:a] for w in t.lower().split()}
+    samples = [f" {heads[w]}".encode("utf-8", "replace") for t in toxic[:a] for w in t.lower().split() if heads[w]]
     common = _trained(DICTIONARY, [w for t in ordinary[:b] for w in windows(t, 8)][:60_000]) or b" "
     special = _trained(TOXIC_DICTIONARY, samples[:200_000]) or b" "
     rest_bad, rest_good = toxic[a:] or toxic, ordinary[b:] or ordinary
