@@ -42,3 +42,27 @@ def resampled(target: DataFrame, source: DataFrame, scale: float, shift: float,
     asked = target.select("x", "z", F.explode(corners).alias("c")).select("x", "z", "c.*")
     met = asked.join(source.select(F.col("x").alias("sx"), F.col("z").alias("sz"), value), ["sx", "sz"]).where((F.col("k") > 0) & F.col(value).isNotNull())
     return met.groupBy("x", "z").agg((F.sum(F.col(value) * F.col("k")) / F.sum("k")).alias(value))
+
+
+def mosaic(tiles: DataFrame, value: str, order: str) -> DataFrame:
+    """(x, z, value) of overlapping tiles: of a cell's known values that of the first tile in order; NaN is unknown."""
+    known = tiles.withColumn(value, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))).where(F.col(value).isNotNull())
+    return known.groupBy("x", "z").agg(F.min_by(value, order).alias(value))
+
+
+def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
+    """Easting and northing of WGS84 degrees in a zone, by the third-order series in the flattening; well below a millimetre
+    within the zone. South of the equator northings count from ten million metres below it."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    e = 2 * n**0.5 / (1 + n)
+    phi, away = F.radians(lat), F.radians(lon - (zone * 6 - 183))
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+    east, north = eta, xi
+    for k, c in enumerate(series, 1):
+        east = east + c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+        north = north + c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+    return 500_000 + 0.9996 * big * east, F.when(lat < 0, 10_000_000).otherwise(0) + 0.9996 * big * north

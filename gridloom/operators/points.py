@@ -25,8 +25,12 @@ class Layer:
     radius: int
     salt: int
     size: str
+    jitter: float = JITTER
 
 
+# fixed values: grids of boulders under water and of decoration, with their own jitter
+BOULDERS = Layer("boulder", 19, 1.0, 0, 4041, "any", 0.36)
+DECOR = Layer("decor", 13, 1.0, 0, 5150, "any", 0.45)
 # fixed values: layers from the tallest down
 LAYERS = [
     Layer("emergent", 26, 0.55, 11, 101, "big"),
@@ -51,7 +55,7 @@ def candidates(spark: SparkSession, layer: Layer, x0: int, x1: int, z0: int, z1:
     spans = [v // layer.step + 3 - low for v, low in zip((x1, z1), lows, strict=True)]
     places = spark.range(spans[0] * spans[1]).select((F.col("id") % spans[0] + lows[0]).alias("gx"), F.expr(f"id div {spans[0]} + {lows[1]}").alias("gz"))
     alive = places.where(column(f"{chance(layer.salt)} <= {SPARK.num(layer.chance)}"))
-    return alive.select(F.lit(layer.name).alias("layer"), "gx", "gz", column(place("x", layer.salt, layer.step)).alias("x"), column(place("z", layer.salt, layer.step)).alias("z"))
+    return alive.select(F.lit(layer.name).alias("layer"), "gx", "gz", *[column(place(c, layer.salt, layer.step, layer.jitter)).alias(c) for c in "xz"])
 
 
 def without_near(points: DataFrame, others: DataFrame, radius: int) -> DataFrame:
@@ -92,6 +96,37 @@ def species(elev: str, size: str, roll: str) -> tuple[str, str]:
     return kind, grown
 
 
+def accepted(points: DataFrame, p: str, roll: str) -> DataFrame:
+    """Points that a wood of probability p grows; the tallest layer only in dense woods."""
+    return points.where(f"{p} > 0.02 and {roll} <= {p} and not (layer = 'emergent' and {p} < 0.60)")
+
+
+def boulder_chance(bed: str, relief: str, d: Dialect = SPARK) -> str:
+    """Rocky beds and steps carry more boulders."""
+    return f"({d.num(0.05)} + (case when {bed} in ('stone', 'cobble', 'gravel') then {d.num(0.10)} else 0 end) + {d.num(0.08)} * least(1, {relief} / {d.num(2.0)}))"
+
+
+def decor_kind(roll: str, zone: str) -> str:
+    """What decorates a place, as SQL text, or null."""
+    return f"case when {roll} < 0.10 and {zone} = 'forest' then 'log' when {roll} < 0.18 and {zone} = 'forest' then 'stump' when {roll} < 0.26 then 'boulder' when {roll} < 0.40 and {zone} <> 'alpine' then 'bush' end"
+
+
+def sampled(points: DataFrame, cells: DataFrame, width: int, depth: int) -> DataFrame:
+    """points with the layers of their cell; points beyond the grid's edge take the nearest cell's."""
+    at = points.withColumns({"_x": F.least(F.greatest("x", F.lit(0)), F.lit(width - 1)), "_z": F.least(F.greatest("z", F.lit(0)), F.lit(depth - 1))})
+    return at.join(cells.withColumnsRenamed({"x": "_x", "z": "_z"}), ["_x", "_z"]).drop("_x", "_z")
+
+
+def mounds(points: DataFrame) -> DataFrame:
+    """(px, pz, x, z, dy) of boulders' columns: a disc of radius 1 or 2, two high in the middle of the greater."""
+    span = lambda r: F.explode(F.sequence(-r, r))
+    r = F.col("radius")
+    disc_ = points.select(F.col("x").alias("px"), F.col("z").alias("pz"), "radius").withColumn("dx", span(r)).withColumn("dz", span(r))
+    disc_ = disc_.where("dx * dx + dz * dz <= radius * radius + radius - 1")
+    high = F.when((r == 2) & (F.abs("dx") + F.abs("dz") <= 1), 1).otherwise(0)
+    return disc_.withColumn("dy", F.explode(F.sequence(F.lit(0), high))).select("px", "pz", (F.col("px") + F.col("dx")).alias("x"), (F.col("pz") + F.col("dz")).alias("z"), "dy")
+
+
 def expand(points: DataFrame, templates: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each block of each point's template: x + dx, dy, z + dz, name."""
     met = points.join(templates, keys).withColumn("b", F.explode("blocks"))

@@ -44,3 +44,11 @@ def write_tiles(cells: DataFrame, path: str, tile: int) -> None:
     """Parquet by tile; writing a tile again replaces it and no other."""
     placed = cells.withColumns({f"t{c}": F.floor(F.col(c) / tile).cast("int") for c in ("x", "z")})
     placed.repartition("tx", "tz").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tx", "tz").parquet(path)
+
+
+def verify_written(expected: DataFrame, path: str) -> None:
+    """Reads a written volume again and raises if voxels of expected(x, y, z, block) are missing or hold another block."""
+    written = expected.sparkSession.read.parquet(path)
+    wrong = expected.join(written, ["x", "y", "z", "block"], "left_anti").orderBy("x", "y", "z").limit(5).collect()
+    if wrong:
+        raise ValueError(f"not written as expected: {[tuple(r) for r in wrong]}")

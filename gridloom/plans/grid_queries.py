@@ -222,7 +222,7 @@ BED_SQL = f"""bed as (select x, z, depth, water, coalesce(greatest({', '.join(_N
 material as (select *, {R.lakebed('depth', 'relief', '(x % 16 > 2)', DUCK)} as bed from bed)"""
 
 
-def _bed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cells(spark, sf_dir).withColumn("relief", G.relief4("depth"))
     rows = rows.withColumns({c: column(e) for c, e in R.lakebed_fields("x", "z").items()}).withColumn("habitat", column(R.habitat("x", "z")))
     return rows.withColumn("bed", column(R.lakebed("depth", "relief", "(x % 16 > 2)")))
@@ -230,17 +230,17 @@ def _bed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lakebed_material", sql("select x, z, bed from material", BED_SQL))
 def lakebed_material(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bed(spark, sf_dir).select("x", "z", "bed")
+    return bedded(spark, sf_dir).select("x", "z", "bed")
 
 
 @query("aquatic_vegetation", sql(f"select x, z, {R.aquatic_plant('depth', 'bed', 'relief', 'x', 'z', DUCK)} as plant from material", BED_SQL))
 def aquatic_vegetation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bed(spark, sf_dir).select("x", "z", column(R.aquatic_plant("depth", "bed", "relief", "x", "z")).alias("plant"))
+    return bedded(spark, sf_dir).select("x", "z", column(R.aquatic_plant("depth", "bed", "relief", "x", "z")).alias("plant"))
 
 
 @query("lakebed_share", sql("select bed, count(*) as n, round(count(*) / (select count(*) from material where water), 6) as share from material where water group by bed", BED_SQL))
 def lakebed_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _bed(spark, sf_dir).where("water").groupBy("bed").agg(F.count("*").alias("n"))
+    counts = bedded(spark, sf_dir).where("water").groupBy("bed").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("t"))
     return counts.crossJoin(F.broadcast(total)).select("bed", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
 

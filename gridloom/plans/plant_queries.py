@@ -10,6 +10,7 @@ from gridloom.functions.hashing import bhash
 from gridloom.operators import points as P
 from gridloom.operators import voxels as V
 from gridloom.plans.fixture import cells, sql
+from gridloom.plans.grid_queries import BED_SQL, bedded
 from gridloom.plans.registry import query
 
 _BOX = (0, 64, 0, 64)
@@ -18,7 +19,7 @@ _BOX = (0, 64, 0, 64)
 def _candidates_sql(layer: P.Layer) -> str:
     low, high = -32 // layer.step - 2, 96 // layer.step + 3
     return (
-        f"{layer.name} as materialized (select gx, gz, {P.place('x', layer.salt, layer.step, d=DUCK)} as x, {P.place('z', layer.salt, layer.step, d=DUCK)} as z"
+        f"{layer.name} as materialized (select gx, gz, {P.place('x', layer.salt, layer.step, layer.jitter, DUCK)} as x, {P.place('z', layer.salt, layer.step, layer.jitter, DUCK)} as z"
         f" from (select a.range as gx, b.range as gz from range({low}, {high}) a cross join range({low}, {high}) b) where {P.chance(layer.salt, DUCK)} <= {layer.chance})"
     )
 
@@ -186,3 +187,39 @@ def chunk_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
   from (select *, x // 20 * 20 as x0, z // 20 * 20 as z0 from cells) group by x0, z0"""))
 def tile_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.tile_manifest(cells(spark, sf_dir), "hm", 20)
+
+
+_WOOD = "(case when landcover % 3 = 0 then {} else 0.05 end)"
+
+
+@query("tree_accept", sql(f"""select layer, x, z from (select s.layer, s.x, s.z, {_WOOD.format(bhash('s.x', 's.z', 55, DUCK))} as p from slots s join cells c on c.x = s.x and c.z = s.z)
+  where p > 0.02 and {bhash('x', 'z', 177, DUCK)} <= p and not (layer = 'emergent' and p < 0.60)""", SLOTS_SQL))
+def tree_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = P.slots(spark, *_BOX).join(cells(spark, sf_dir).select("x", "z", "landcover"), ["x", "z"])
+    met = met.withColumns({"p": column(_WOOD.format(bhash("x", "z", 55))), "roll": column(bhash("x", "z", 177))})
+    return P.accepted(met, "p", "roll").select("layer", "x", "z")
+
+
+_CHANCE, _RADIUS = P.boulder_chance("bed", "relief", DUCK), f"case when {bhash('b.x', 'b.z', 4043, DUCK)} < 0.24 then 2 else 1 end"
+
+
+@query("underwater_boulders", sql(f"""select r.px, r.pz, cast(r.px + a.range as int) as x, cast(r.pz + c.range as int) as z, cast(y.range as int) as dy
+  from (select b.x as px, b.z as pz, {_RADIUS} as radius from boulder b join material m on m.x = least(greatest(b.x, 0), 63) and m.z = least(greatest(b.z, 0), 63)
+    where b.x between -2 and 65 and b.z between -2 and 65 and m.water and m.depth between 4 and 22 and {bhash('b.x', 'b.z', 4042, DUCK)} <= {_CHANCE} * 4) r
+  join range(-2, 3) a on abs(a.range) <= radius join range(-2, 3) c on abs(c.range) <= radius join range(2) y on y.range = 0 or (radius = 2 and abs(a.range) + abs(c.range) <= 1)
+  where a.range * a.range + c.range * c.range <= radius * radius + radius - 1""", BED_SQL, _candidates_sql(P.BOULDERS)))
+def underwater_boulders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boulders on beds of some depth, their columns; four times the usual chance, as the grid is small."""
+    found = P.candidates(spark, P.BOULDERS, -32, 96, -32, 96).where("x between -2 and 65 and z between -2 and 65").select("x", "z")
+    met = P.sampled(found, bedded(spark, sf_dir).select("x", "z", "water", "depth", "relief", "bed"), 64, 64)
+    kept = met.where(F.col("water") & F.col("depth").between(4, 22) & column(f"{bhash('x', 'z', 4042)} <= {P.boulder_chance('bed', 'relief')} * 4"))
+    return P.mounds(kept.withColumn("radius", F.when(column(f"{bhash('x', 'z', 4043)} < 0.24"), 2).otherwise(1)))
+
+
+_ZONE = "case landcover % 3 when 0 then 'forest' when 1 then 'alpine' else 'meadow' end"
+
+
+@query("decor_points", sql(f"""select * from (select p.x, p.z, {P.decor_kind(bhash('p.x', 'p.z', 61, DUCK), f'({_ZONE})')} as kind from decor p join cells c on c.x = p.x and c.z = p.z where not water) where kind is not null""", _candidates_sql(P.DECOR)))
+def decor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = P.candidates(spark, P.DECOR, -32, 96, -32, 96).select("x", "z").join(cells(spark, sf_dir).where("not water").select("x", "z", "landcover"), ["x", "z"])
+    return met.select("x", "z", column(P.decor_kind(bhash("x", "z", 61), f"({_ZONE})")).alias("kind")).where("kind is not null")

@@ -194,3 +194,21 @@ def meta_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raster's metadata, written as JSON and parsed again with a fixed schema."""
     row = cells(spark, sf_dir).agg(F.round(F.min("elev"), 3).alias("low"), F.round(F.max("elev"), 3).alias("high"), F.count("*").alias("cells"))
     return row.select(F.from_json(F.to_json(F.struct("*")), "low double, high double, cells long").alias("m")).select("m.*")
+
+
+@query("mosaic_merge", "select cast(x as int) as x, cast(z as int) as z, arg_min(v, t) as v from (select l_suppkey % 20 as x, l_partkey % 20 as z, l_linenumber * 100000000 + l_orderkey as t, l_quantity as v from lineitem where l_quantity > 10) group by 1, 2")
+def mosaic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping tiles: the first known value of each cell."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    value = F.when(F.col("l_quantity") > 10, F.col("l_quantity")).otherwise(F.lit(float("nan")))
+    tiles = items.select((F.col("l_suppkey") % 20).cast("int").alias("x"), (F.col("l_partkey") % 20).cast("int").alias("z"), (F.col("l_linenumber") * 100000000 + F.col("l_orderkey")).alias("t"), value.alias("v"))
+    return features.mosaic(tiles, "v", "t")
+
+
+@query("utm_points")
+def utm_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' invented places in their zones."""
+    who = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", ((F.col("c_custkey") * 37 % 3600) / 10 - 180).alias("lon"), ((F.col("c_custkey") * 17 % 1600) / 10 - 80).alias("lat"))
+    placed = who.withColumn("zone", column("cast((lon + 180) / 6 as int) + 1"))
+    east, north = features.utm(F.col("lon"), F.col("lat"), F.col("zone"))
+    return placed.select("c_custkey", "zone", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))

@@ -24,6 +24,21 @@ def files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = Tru
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
+def inventory(found: DataFrame) -> DataFrame:
+    """One row: how many files, and their bytes; contents are not read."""
+    return found.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first of the paths that exists, wherever Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(conf).exists(place):
+            return path
+    return None
+
+
 def regions(contents: DataFrame) -> DataFrame:
     """(path, slot, cx, cz, offset, timestamp, compression, payload, error) of the used slots of region files.
 

@@ -1,6 +1,9 @@
+import pytest
+
 from gridloom.functions.dialect import column
 from gridloom.functions.hashing import bhash24, hash24
 from gridloom.functions.noise import smooth_noise
+from gridloom.operators import features
 from gridloom.operators import rules as R
 from gridloom.operators import voxels as V
 from gridloom.plans.table_queries import preflight_of, validation_of
@@ -67,3 +70,21 @@ def test_lakebed_statistics(spark):
     assert fine > 0.6 * 192 * 192
     rocky = cells.select(column(R.lakebed("22", "3", "true")).alias("b")).distinct().collect()
     assert {r.b for r in rocky} <= {"stone", "cobble", "gravel"}
+
+
+def test_utm_of_known_points(spark):
+    rows = spark.createDataFrame([(13.663306, 47.589381, 33), (-3.0, 0.0, 30), (0.0, -45.0, 31)], "lon double, lat double, zone int")
+    east, north = features.utm(F.col("lon"), F.col("lat"), F.col("zone"))
+    got = [tuple(r) for r in rows.select(east, north).collect()]
+    # on a central meridian the easting is half a million and the northing the scaled meridian arc
+    assert abs(got[1][0] - 500_000) < 1e-6 and abs(got[1][1]) < 1e-6
+    assert abs(got[0][0] - 399_500) < 500 and abs(got[0][1] - 5_271_500) < 1500
+    assert abs(got[2][1] - (10_000_000 - 4_985_000)) < 8_000
+
+
+def test_written_voxels_are_checked(spark, tmp_path):
+    voxels = spark.createDataFrame([(0, 1, 0, "a"), (0, 2, 0, "b")], "x int, y int, z int, block string")
+    voxels.write.parquet(str(tmp_path / "v"))
+    V.verify_written(voxels, str(tmp_path / "v"))
+    with pytest.raises(ValueError, match="not written"):
+        V.verify_written(spark.createDataFrame([(0, 2, 0, "c")], voxels.schema), str(tmp_path / "v"))
