@@ -5,9 +5,9 @@ at each element from its hash alone: a dart has a rank, a coordinate and a heigh
 element's weight. Per coordinate the hit of smallest rank is the signature, so two texts agree in a coordinate with the
 probability of their (weighted) Jaccard similarity, and a text throws about k ln k + 2k darts however many elements it has.
 
-Rows of bands meet in buckets. A bucket does not compare all with all: in turns, its members are compared with two pivots,
+Rows of bands meet in buckets. A bucket does not compare all with all: in turns, its members are compared with a few pivots,
 which change from turn to turn, and linked texts become components. Once the pairs of different components that still
-share buckets are no more than the buckets' members (or after MOST_TURNS turns), all of these are compared, so that no link
+share buckets are no more than twice the buckets' members (or after MOST_TURNS turns), all of these are compared, so that no link
 between components is lost. Comparisons are exact, on the sets of shingle hashes. With 24 bands of 5 rows a pair at 0.8 is
 missed with probability 7e-5, one at 0.85 with 2e-6.
 
@@ -34,7 +34,8 @@ from gridloom.llm.components import connected
 from gridloom.llm.wordhash import grams, mix, slices, words
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
-MOST_TURNS = 12
+#: Pivots of a bucket in a turn, and turns.
+PIVOTS, MOST_TURNS = 6, 3
 #: Below so many keys a table of keys is broadcast; above, joined by shuffling.
 BROADCAST_KEYS = 1_000_000
 _CDF = np.cumsum([np.exp(-1.0)] + [np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(1, 16)])
@@ -186,7 +187,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = BAN
         rows, crossed = sizes.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()
         if not crossed:
             break
-        last = turn > 0 and crossed <= rows or turn == MOST_TURNS
+        last = turn > 0 and crossed <= 2 * rows or turn == MOST_TURNS
         fresh = _ordered(_all_open(open_) if last else _pivot_pairs(open_, turn)).distinct()
         fresh = stored(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"))
         tested = fresh if tested is None else tested.unionByName(fresh)
@@ -208,11 +209,14 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = BAN
 
 
 def _pivot_pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """Each member with two others of its bucket, which change from turn to turn, if their components differ."""
-    ranked = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.col("key"), F.col("part"))
-    pivots = open_.groupBy("bucket").agg(F.min(ranked).alias("low"), F.max(ranked).alias("high"))
-    met = open_.join(pivots, "bucket").select("key", "part", F.explode(F.array("low", "high")).alias("p"))
-    return met.where("part <> p.part").select("key", F.col("p.key").alias("other"))
+    """Each member with some others of its bucket, which change from turn to turn, if their components differ."""
+    picks = []
+    for k in range(PIVOTS // 2):
+        ranked = F.struct(F.xxhash64("key", F.lit(turn * PIVOTS + k)).alias("h"), F.col("key"), F.col("part"))
+        picks += [F.min(ranked).alias(f"p{2 * k}"), F.max(ranked).alias(f"p{2 * k + 1}")]
+    pivots = open_.groupBy("bucket").agg(*picks).select("bucket", F.array_distinct(F.array(*[f"p{k}" for k in range(len(picks))])).alias("ps"))
+    met = open_.join(pivots, "bucket").select("key", F.explode(F.filter("ps", lambda p: p["part"] != F.col("part"))).alias("p"))
+    return met.select("key", F.col("p.key").alias("other"))
 
 
 def _all_open(open_: DataFrame) -> DataFrame:
