@@ -1,6 +1,7 @@
 """Every query with SQL, against that SQL, on the smallest tables."""
 
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -20,9 +21,8 @@ def duck():
 
 def plain(rows, columns):
     def value(v):
-        if isinstance(v, float):
-            return repr(round(v + 0.0, 5))
-        return repr(v)
+        number = isinstance(v, int | float | Decimal) and not isinstance(v, bool)
+        return repr(round(float(v), 5) + 0.0) if number else repr(v)
 
     order = sorted(range(len(columns)), key=lambda k: columns[k])
     return sorted([value(r[k]) for k in order] for r in rows)
