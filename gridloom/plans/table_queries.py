@@ -10,7 +10,7 @@ from gridloom.operators import features, ledger
 from gridloom.operators import grid as G
 from gridloom.operators import rules as R
 from gridloom.plans.fixture import cells, sql
-from gridloom.plans.grid_queries import painted
+from gridloom.plans.grid_queries import SLOPES_SQL, SURFACE_SQL, painted
 from gridloom.plans.registry import query
 
 _DIM = "dim as (select * from (values " + ", ".join(f"({k}, '{n}')" for k, n in enumerate([*R.LANDCOVER, "unused"])) + ") t(landcover, name))"
@@ -184,7 +184,7 @@ def box_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.where("x0 < x1")
 
 
-@query("surface_histogram")
+@query("surface_histogram", sql("select surface, count(*) as n from painted group by surface", SLOPES_SQL, SURFACE_SQL))
 def surface_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return painted(spark, sf_dir).groupBy("surface").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "surface")
 
