@@ -83,8 +83,19 @@ def varint_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bit_unpack", "select o_orderkey, unnest(range(12)) as k, (o_orderkey * 7 + unnest(range(12)) * 5) % 32 as value from orders where o_orderkey % 10 = 0")
 def bit_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One order in ten."""
+    return unpacked(spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 10 = 0"))
+
+
+@query("bit_unpack_whole", "select o_orderkey, unnest(range(12)) as k, (o_orderkey * 7 + unnest(range(12)) * 5) % 32 as value from orders")
+def bit_unpack_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders."""
+    return unpacked(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def unpacked(orders: DataFrame) -> DataFrame:
     """Twelve five-bit numbers and more lie in 64-bit words without gaps; the thirteenth lies across two."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 10 = 0").select("o_orderkey")
+    rows = orders.select("o_orderkey")
     values = "transform(sequence(0, 11), k -> cast((o_orderkey * 7 + k * 5) % 32 as bigint))"
     # a lead of twenty bits makes the ninth number cross the words' border
     low = f"aggregate(transform(sequence(0, 8), k -> shiftleft(element_at({values}, k + 1), 20 + 5 * k)), 0L, (a, b) -> a | b)"
@@ -96,9 +107,9 @@ def bit_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("o_orderkey", F.posexplode(F.expr(bits)).alias("k", "value")).select("o_orderkey", F.col("k").cast("long").alias("k"), "value")
 
 
-def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _containers(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
     """Region files of the orders: one a customer's remainder, a slot an order."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 25 = 0").select((F.col("o_custkey") % 4).alias("f"), (F.col("o_orderkey") % 1024).cast("int").alias("slot"), F.col("o_orderpriority").alias("p"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(which).select((F.col("o_custkey") % 4).alias("f"), (F.col("o_orderkey") % 1024).cast("int").alias("slot"), F.col("o_orderpriority").alias("p"))
     one = orders.groupBy("f", "slot").agg(F.min("p").alias("p"))
 
     def pack(part):
@@ -111,18 +122,40 @@ def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SLOTS_SQL = "slots as (select concat('r.', o_custkey % 4, '.mca') as path, cast(o_orderkey % 1024 as int) as slot, min(o_orderpriority) as text from orders where o_orderkey % 25 = 0 group by 1, 2)"
+_WHOLE_SLOTS_SQL = "slots as (select concat('r.', o_custkey % 4, '.mca') as path, cast(o_orderkey % 1024 as int) as slot, min(o_orderpriority) as text from orders group by 1, 2)"
+#: The orders that region_scan and region_compact are checked on; the queries named ..._whole take all.
+SOME_ORDERS = "o_orderkey % 25 = 0"
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    return binary.regions(files).select("path", "slot", "cx", "cz", "timestamp", F.decode("payload", "UTF-8").alias("text"))
 
 
 @query("region_scan", f"with {_SLOTS_SQL} select path, slot, cast(slot % 32 as int) as cx, cast(slot // 32 as int) as cz, cast(1000 + slot as bigint) as timestamp, text from slots")
 def region_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary.regions(_containers(spark, sf_dir)).select("path", "slot", "cx", "cz", "timestamp", F.decode("payload", "UTF-8").alias("text"))
+    return scanned(_containers(spark, sf_dir, SOME_ORDERS))
+
+
+@query("region_scan_whole", f"with {_WHOLE_SLOTS_SQL} select path, slot, cast(slot % 32 as int) as cx, cast(slot // 32 as int) as cz, cast(1000 + slot as bigint) as timestamp, text from slots")
+def region_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(_containers(spark, sf_dir))
+
+
+def urgent(files: DataFrame) -> DataFrame:
+    """The slots of the first two priorities, of files that hold nothing else any more."""
+    text = F.decode("payload", "UTF-8")
+    kept = binary.compacted(binary.regions(files), text.startswith("1") | text.startswith("2"))
+    return binary.regions(kept).select("path", "slot", text.alias("text"))
 
 
 @query("region_compact", f"with {_SLOTS_SQL} select path, slot, text from slots where text like '1%' or text like '2%'")
 def region_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.decode("payload", "UTF-8")
-    kept = binary.compacted(binary.regions(_containers(spark, sf_dir)), text.startswith("1") | text.startswith("2"))
-    return binary.regions(kept).select("path", "slot", F.decode("payload", "UTF-8").alias("text"))
+    return urgent(_containers(spark, sf_dir, SOME_ORDERS))
+
+
+@query("region_compact_whole", f"with {_WHOLE_SLOTS_SQL} select path, slot, text from slots where text like '1%' or text like '2%'")
+def region_compact_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urgent(_containers(spark, sf_dir))
 
 
 @query("content_fingerprint")
