@@ -1,8 +1,10 @@
 """Toxicity by compression distance: two zstandard dictionaries, one per class, and calibrated window lengths.
 
 A text is cut into windows of a few words, each window is compressed twice, once with a dictionary trained on ordinary
-text and once with a dictionary that holds, before that same ordinary content, content trained on the words which
-toxic text uses in many contexts and ordinary text does not. Windows that shrink more with the toxic dictionary are
+text and once with a dictionary that holds, before that same ordinary content, the beginnings of those words which
+toxic text uses in many contexts and ordinary text does not. This list stands in for a dictionary trained on toxic
+windows, which does far worse here (README); phrases, and words that stand after few distinct words in the toxic
+sample, are not in it and are no evidence. Windows that shrink more with the toxic dictionary are
 evidence; how far they must shrink, and how many of them a text of some length needs, is learned by a logistic
 calibration on labelled texts that the dictionaries have not seen.
 
