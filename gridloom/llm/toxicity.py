@@ -20,7 +20,9 @@ If the labels name no row of one of the classes there is nothing to learn: every
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,16 +102,20 @@ def _starts(word: str) -> list[str]:
 
 
 def _contexts(texts: list[str], wanted: set[str]) -> dict[str, int]:
-    """How many distinct words stand before each wanted word or beginning, up to 256: copies of a text add nothing."""
-    seen: dict[str, set[int]] = {part: set() for part in wanted}
+    """How many distinct words stand before each wanted word or beginning: copies of a text add nothing."""
+    place = {part: k for k, part in enumerate(sorted(wanted))}
+    seen, fresh = np.zeros(0, dtype=np.uint64), array("Q")
     for text in texts:
         before = 0
         for word in text.lower().split():
             for part in _starts(word):
-                if part in wanted and len(seen[part]) < 256:
-                    seen[part].add(before)
+                if (k := place.get(part)) is not None:
+                    fresh.append(k << 32 | before)
             before = zlib.crc32(word.encode("utf-8", "replace"))
-    return {part: len(own) for part, own in seen.items()}
+        if len(fresh) > 2_000_000:
+            seen, fresh = np.union1d(seen, np.frombuffer(fresh, dtype=np.uint64)), array("Q")
+    seen = np.union1d(seen, np.frombuffer(fresh, dtype=np.uint64)) if fresh else seen
+    return dict(zip(place, np.bincount((seen >> np.uint64(32)).astype(np.int64), minlength=len(place)).tolist(), strict=True))
 
 
 def _telling(toxic: list[str], ordinary: list[str]) -> set[str]:
@@ -124,17 +130,36 @@ def _telling(toxic: list[str], ordinary: list[str]) -> set[str]:
     return {part for part, n in bad.items() if n / n_bad > 12 * (good[part] + 1) / n_good}
 
 
-def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    """Dictionaries from three fifths of the texts of either class, the calibration from the rest."""
+def _shares(sizes: list[int], most: int) -> list[int]:
+    """How many of its samples each text gives, `most` in all: the same number each, or all where a text has fewer."""
+    out = [0] * len(sizes)
+    for done, k in enumerate(sorted(range(len(sizes)), key=lambda k: sizes[k])):
+        out[k] = min(sizes[k], most // (len(sizes) - done))
+        most -= out[k]
+    return out
+
+
+def _spread(groups: Iterable[list], sizes: list[int], most: int) -> list:
+    """At most `most` samples of all groups, evenly spaced over each; sizes are the groups' lengths."""
+    return [own[i * len(own) // n] for own, n in zip(groups, _shares(sizes, most), strict=True) for i in range(n)]
+
+
+def train(toxic: list[str], ordinary: list[str], *, most_windows: int = 60_000, most_beginnings: int = 200_000) -> ToxicityModel:
+    """Dictionaries from seven tenths of the texts of either class, the calibration from the rest.
+
+    The ordinary dictionary is trained on at most most_windows windows of eight words and the toxic one on at most
+    most_beginnings beginnings of words, both spread over all of these texts.
+    """
     base = len(toxic) / max(1, len(toxic) + len(ordinary))
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", (), (), (), base)
     a, b = max(1, len(toxic) * 7 // 10), max(1, len(ordinary) * 7 // 10)
     telling = _telling(toxic[:a], ordinary[:b])
     heads = {w: next((s for s in sorted(_starts(w), key=len) if s in telling and (len(s) > 4 or s == w)), None) for t in toxic[:a] for w in t.lower().split()}
-    samples = [f" {heads[w]}".encode("utf-8", "replace") for t in toxic[:a] for w in t.lower().split() if heads[w]]
-    common = _trained(DICTIONARY, [w for t in ordinary[:b] for w in windows(t, 8)][:60_000]) or b" "
-    special = _trained(TOXIC_DICTIONARY, samples[:200_000]) or b" "
+    samples = [[f" {heads[w]}".encode("utf-8", "replace") for w in t.lower().split() if heads[w]] for t in toxic[:a]]
+    cut = [-(-len(t.split()) // 8) for t in ordinary[:b]]
+    common = _trained(DICTIONARY, _spread((windows(t, 8) for t in ordinary[:b]), cut, most_windows)) or b" "
+    special = _trained(TOXIC_DICTIONARY, _spread(samples, [len(x) for x in samples], most_beginnings)) or b" "
     rest_bad, rest_good = toxic[a:] or toxic, ordinary[b:] or ordinary
     x = _features([*rest_bad, *rest_good, ""], _compressor(common), _compressor(special + common))
     y = np.array([1.0] * len(rest_bad) + [0.0] * len(rest_good) + [0.0])
@@ -156,8 +181,8 @@ def score_texts(model: ToxicityModel, texts) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_expand(np.clip(x, -6, 6)) @ np.array(model.weights), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_toxic: int = 2000, max_ordinary: int = 4000) -> ToxicityModel:
-    """Learns from the labelled rows given; at most max_toxic and max_ordinary of them reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_toxic: int = 2000, max_ordinary: int = 4000, most_windows: int = 60_000, most_beginnings: int = 200_000) -> ToxicityModel:
+    """Learns from the labelled rows given; at most max_toxic and max_ordinary of them reach the driver. The rest as in train."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y")).distinct()
     sides = []
     for value, most in ((1, max_toxic), (0, max_ordinary)):
@@ -165,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_toxic:
         found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
         rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
         sides.append([r.text for r in rows.select("text").toLocalIterator()])
-    return train(*sides)
+    return train(*sides, most_windows=most_windows, most_beginnings=most_beginnings)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", into: str = "score") -> DataFrame:

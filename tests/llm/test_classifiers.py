@@ -56,3 +56,15 @@ def test_toxicity_awkward_rows(spark, awkward, nothing):
     assert len(got) == awkward.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(nothing, model).count() == 0
     assert set(toxicity.score_texts(toxicity.train([], good), ["x", None])) == {0.0}
+
+
+def test_common_words_of_skewed_samples_do_not_tell():
+    texts = lambda n, side: [" ".join(f"{side}{k}q{i} with" for i in range(20)) for k in range(n)]
+    assert "with" not in toxicity._telling(texts(30, "x"), texts(400, "y"))
+
+
+def test_every_text_trains_the_ordinary_dictionary():
+    long, short = " ".join(f"filler{k}" for k in range(2000)), [f"plain{k} words of text {k}" for k in range(12)]
+    model = toxicity.train(["vile idiot"] * 20, [long, *short, *["the rest calibrates"] * 5], most_windows=40)
+    assert all(f"plain{k} ".encode() in model.ordinary for k in range(11))
+    assert toxicity._shares([5, 1, 100, 0], 10) == [4, 1, 5, 0]
