@@ -171,6 +171,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = BAN
 
     weighted: signatures by shingle counts, which find candidates by weighted similarity; verification compares sets.
     """
+    return _classed(docs, threshold=threshold, bands=bands, rows=rows, weighted=weighted).select("doc_id", "class_id", "class_size")
+
+
+def _classed(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+    """near_duplicates with the key of each row's words and the class itself, part: ids may stand in several classes."""
     signed = stored(_signed(docs, bands, rows, weighted))
     usable = signed.where("key is not null and doc_id is not null")
     classes = stored(usable.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("buckets").alias("buckets")))
@@ -203,9 +208,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = BAN
         parts = met.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
     own = classes.select("key", "first", "copies").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
     linked = own.where("component is not null").groupBy("part").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    found = own.join(linked, "part", "left").select("key", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"))
+    found = own.join(linked, "part", "left").select("key", "part", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"))
     met_ids = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(found, "key", "left")
-    return met_ids.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return met_ids.select("doc_id", "key", "part", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def _pivot_pairs(open_: DataFrame, turn: int) -> DataFrame:
@@ -258,10 +263,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with only the document of smallest id of each class, all columns kept; of its exact copies of one id, one.
+    """docs with one row of each class, all columns kept: the one of smallest doc_id, of several such rows one.
 
-    Rows that are a class of their own stay, as do rows without doc_id.
+    Rows are told apart by their doc_id and words, so of an id with two texts each goes or stays by its own class. Rows
+    without doc_id are in classes too and stay only where no row with one is. Rows without words stay.
     """
-    classes = near_duplicates(docs, **options)
-    gone = stored(classes.where("doc_id is not null and class_id <> doc_id").select("doc_id").distinct())
-    return docs.join(_near(gone, gone.count()), "doc_id", "left_anti")
+    # an id for those without, above all usual ones; should one be met, the words still tell the rows apart
+    made = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(2**62)
+    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
+    classed = _classed(own.select(F.col("_id").alias("doc_id"), "text"), **options).where("key is not null")
+    rows = stored(classed.groupBy("doc_id", "key").agg(F.first("part").alias("part"), F.count("*").alias("n")))
+    best = rows.groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.sum("n").alias("all")).where("all > 1").select("part", "best")
+    met = stored(rows.join(best, "part").withColumn("stays", F.col("best") == F.struct("doc_id", "key")).where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "stays"))
+    gone, again = met.drop("stays"), met.where("stays").drop("stays")
+    left = own.withColumn("_key", _keys("text")).join(_near(gone, gone.count()), ["_id", "_key"], "left_anti").select(docs.columns)
+    ids, many = again.select("_id").distinct(), again.count()
+    copies = own.join(_near(ids, many), "_id", "left_semi").withColumn("_key", _keys("text")).join(_near(again, many), ["_id", "_key"], "left_semi")
+    row = F.struct(*docs.columns)
+    one = copies.groupBy("_id", "_key").agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
+    return left.unionByName(one)

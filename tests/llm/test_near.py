@@ -60,3 +60,14 @@ def test_awkward_rows(spark, awkward, nothing):
     assert N.near_duplicates(nothing).count() == 0
     kept = N.deduplicated(awkward)
     assert kept.columns == awkward.columns and kept.where("doc_id = 8").count() == 0 and kept.where("doc_id is null").count() == 1
+
+
+def test_one_row_of_each_class_is_kept(spark):
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [
+        (1, text("a")), (1, text("a")), (2, text("a")), (3, text("b")), (3, text("b")), (4, text("a")), (4, text("c")), (None, text("d")), (None, text("d")),
+        (None, text("b")), (5, text("e")), (5, text("f")), (6, text("f")), (7, ""), (7, ""), (None, None), (8, text("g")), (8, text("h")), (9, text("h", 41)),
+    ]
+    kept = [tuple(r) for r in N.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    want = [(1, "a"), (3, "b"), (4, "c"), (None, "d"), (5, "e"), (5, "f"), (8, "g"), (8, "h")]
+    assert sorted(kept, key=repr) == sorted([*((i, text(name)) for i, name in want), (7, ""), (7, ""), (None, None)], key=repr)
