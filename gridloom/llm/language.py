@@ -3,8 +3,8 @@
 A text's likelihood under each language comes from byte trigrams. To it are added what the markup declares, weighed by how
 often declarations agree with the texts, and a prior for the host, which is smoothed towards its address suffix's, which is
 smoothed towards the whole table's. Declarations and priors are counts over all rows by grouped aggregation; only the
-trigram model is fitted on a bounded sample of labelled texts (`per_language` texts a language, smallest id hash first,
-for at most `languages` languages).
+trigram model is fitted on a bounded sample of labelled texts: of every language of the table at most `per_language`
+distinct whole texts, smallest id hash first. They are counted where they lie; only the counts reach the driver.
 
 A text without letters has no evidence of its own: its language is null and its confidence 0. Null hosts, suffixes and
 declarations are no evidence. Ties go to the alphabetically first language. Rows repeat as they are given; extra columns
@@ -13,14 +13,17 @@ stay, and an input column named like an output column is replaced. Without label
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cached, stored
+from gridloom.llm.common import stored
 from gridloom.llm.wordhash import slices
 
 BITS = 16
@@ -33,13 +36,20 @@ _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 @dataclass(frozen=True)
 class TrigramModel:
-    """log-probabilities, a row a language, by trigram hash."""
+    """log-probabilities by trigram hash, for each language: the hashes its texts have, theirs, and that of all others."""
 
     languages: tuple[str, ...]
-    table: bytes
+    codes: tuple[bytes, ...]
+    logs: tuple[bytes, ...]
+    floors: tuple[float, ...]
 
-    def array(self) -> np.ndarray:
-        return np.frombuffer(self.table, dtype=np.float32).reshape(len(self.languages), 1 << BITS)
+    def tables(self) -> Iterator[np.ndarray]:
+        """Each language's whole table, one at a time; the next overwrites it."""
+        row = np.empty(1 << BITS, dtype=np.float32)
+        for codes, logs, floor in zip(self.codes, self.logs, self.floors, strict=True):
+            row[:] = floor
+            row[np.frombuffer(codes, dtype=np.uint16)] = np.frombuffer(logs, dtype=np.float32)
+            yield row
 
 
 def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,16 +63,30 @@ def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), starts, letters
 
 
-def fit(docs: DataFrame, *, per_language: int = 400, languages: int = 32) -> TrigramModel:
-    """From texts with a known `lang`; at most per_language of each of at most languages languages reach the driver."""
-    known = docs.where("lang is not null and text is not null and length(text) > 0")
-    names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    rows = []
-    for name in sorted(names):
-        texts = [r.text for r in known.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language).select(F.substring("text", 1, 20_000).alias("text")).collect()]
-        counts = np.bincount(_trigrams(texts)[0], minlength=1 << BITS) + 0.05
-        rows.append(np.log(counts / counts.sum()).astype(np.float32))
-    return TrigramModel(tuple(sorted(names)), np.stack(rows).tobytes() if rows else b"")
+def fit(docs: DataFrame, *, per_language: int = 400) -> TrigramModel:
+    """From the texts with a known `lang`, all of its values; at most per_language distinct whole texts of each."""
+    known = docs.where("lang is not null and text is not null and length(text) > 0").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"), "text")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
+    picked = known.select("lang", "h", "doc_id", "t").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "h", "t").distinct()
+    texts = known.join(F.broadcast(picked), ["lang", "h", "t"]).groupBy("lang", "h", "t").agg(F.first("text").alias("text")).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            names, values = whole.column("lang").to_pylist(), whole.column("text").to_pylist()
+            for a, z in slices(values, 1_000_000):
+                for name in sorted(set(names[a:z])):
+                    code, n = np.unique(_trigrams([t for t, own in zip(values[a:z], names[a:z], strict=True) if own == name])[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(code)), pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+
+    found = texts.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    names, codes, logs, floors = [], [], [], []
+    for name, own in found.sort_values(["lang", "code"]).groupby("lang"):
+        total = own["n"].sum() + 0.05 * (1 << BITS)
+        names.append(name)
+        codes.append(own["code"].to_numpy(np.uint16).tobytes())
+        logs.append(np.log((own["n"].to_numpy() + 0.05) / total).astype(np.float32).tobytes())
+        floors.append(float(np.log(0.05 / total)))
+    return TrigramModel(tuple(names), tuple(codes), tuple(logs), tuple(floors))
 
 
 def likelihoods(model: TrigramModel, text: Column) -> Column:
@@ -70,7 +94,6 @@ def likelihoods(model: TrigramModel, text: Column) -> Column:
 
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
-        table = cached(("language", model.languages, model.table), model.array)
         values, out = texts.tolist(), []
         for a, z in slices(values, 1_000_000):
             code, starts, letters = _trigrams(values[a:z])
@@ -78,7 +101,7 @@ def likelihoods(model: TrigramModel, text: Column) -> Column:
                 out += [None] * (z - a)
                 continue
             starts = np.minimum(starts, len(code) - 1)
-            ll = np.stack([np.add.reduceat(row[code], starts, dtype=np.float64) for row in table], axis=1) / TEMPER
+            ll = np.stack([np.add.reduceat(row[code], starts, dtype=np.float64) for row in model.tables()], axis=1) / TEMPER
             out += [x if n else None for x, n in zip(ll, letters, strict=True)]
         return pd.Series(out, dtype=object)
 
@@ -123,9 +146,8 @@ def identify(rows: DataFrame, model: TrigramModel, *, text: Column, declared: Co
     # P(declared | language): counts, smoothed towards declarations that are right nine times in ten
     told = {d: [float(np.log(((said.get(d) or [0] * len(names))[k] + 5 * (0.9 if n == d else 0.1 / max(1, len(names) - 1))) / (total[k] + 5))) for k, n in enumerate(names)] for d in names}
     zero = F.array(*[F.lit(0.0)] * len(names))
-    says = zero
-    for d in names:
-        says = F.when(F.col("_said") == d, F.array(*map(F.lit, told[d]))).otherwise(says)
+    # one constant, however many languages there are
+    says = F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(told)), "map<string,array<double>>"), F.col("_said")), zero)
 
     small = known.count() <= BROADCAST_ROWS
     other = (F.broadcast(known) if small else known).withColumnsRenamed({"_host": "_h", "_suffix": "_s"})

@@ -68,3 +68,16 @@ def test_every_text_trains_the_ordinary_dictionary():
     model = toxicity.train(["vile idiot"] * 20, [long, *short, *["the rest calibrates"] * 5], most_windows=40)
     assert all(f"plain{k} ".encode() in model.ordinary for k in range(11))
     assert toxicity._shares([5, 1, 100, 0], 10) == [4, 1, 5, 0]
+
+
+def test_every_language_and_whole_texts_are_learned(spark):
+    rng = np.random.default_rng(3)
+    own = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)] for k in range(40)}
+    rows = [(n, " ".join(rng.choice(words, 30)), lang) for n, (lang, words) in enumerate((x for x in own.items() for _ in range(3)))]
+    rows.append((999, " " * 25_000 + " ".join(["zqzqxzq"] * 200), "late"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.fit(docs)
+    assert model.languages == tuple(sorted([*own, "late"]))
+    none = F.lit(None).cast("string")
+    found = language.identify(docs, model, text=F.col("text"), declared=none, host=none, suffix=none).select("lang", "language").collect()
+    assert len(found) == len(rows) and all(r.lang == r.language for r in found)
