@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -9,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,11 @@ WORD = "[^\x20\x09-\x0d]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests, local mode) a temporary one of our own."""
+    """The folder of spark.checkpoint.dir; only in local mode (tests), where it is unset, a temporary one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -36,17 +40,23 @@ def stored(df: DataFrame, partition: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def worker_cache() -> dict[Any, Any]:
-    """A dict that lives as long as the Python process, for models which each worker loads once."""
+def cached(key: tuple, make: Callable[[], Any]) -> Any:
+    """make()'s result, which a Python process keeps until it is asked for another one of the same kind, key's first entry."""
     holder = sys.modules.setdefault("_gridloom_worker", types.ModuleType("_gridloom_worker"))
-    return holder.__dict__.setdefault("cache", {})
+    cache: dict[str, tuple[tuple, Any]] = holder.__dict__.setdefault("cache", {})
+    if key[0] not in cache or cache[key[0]][0] != key:
+        cache.pop(key[0], None)
+        cache[key[0]] = key, make()
+    return cache[key[0]][1]
 
 
-def cached(key: Any, make: Callable[[], Any]) -> Any:
-    cache = worker_cache()
-    if key not in cache:
-        cache[key] = make()
-    return cache[key]
+def release() -> None:
+    """Gives memory that a batch has freed back to the system: Spark keeps its Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def scale(df: DataFrame, rows_each: int, least: int = 8) -> int:

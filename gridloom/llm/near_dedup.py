@@ -6,15 +6,16 @@ element's weight. Per coordinate the hit of smallest rank is the signature, so t
 probability of their (weighted) Jaccard similarity, and a text throws about k ln k + 2k darts however many elements it has.
 
 Rows of bands meet in buckets. A bucket does not compare all with all: in turns, its members are compared with a few pivots,
-which change from turn to turn, and linked texts become components. Once the pairs of different components that still
-share buckets are no more than twice the buckets' members (or after MOST_TURNS turns), all of these are compared, so that no link
-between components is lost. Comparisons are exact, on the sets of shingle hashes. With 24 bands of 5 rows a pair at 0.8 is
-missed with probability 7e-5, one at 0.85 with 2e-6.
+which change from turn to turn, and linked texts become components. Turns go on while each at least halves the pairs of
+different components that share buckets. Among the members of the buckets that still hold several components, the rest of
+the links is found by prefix and positional filters over their shingles, rare ones first. These lose no pair at or above the
+threshold, and a crowd of alike texts that are not alike enough gives them few candidates. Comparisons are exact, on the
+sets of 64-bit shingle hashes. With 24 bands of 5 rows a pair at 0.8 is missed with probability 7e-5, one at 0.85 with 2e-6.
 
 Texts of the same words are one class before anything else; a class is compared once, whatever its copies. Null texts,
 empty texts and those without words are no near-duplicates, each row being a class of its own; texts of fewer than five
-words have one shingle, all their words. Rows without doc_id are classes of their own too, with a null class. Other
-columns are not carried. An empty table gives an empty result.
+words have one shingle, all their words. Very long texts are hashed one at a time. Rows without doc_id are classes of their
+own too, with a null class. Other columns, whatever their names, are not carried. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,13 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import release, stored
 from gridloom.llm.components import connected
 from gridloom.llm.wordhash import grams, mix, slices, words
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
-#: Pivots of a bucket in a turn, and turns.
-PIVOTS, MOST_TURNS = 6, 3
+#: Pivots of a bucket in a turn.
+PIVOTS = 6
+#: How many counters order shingles by how many texts have them; sharing a counter costs time, not links.
+COUNTERS = 1 << 18
+#: Sizes within a bin differ by this factor at most.
+BIN = 1.03
 #: Below so many keys a table of keys is broadcast; above, joined by shuffling.
 BROADCAST_KEYS = 1_000_000
 _CDF = np.cumsum([np.exp(-1.0)] + [np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(1, 16)])
@@ -118,7 +123,7 @@ def _band_hashes(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """(doc_id, key, buckets): key is null without words."""
+    """(doc_id, key, size, buckets): key is null without words; size counts distinct shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
@@ -128,22 +133,24 @@ def _signed(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame
                 sig = signatures(of, value, weight if weighted else np.ones_like(weight), z - a, bands * rows)
                 hashes = _band_hashes(sig, bands)
                 lists = [h if k else [] for h, k in zip(hashes, keys, strict=True)]
+                sizes = pa.array(np.bincount(of, minlength=z - a).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [whole.column("doc_id").slice(a, z - a), pa.array([k or None for k in keys], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "key", "buckets"]
+                    [whole.column("doc_id").slice(a, z - a), pa.array([k or None for k in keys], pa.binary()), sizes, pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "key", "size", "buckets"]
                 )
+        release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, key binary, buckets array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, key binary, size int, buckets array<long>")
 
 
 @F.pandas_udf(T.BinaryType())
 def _sets(texts: pd.Series) -> pd.Series:
-    """The sorted shingle hashes, four bytes each."""
+    """The sorted shingle hashes, eight bytes each."""
     values, out = texts.tolist(), []
     for a, z in slices(values, 400_000):
         of, value, _, _ = shingles(values[a:z])
-        low = (value >> np.uint64(32)).astype("<u4")
-        for part in np.split(low, np.searchsorted(of, np.arange(1, z - a))):
+        for part in np.split(value.astype("<u8"), np.searchsorted(of, np.arange(1, z - a))):
             out.append(part.tobytes())
+    release()
     return pd.Series(out)
 
 
@@ -152,7 +159,7 @@ def _similar(threshold: float):
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         out = np.zeros(len(a), dtype=bool)
         for k, (x, y) in enumerate(zip(a, b, strict=True)):
-            x, y = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
+            x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
             if min(len(x), len(y)) >= threshold * max(len(x), len(y)) - 1e-9:
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
@@ -163,6 +170,7 @@ def _similar(threshold: float):
 
 
 def _near(table: DataFrame, rows: int) -> DataFrame:
+    """table, marked for broadcasting if its counted rows are few."""
     return F.broadcast(table) if rows <= BROADCAST_KEYS else table
 
 
@@ -178,72 +186,132 @@ def _classed(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, row
     """near_duplicates with the key of each row's words and the class itself, part: ids may stand in several classes."""
     signed = stored(_signed(docs, bands, rows, weighted))
     usable = signed.where("key is not null and doc_id is not null")
-    classes = stored(usable.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("buckets").alias("buckets")))
-    members = classes.select("key", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket")
+    classes = usable.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("buckets").alias("buckets"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()))
+    members = classes.select("cid", "size", F.explode("buckets").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high").select("bucket")
     # the members of buckets of two or more: all that later steps need of the bands
-    met = stored(members.join(shared, "bucket").select("bucket", "key"))
-    involved = stored(met.select("key").distinct().join(classes.select("key", "first"), "key"))
+    met = stored(members.join(shared, "bucket").select("bucket", "cid", "size"))
+    involved = stored(met.select("cid").distinct().join(classes.select("cid", "key", "first"), "cid"))
     sets = stored(_shingle_sets(docs, involved))
-    open_, tested, links, parts = met.withColumn("part", F.col("key")), None, None, None
-    for turn in range(MOST_TURNS + 1):
+    open_, tested, links, parts, before, turn, last = met.withColumn("part", F.col("cid")), None, None, None, None, 0, False
+    while not last:
         # how many pairs of different components still share buckets
         sizes = open_.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        rows, crossed = sizes.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()
+        crossed = sizes.agg(F.coalesce(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0]
         if not crossed:
             break
-        last = turn > 0 and crossed <= 2 * rows or turn == MOST_TURNS
-        fresh = _ordered(_all_open(open_) if last else _pivot_pairs(open_, turn)).distinct()
+        last = before is not None and crossed > before / 2
+        fresh = _ordered(_prefix_pairs(open_, sets, threshold) if last else _pivot_pairs(open_, turn, threshold)).distinct()
         fresh = stored(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"))
         tested = fresh if tested is None else tested.unionByName(fresh)
         more = stored(_verified(fresh, sets, threshold))
         links = more if links is None else links.unionByName(more)
         parts = connected(links)
-        if last:
-            break
-        joined = met.join(parts.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("part"))
-        split = joined.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-        open_ = stored(joined.join(split, "bucket"))
+        before, turn = crossed, turn + 1
+        if not last:
+            joined = met.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", "size", F.coalesce("component", "cid").alias("part"))
+            split = joined.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+            open_ = stored(joined.join(split, "bucket"))
     if parts is None:
-        parts = met.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
-    own = classes.select("key", "first", "copies").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
+        parts = met.select(F.col("cid").alias("node"), F.col("cid").alias("component")).limit(0)
+    own = classes.select("key", "cid", "first", "copies").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid"))
     linked = own.where("component is not null").groupBy("part").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     found = own.join(linked, "part", "left").select("key", "part", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"))
     met_ids = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(found, "key", "left")
     return met_ids.select("doc_id", "key", "part", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
-def _pivot_pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """Each member with some others of its bucket, which change from turn to turn, if their components differ."""
+def _pivot_pairs(open_: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """Each member with some others of its bucket, which change from turn to turn, if their components differ and their
+    sizes are not too far apart to be alike."""
     picks = []
     for k in range(PIVOTS // 2):
-        ranked = F.struct(F.xxhash64("key", F.lit(turn * PIVOTS + k)).alias("h"), F.col("key"), F.col("part"))
+        ranked = F.struct(F.xxhash64("cid", F.lit(turn * PIVOTS + k)).alias("h"), F.col("cid"), F.col("part"), F.col("size"))
         picks += [F.min(ranked).alias(f"p{2 * k}"), F.max(ranked).alias(f"p{2 * k + 1}")]
     pivots = open_.groupBy("bucket").agg(*picks).select("bucket", F.array_distinct(F.array(*[f"p{k}" for k in range(len(picks))])).alias("ps"))
-    met = open_.join(pivots, "bucket").select("key", F.explode(F.filter("ps", lambda p: p["part"] != F.col("part"))).alias("p"))
-    return met.select("key", F.col("p.key").alias("other"))
+    near = lambda p: (p["part"] != F.col("part")) & (F.least(p["size"], "size") >= F.greatest(p["size"], "size") * threshold - 1e-9)
+    met = open_.join(pivots, "bucket").select("cid", F.explode(F.filter("ps", near)).alias("p"))
+    return met.select("cid", F.col("p.cid").alias("other"))
+
 
+def _prefix_pairs(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of members of different components that may reach the threshold.
 
-def _all_open(open_: DataFrame) -> DataFrame:
-    """Every two members of a bucket of different components."""
-    left, right = open_.alias("l"), open_.alias("r")
-    crossed = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.part") < F.col("r.part")))
-    return crossed.select(F.col("l.key").alias("key"), F.col("r.key").alias("other"))
+    Shingles are put in one order for all texts, those of few texts first. Two sets as alike as the threshold share a
+    shingle among their first ones: among the first |y| - ceil(t |y|) + 1 of the larger, and the first
+    |x| - ceil(2t / (1 + t) |x|) + 1 of the smaller; and where they first share one, what follows must suffice for the
+    overlap that their sizes ask for. On a shingle, members of its commonest component meet only those of others, which
+    look for partners in the bins of sizes that their place in the order allows.
+    """
+    t = threshold
+    who = open_.select("cid", "part").distinct()
+    found = sets.join(_near(who, who.count()), "cid")
+    seen = _counts(found)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
+            tokens, rows, places = [], [], []
+            sizes = np.zeros(whole.num_rows, dtype=np.int32)
+            for row, raw in enumerate(whole.column("set").to_pylist()):
+                own = np.frombuffer(raw, dtype="<u8")
+                sizes[row] = len(own)
+                lead = own[np.lexsort((own, seen[own % np.uint64(COUNTERS)]))][: len(own) - int(np.ceil(t * len(own) - 1e-9)) + 1]
+                tokens.append(lead), rows.append(np.full(len(lead), row)), places.append(np.arange(len(lead), dtype=np.int32))
+            at = np.concatenate(rows)
+            of = pa.array(at)
+            columns = [pa.array(np.concatenate(tokens).view(np.int64)), whole.column("cid").take(of), whole.column("part").take(of), pa.array(sizes[at]), pa.array(np.concatenate(places))]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "cid", "part", "size", "at"])
+        release()
+
+    leads = stored(found.select("cid", "part", "set").mapInArrow(first, "token long, cid long, part long, size int, at int"))
+    common = leads.groupBy("token", "part").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("major"), F.count("*").alias("several")).where("several > 1")
+    met = stored(leads.join(common.drop("several"), "token").withColumn("early", F.expr(f"at < size - ceil({2 * t / (1 + t)!r}D * size - 1e-9D) + 1")))
+    size_bin = lambda n: F.floor(F.log(n) / float(np.log(BIN))).cast("int")
+    most = F.floor((F.col("size") - F.col("at")) * ((1 + t) / t) - F.col("size") + 1e-9)
+    smaller = F.struct(F.lit(False).alias("larger"), F.ceil(F.col("size") * t - 1e-9).alias("low"), F.least("size", most).alias("high"))
+    larger = F.struct(F.lit(True).alias("larger"), F.col("size").cast("long").alias("low"), F.least(F.floor(F.col("size") / t + 1e-9), most).alias("high"))
+    few = met.where("part <> major").withColumn("p", F.explode(F.array(smaller, larger))).where("p.low <= p.high and (early or not p.larger)")
+    few = few.select("token", "cid", "part", "size", "at", "p.larger", F.explode(F.sequence(size_bin(F.col("p.low")), size_bin(F.col("p.high")))).alias("bin")).alias("f")
+    # a partner that is to be the smaller one has the shingle among its fewer first ones
+    many = met.withColumn("larger", F.explode(F.array(F.lit(True), F.lit(False)))).where("larger or early").withColumn("bin", size_bin(F.col("size"))).alias("m")
+    c = F.col
+    ordered = F.when(c("f.larger"), c("m.size") >= c("f.size")).otherwise(c("m.size") <= c("f.size"))
+    suffices = F.least(c("f.size") - c("f.at"), c("m.size") - c("m.at")) >= (c("f.size") + c("m.size")) * (t / (1 + t)) - 1e-9
+    on = [c(f"f.{k}") == c(f"m.{k}") for k in ("token", "larger", "bin")]
+    return few.join(many, [*on, c("f.part") != c("m.part"), ordered, suffices]).select(c("f.cid").alias("cid"), c("m.cid").alias("other"))
+
+
+def _counts(found: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall on each of the counters: a table of fixed size, whatever the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, dtype=np.int64)
+        for b in batches:
+            for raw in b.column("set").to_pylist():
+                np.add.at(seen, np.frombuffer(raw, dtype="<u8") % np.uint64(COUNTERS), 1)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], names=["counter", "n"])
+
+    sums = found.select("set").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[sums["counter"].to_numpy()] = sums["n"].to_numpy()
+    return out
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    low: Column = F.least("key", "other")
-    return pairs.select(low.alias("a"), F.greatest("key", "other").alias("b"))
+    low: Column = F.least("cid", "other")
+    return pairs.select(low.alias("a"), F.greatest("cid", "other").alias("b"))
 
 
 def _shingle_sets(docs: DataFrame, involved: DataFrame) -> DataFrame:
-    """(key, set) of the classes that some pair names, from one of each class's texts."""
+    """(cid, set) of the classes that share buckets, from one of each class's texts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text").where("text is not null")
     # an id that rows of different texts share names several classes; the digest of the words tells them apart
     ids = involved.select("first").distinct()
     found = texts.join(_near(ids, ids.count()), "first")
     keyed = found.select(_keys("text").alias("key"), _sets("text").alias("set"))
-    return keyed.where("key is not null").groupBy("key").agg(F.first("set").alias("set"))
+    return keyed.where("key is not null").groupBy("key").agg(F.first("set").alias("set")).join(involved.select("key", "cid"), "key").select("cid", "set")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -257,8 +325,8 @@ def _keys(texts: pd.Series) -> pd.Series:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    one = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a")
-    both = one.join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+    one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a")
+    both = one.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
     return both.where(_similar(threshold)("x", "y")).select("a", "b")
 
 

@@ -71,3 +71,38 @@ def test_one_row_of_each_class_is_kept(spark):
     kept = [tuple(r) for r in N.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     want = [(1, "a"), (3, "b"), (4, "c"), (None, "d"), (5, "e"), (5, "f"), (8, "g"), (8, "h")]
     assert sorted(kept, key=repr) == sorted([*((i, text(name)) for i, name in want), (7, ""), (7, ""), (None, None)], key=repr)
+
+
+def crowd(rng, n, length, most):
+    """Texts of one base with 0 to most words replaced, dropped or put in."""
+    base = [f"w{v}" for v in rng.integers(0, 500, length)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(int(rng.integers(0, most + 1))):
+            k, kind = int(rng.integers(0, len(w))), rng.integers(0, 4)
+            w[k : k + 1] = [f"x{rng.integers(0, 30 if kind == 1 else 10**6)}"] if kind < 2 else [] if kind == 2 else [w[k], "w1"]
+        out.append(" ".join(w))
+    return out
+
+
+def test_a_crowd_that_is_not_all_alike(spark):
+    rng = np.random.default_rng(11)
+    texts = crowd(rng, 150, 80, 8) + crowd(rng, 60, 30, 4) + crowd(rng, 40, 400, 30)
+    want = classes(texts)
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert got == dict(enumerate(want)) and 20 < len(set(want)) < len(texts)
+
+
+def test_filters_lose_no_pair(spark):
+    """All texts in one bucket, none linked: every pair at the threshold is a candidate, few others are."""
+    rng = np.random.default_rng(3)
+    texts = list(dict.fromkeys(crowd(rng, 120, 60, 8) + crowd(rng, 40, 9, 2) + ["a b c d e", "a b c d e f", "one", "two"]))
+    of, value, _, _ = N.shingles(texts)
+    own = [set(value[of == k].tolist()) for k in range(len(texts))]
+    sets = spark.createDataFrame([(k, bytearray(np.sort(np.array(list(s), dtype="<u8")).tobytes())) for k, s in enumerate(own)], "cid long, set binary")
+    for threshold in (0.8, 0.55, 1.0):
+        open_ = spark.createDataFrame([(k, k, len(s)) for k, s in enumerate(own)], "cid long, part long, size int")
+        got = {(r.a, r.b) for r in N._ordered(N._prefix_pairs(open_, sets, threshold)).collect()}
+        want = {(a, b) for b in range(len(own)) for a in range(b) if len(own[a] & own[b]) >= threshold * len(own[a] | own[b]) - 1e-9}
+        assert want <= got and len(got) < len(own) * (len(own) - 1) / 2
