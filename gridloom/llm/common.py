@@ -59,6 +59,9 @@ def release() -> None:
         pass
 
 
-def scale(df: DataFrame, rows_each: int, least: int = 8) -> int:
-    """A number of partitions in proportion to df's rows; one counting pass over whatever column is cheapest."""
-    return max(least, -(-df.count() // rows_each))
+def unused(columns: list[str]) -> str:
+    """A prefix that none of the columns has, for temporary ones beside them."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import release, stored
+from gridloom.llm.common import release, stored, unused
 from gridloom.llm.components import connected
 from gridloom.llm.wordhash import grams, mix, slices, words
 
@@ -321,6 +321,7 @@ def _keys(texts: pd.Series) -> pd.Series:
         w = words(values[a:z])
         raw = w.hash.tobytes()
         out += [hashlib.blake2b(raw[8 * i : 8 * j], digest_size=16).digest() if j > i else None for i, j in zip(w.first[:-1], w.first[1:], strict=True)]
+    release()
     return pd.Series(out, dtype=object)
 
 
@@ -338,15 +339,17 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """
     # an id for those without, above all usual ones; should one be met, the words still tell the rows apart
     made = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(2**62)
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
-    classed = _classed(own.select(F.col("_id").alias("doc_id"), "text"), **options).where("key is not null")
+    t = unused(docs.columns)
+    id_, key = f"{t}id", f"{t}key"
+    own = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), made))
+    classed = _classed(own.select(F.col(id_).alias("doc_id"), "text"), **options).where("key is not null")
     rows = stored(classed.groupBy("doc_id", "key").agg(F.first("part").alias("part"), F.count("*").alias("n")))
     best = rows.groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.sum("n").alias("all")).where("all > 1").select("part", "best")
-    met = stored(rows.join(best, "part").withColumn("stays", F.col("best") == F.struct("doc_id", "key")).where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "stays"))
+    met = stored(rows.join(best, "part").withColumn("stays", F.col("best") == F.struct("doc_id", "key")).where("not stays or n > 1").select(F.col("doc_id").alias(id_), F.col("key").alias(key), "stays"))
     gone, again = met.drop("stays"), met.where("stays").drop("stays")
-    left = own.withColumn("_key", _keys("text")).join(_near(gone, gone.count()), ["_id", "_key"], "left_anti").select(docs.columns)
-    ids, many = again.select("_id").distinct(), again.count()
-    copies = own.join(_near(ids, many), "_id", "left_semi").withColumn("_key", _keys("text")).join(_near(again, many), ["_id", "_key"], "left_semi")
+    left = own.withColumn(key, _keys("text")).join(_near(gone, gone.count()), [id_, key], "left_anti").select(docs.columns)
+    ids, many = again.select(id_).distinct(), again.count()
+    copies = own.join(_near(ids, many), id_, "left_semi").withColumn(key, _keys("text")).join(_near(again, many), [id_, key], "left_semi")
     row = F.struct(*docs.columns)
-    one = copies.groupBy("_id", "_key").agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
+    one = copies.groupBy(id_, key).agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
     return left.unionByName(one)

@@ -7,7 +7,10 @@ first counting arrival comes first takes the row. Changing one shard's weight on
 shard, so rows move only into or out of it and no other subtree is disturbed; shares are in proportion to weights.
 
 Law `key`: the row's id and the topology decide. Null ids share one key. Repeated rows go to the same shard, each with
-a slot of its own. Empty and null texts have no bytes. An empty table gives an empty result.
+a slot of its own. Empty and null texts have no bytes, and texts of any length are only measured. Extra columns stay, and
+an input column named like an output column is replaced. An empty table gives an empty result. A tree whose weights are
+all 0, or lie outside 0 to their capacity, is refused. A row takes as many draws as capacity is larger than weight, so a
+capacity should not exceed its weight by orders of magnitude.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import stored, unused
 
 RACKS, PLACES = 2, 4
 
@@ -59,6 +62,8 @@ def _draw(key: np.ndarray, *salts: int) -> np.ndarray:
 
 def assign(keys: np.ndarray, tree: tuple[Shard, ...]) -> np.ndarray:
     """The shard of each 64-bit key."""
+    if not any(s.weight > 0 for s in tree) or not all(0 <= s.weight <= s.capacity < float("inf") for s in tree):
+        raise ValueError("weights lie between 0 and their capacity, and one at least above 0")
     keys = _mix(np.asarray(keys, dtype=np.int64).view(np.uint64) + np.uint64(0x5851F42D4C957F2D))
     best, out = np.full(len(keys), np.inf), np.full(len(keys), -1, dtype=np.int32)
     # regions that are full settle on their first arrival; those with free places go last, so most rows stop early
@@ -95,13 +100,17 @@ def assign(keys: np.ndarray, tree: tuple[Shard, ...]) -> np.ndarray:
 
 
 def shard_of(tree: tuple[Shard, ...]):
-    """A column function: the shard of a long key; null counts as one key."""
+    """A column function: the shard of a long key; null counts as one key, -2^62.
+
+    Nulls are replaced before the batch is made: pandas would turn a batch with a null into doubles, which have no room for
+    all of a long's digits.
+    """
 
     @F.pandas_udf("int")
     def of(keys: pd.Series) -> pd.Series:
-        return pd.Series(assign(keys.fillna(-(2**62)).to_numpy(dtype=np.int64), tree))
+        return pd.Series(assign(keys.to_numpy(dtype=np.int64), tree))
 
-    return of
+    return lambda key: of(F.coalesce(key.cast("long"), F.lit(-(2**62))))
 
 
 def shard(rows: DataFrame, tree: tuple[Shard, ...], grown: tuple[Shard, ...] | None = None, *, key: str = "doc_id") -> DataFrame:
@@ -111,13 +120,13 @@ def shard(rows: DataFrame, tree: tuple[Shard, ...], grown: tuple[Shard, ...] | N
     count their rows per shard, and the running sums of these counts place each block. A block's rows of one shard meet
     in one task, a block being what one task wrote.
     """
-    placed = rows.withColumn("shard", shard_of(tree)(F.col(key)))
-    placed = placed.withColumn("grown_shard", shard_of(grown)(F.col(key)) if grown else F.lit(None).cast("int"))
-    placed = stored(placed.withColumn("_at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_block", F.shiftright("_at", 33))
-    counts = placed.groupBy("_block", "shard").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_block", "shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_block", "shard").orderBy("_at")
-    numbered = placed.withColumn("_in", F.row_number().over(inside) - 1).join(starts, ["_block", "shard"])
-    return numbered.withColumn("slot", (F.col("_start") + F.col("_in")).cast("long")).drop("_block", "_at", "_in", "_start")
+    t = unused([*rows.columns, key])
+    at, block, place, start = (f"{t}{n}" for n in ("at", "block", "place", "start"))
+    made = {"shard": shard_of(tree)(F.col(key)), "grown_shard": shard_of(grown)(F.col(key)) if grown else F.lit(None).cast("int"), at: F.monotonically_increasing_id()}
+    placed = stored(rows.withColumns(made)).withColumn(block, F.shiftright(at, 33))
+    counts = placed.groupBy(block, "shard").agg(F.count("*").alias(place))
+    before = Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(block, "shard", F.coalesce(F.sum(place).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy(block, "shard").orderBy(at)
+    numbered = placed.withColumn(place, F.row_number().over(inside) - 1).join(starts, [block, "shard"])
+    return numbered.withColumn("slot", (F.col(start) + F.col(place)).cast("long")).drop(block, at, place, start)
