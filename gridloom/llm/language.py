@@ -6,7 +6,7 @@ smoothed towards the whole table's. Declarations and priors are counts over all
 trigram model is fitted on a bounded sample of labelled texts: of every language of the table at most `per_language`
 distinct whole texts, smallest id hash first. They are counted where they lie; only the counts reach the driver.
 
-A text without letters has no evidence of its own: its language is null and its confidence 0. Null hosts, suffixes and
+Letters are those of any script; marks, digits, dashes and pictures are none. A text without letters has no evidence of its own: its language is null and its confidence 0. Null hosts, suffixes and
 declarations are no evidence. Ties go to the alphabetically first language. Rows repeat as they are given; extra columns
 stay, and an input column named like an output column is replaced. Without labelled texts every language is null.
 """
@@ -14,6 +14,7 @@ stay, and an input column named like an output column is replaced. Without label
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import release, stored, unused
 from gridloom.llm.wordhash import slices
 
 BITS = 16
@@ -31,7 +32,8 @@ BITS = 16
 TEMPER = 6.0
 #: Below so many host rows the prior table is broadcast; above, joined by shuffling.
 BROADCAST_ROWS = 50_000
-_PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+#: What is no letter in any script.
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,7 @@ class TrigramModel:
 
 def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trigram hashes of all texts in a row, each text's first place, and its number of letters' bytes."""
-    raw = [(" " + t.lower()).encode("utf-8", "replace").translate(_PLAIN) if t else b"" for t in texts]
+    raw = [(" " + _OTHER.sub(" ", t.lower())).encode("utf-8", "replace") if t else b"" for t in texts]
     b = np.frombuffer(b"\0\0".join([*raw, b""]), dtype=np.uint8).astype(np.uint32)
     sizes = np.fromiter((len(r) + 2 for r in raw), dtype=np.int64, count=len(raw))
     starts = np.cumsum(sizes) - sizes
@@ -103,6 +105,7 @@ def likelihoods(model: TrigramModel, text: Column) -> Column:
             starts = np.minimum(starts, len(code) - 1)
             ll = np.stack([np.add.reduceat(row[code], starts, dtype=np.float64) for row in model.tables()], axis=1) / TEMPER
             out += [x if n else None for x, n in zip(ll, letters, strict=True)]
+        release()
         return pd.Series(out, dtype=object)
 
     return of(text)
@@ -116,14 +119,15 @@ def identify(rows: DataFrame, model: TrigramModel, *, text: Column, declared: Co
     names = list(model.languages)
     if not names:
         return rows.drop(*drop).withColumns({"language": F.lit(None).cast("string"), "confidence": F.lit(0.0), "text_language": F.lit(None).cast("string")})
+    t = unused(rows.columns)
     lang = F.array(*map(F.lit, names))
     best = lambda x: F.element_at(lang, F.array_position(x, F.array_max(x)).cast("int"))
-    base = rows.withColumns({"_ll": likelihoods(model, text), "_said": F.lower(F.substring(F.trim(declared), 1, 2)), "_host": host, "_suffix": suffix}).drop(*drop)
-    base = base.withColumn("text_language", F.when(F.col("_ll").isNotNull(), best(F.col("_ll"))))
+    base = rows.withColumns({f"{t}ll": likelihoods(model, text), f"{t}said": F.lower(F.regexp_extract(F.trim(declared), "^[A-Za-z]{2,8}(?=[-_]|$)", 0)), f"{t}host": host, f"{t}suffix": suffix}).drop(*drop)
+    base = base.withColumn("text_language", F.when(F.col(f"{t}ll").isNotNull(), best(F.col(f"{t}ll"))))
 
     tally = [F.count_if(F.col("text_language") == n).alias(f"n{k}") for k, n in enumerate(names)]
-    slim = base.select("_said", "_host", "_suffix", "text_language").where("text_language is not null")
-    counts = stored(slim.groupBy("_said", "_host", "_suffix").agg(*tally))
+    slim = base.select(f"{t}said", f"{t}host", f"{t}suffix", "text_language").where("text_language is not null")
+    counts = stored(slim.groupBy(f"{t}said", f"{t}host", f"{t}suffix").agg(*tally))
     sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(len(names))]
     array = F.array(*[F.col(f"n{k}").cast("double") for k in range(len(names))]).alias("n")
     total = counts.agg(*sums).select(array).first().n
@@ -135,30 +139,30 @@ def identify(rows: DataFrame, model: TrigramModel, *, text: Column, declared: Co
         return F.zip_with(n, parent, lambda x, p: (x + strength * p) / (every + strength))
 
     top = F.array(*map(F.lit, share))
-    by_suffix = counts.groupBy("_suffix").agg(*sums).select("_suffix", smoothed(array, top, 20.0).alias("_p"))
-    by_host = counts.groupBy("_host", "_suffix").agg(*sums).select("_host", "_suffix", array)
+    by_suffix = counts.groupBy(f"{t}suffix").agg(*sums).select(f"{t}suffix", smoothed(array, top, 20.0).alias(f"{t}p"))
+    by_host = counts.groupBy(f"{t}host", f"{t}suffix").agg(*sums).select(f"{t}host", f"{t}suffix", array)
     # hosts that stand in no row of their own suffix fall back to the suffix, and suffixes to the whole
-    known = by_host.join(by_suffix, by_host["_suffix"].eqNullSafe(by_suffix["_suffix"]), "left").select(
-        "_host", by_host["_suffix"], smoothed(F.col("n"), F.coalesce("_p", top), 10.0).alias("_prior")
+    known = by_host.join(by_suffix, by_host[f"{t}suffix"].eqNullSafe(by_suffix[f"{t}suffix"]), "left").select(
+        f"{t}host", by_host[f"{t}suffix"], smoothed(F.col("n"), F.coalesce(f"{t}p", top), 10.0).alias(f"{t}prior")
     )
     known = stored(known)
-    said = {r._said: [r[f"n{k}"] for k in range(len(names))] for r in counts.where(F.col("_said").isin(names)).groupBy("_said").agg(*sums).collect()}
+    said = {r[f"{t}said"]: [r[f"n{k}"] for k in range(len(names))] for r in counts.where(F.col(f"{t}said").isin(names)).groupBy(f"{t}said").agg(*sums).collect()}
     # P(declared | language): counts, smoothed towards declarations that are right nine times in ten
     told = {d: [float(np.log(((said.get(d) or [0] * len(names))[k] + 5 * (0.9 if n == d else 0.1 / max(1, len(names) - 1))) / (total[k] + 5))) for k, n in enumerate(names)] for d in names}
     zero = F.array(*[F.lit(0.0)] * len(names))
     # one constant, however many languages there are
-    says = F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(told)), "map<string,array<double>>"), F.col("_said")), zero)
+    says = F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(told)), "map<string,array<double>>"), F.col(f"{t}said")), zero)
 
     small = known.count() <= BROADCAST_ROWS
-    other = (F.broadcast(known) if small else known).withColumnsRenamed({"_host": "_h", "_suffix": "_s"})
-    met = base.join(other, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_suffix").eqNullSafe(F.col("_s")), "left")
-    prior = F.transform(F.coalesce("_prior", top), lambda p: F.log(p))
-    score = F.zip_with(F.zip_with(F.col("_ll"), prior, lambda a, b: a + b), says, lambda a, b: a + b)
-    met = met.withColumn("_score", F.when(F.col("_ll").isNotNull(), score))
-    most = F.array_max("_score")
-    odds = F.aggregate(F.transform("_score", lambda x: F.exp(x - most)), F.lit(0.0), lambda a, x: a + x)
-    done = met.withColumns({"language": F.when(F.col("_ll").isNotNull(), best(F.col("_score"))), "confidence": F.when(F.col("_ll").isNotNull(), 1 / odds).otherwise(0.0)})
-    return done.drop("_ll", "_said", "_host", "_suffix", "_prior", "_score", "_h", "_s")
+    other = (F.broadcast(known) if small else known).withColumnsRenamed({f"{t}host": f"{t}h", f"{t}suffix": f"{t}s"})
+    met = base.join(other, F.col(f"{t}host").eqNullSafe(F.col(f"{t}h")) & F.col(f"{t}suffix").eqNullSafe(F.col(f"{t}s")), "left")
+    prior = F.transform(F.coalesce(f"{t}prior", top), lambda p: F.log(p))
+    score = F.zip_with(F.zip_with(F.col(f"{t}ll"), prior, lambda a, b: a + b), says, lambda a, b: a + b)
+    met = met.withColumn(f"{t}score", F.when(F.col(f"{t}ll").isNotNull(), score))
+    most = F.array_max(f"{t}score")
+    odds = F.aggregate(F.transform(f"{t}score", lambda x: F.exp(x - most)), F.lit(0.0), lambda a, x: a + x)
+    done = met.withColumns({"language": F.when(F.col(f"{t}ll").isNotNull(), best(F.col(f"{t}score"))), "confidence": F.when(F.col(f"{t}ll").isNotNull(), 1 / odds).otherwise(0.0)})
+    return done.drop(f"{t}ll", f"{t}said", f"{t}host", f"{t}suffix", f"{t}prior", f"{t}score", f"{t}h", f"{t}s")
 
 
 def html_text(html: Column) -> Column:
@@ -168,7 +172,7 @@ def html_text(html: Column) -> Column:
 
 
 def html_lang(html: Column) -> Column:
-    found = F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2})""", 1)
+    found = F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,8})(?![A-Za-z])""", 1)
     return F.when(found != "", F.lower(found))
 
 

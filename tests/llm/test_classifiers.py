@@ -81,3 +81,19 @@ def test_every_language_and_whole_texts_are_learned(spark):
     none = F.lit(None).cast("string")
     found = language.identify(docs, model, text=F.col("text"), declared=none, host=none, suffix=none).select("lang", "language").collect()
     assert len(found) == len(rows) and all(r.lang == r.language for r in found)
+
+
+def test_letterless_texts_and_clashing_columns(spark):
+    texts = ["— … “”", "😀 👍", "123 456", "¡!", "", None, "the cat sat on the mat and the dog", "la casa está en la montaña más alta"]
+    docs = spark.createDataFrame([(k, ["the cat is on the mat and the sun", "la niña está en la casa de su abuela"][k % 2], ["en", "es"][k % 2]) for k in range(20)], "doc_id long, text string, lang string")
+    rows = spark.createDataFrame([(k, t, "kept", "kept too") for k, t in enumerate(texts)], "k int, text string, _ll string, _host string")
+    none = F.lit(None).cast("string")
+    found = language.identify(rows, language.fit(docs), text=F.col("text"), declared=none, host=none, suffix=none)
+    got = {r.k: r for r in found.collect()}
+    assert [got[k].language for k in range(8)] == [None] * 6 + ["en", "es"]
+    assert [got[k].confidence for k in range(6)] == [0.0] * 6 and {r["_ll"] for r in got.values()} == {"kept"} and {r["_host"] for r in got.values()} == {"kept too"}
+
+
+def test_declarations_and_hosts_by_their_primary_language(spark):
+    html = spark.createDataFrame([('<html lang="en-GB">',), ("<html class=x lang=deu>",), ("<HTML LANG='fr'>",), ("<html>",), (None,)], "html string")
+    assert [r[0] for r in html.select(language.html_lang(F.col("html"))).collect()] == ["en", "deu", "fr", None, None]
