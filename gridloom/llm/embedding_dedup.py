@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import release, stored
 from gridloom.llm.components import connected
 from gridloom.llm.vectors import matrix, numbered, usable
 
@@ -103,6 +103,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95) -> DataFrame
         a = np.concatenate([node[some], node[[e[0] for e in edges]] if edges else np.zeros(0, dtype=np.int64)])
         b = pa.array([None] * len(some) + (node[[e[1] for e in edges]].tolist() if edges else []), pa.int64())
         n = np.concatenate([degree[some], np.zeros(len(edges), dtype=np.int64)])
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": b, "n": pa.array(n, pa.int64())})
 
     found = stored(met.groupBy("p", "q", "dims").applyInArrow(compare, "a long, b long, n long"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import cached, stored
+from gridloom.llm.common import cached, release, stored
 
 CAPACITY, END = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
@@ -94,6 +94,7 @@ def pieces(docs: DataFrame, *, vocabulary: str, capacity: int = CAPACITY, end: i
                 own = [batch.column(c).take(pa.array(of, pa.int32())) for c in keep]
                 new = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(np.full(len(of), block, dtype=np.int32)), pa.array(rank)]
                 yield pa.RecordBatch.from_arrays([*own, *new], names=schema.names)
+            release()
 
     return kept.mapInArrow(cut, schema)
 

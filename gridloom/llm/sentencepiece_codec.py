@@ -17,7 +17,6 @@ is replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import re
 import string
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cached
+from gridloom.llm.common import cached, release
 from gridloom.llm.wordhash import slices
 
 MARK = "▁"
@@ -62,8 +61,6 @@ class Codec:
         for value, k in self.bytes.items():
             self.text[k] = bytes([value])
         self.text[self.unknown] = " ⁇ ".encode()
-        # the caches hold no cycles, and walking them over and over costs more than it frees
-        gc.disable()
         self.code = {piece: k.to_bytes(4, "little") for piece, k in self.ids.items()}
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -228,6 +225,7 @@ def encode(docs: DataFrame, model_file: str, *, text: str = "text", into: str =
         values, out = texts.tolist(), []
         for a, z in slices(values, 4_000_000):
             out += codec.encode(values[a:z])
+        release()
         return pd.Series(out, dtype=object)
 
     return docs.withColumn(into, ids_of(F.col(text)))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import release, stored, unused
 from gridloom.llm.fm_index import FMIndex
 from gridloom.llm.wordhash import Words, grams, mix, slices, words
 
@@ -78,6 +78,7 @@ def _key(texts: pd.Series) -> pd.Series:
     values, out = texts.tolist(), []
     for a, z in slices(values, 400_000):
         out += _keys(words(values[a:z]))
+    release()
     return pd.Series(out, dtype=object)
 
 
@@ -94,6 +95,7 @@ def _anchored(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 cut = np.searchsorted(owner, np.arange(z - a + 1))
                 lists = [route[p:q] for p, q in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([whole.column("doc_id").slice(a, z - a), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "key", "anchors"])
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     return rows.mapInArrow(run, "doc_id long, key binary, anchors array<long>").where("size(anchors) > 0")
@@ -125,6 +127,7 @@ def _emit(rows: DataFrame, window: int, anchor: int, bodies: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pid, pa.array(route.view(np.int64)), pa.array(spans, pa.binary()), pa.array(count.astype(np.int32)), copies], names=names)
                 else:
                     yield pa.RecordBatch.from_arrays([whole.column("key").slice(a, z - a).take(of), pid, pa.array((at - w.first[owner]).astype(np.int32))], names=names)
+        release()
 
     if bodies:
         return rows.select("text", "hot", "copies").mapInArrow(run, "pid binary, route long, body binary, windows int, copies long")
@@ -216,9 +219,11 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
                 keep = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                 found = [found[k] for k in keep]
             out.append((b" ".join(found).decode("utf-8", "surrogatepass"), n, n - len(found)))
+        release()
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
-    keyed = docs.withColumn("_key", _key("text"))
-    met = keyed.join(_by_text(docs, starts, "starts").withColumnsRenamed({"key": "_key2", "starts": "_starts"}), F.col("_key") == F.col("_key2"), "left")
-    done = met.withColumn("_kept", kept("text", "_starts"))
-    return done.withColumns({c: F.col(f"_kept.{c}") for c in ("text", "n_words", "n_removed")}).drop("_key", "_key2", "_starts", "_kept")
+    t = unused(docs.columns)
+    keyed = docs.withColumn(f"{t}key", _key("text"))
+    met = keyed.join(_by_text(docs, starts, "starts").withColumnsRenamed({"key": f"{t}key2", "starts": f"{t}starts"}), F.col(f"{t}key") == F.col(f"{t}key2"), "left")
+    done = met.withColumn(f"{t}kept", kept("text", f"{t}starts"))
+    return done.withColumns({c: F.col(f"{t}kept.{c}") for c in ("text", "n_words", "n_removed")}).drop(*[f"{t}{c}" for c in ("key", "key2", "starts", "kept")])

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cached
+from gridloom.llm.common import cached, release
 
 WINDOW = 16
 DICTIONARY = 4096
@@ -198,7 +198,9 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", into: st
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(model, texts.tolist()))
+        found = score_texts(model, texts.tolist())
+        release()
+        return pd.Series(found)
 
     return docs.withColumn(into, scored(F.col(text)))
 

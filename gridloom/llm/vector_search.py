@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import release, stored
 from gridloom.llm.vectors import matrix, numbered, usable
 
 PROJECTIONS, COLLIDE, WIDEN, START = 96, 0.6, 1.12, 0.8
@@ -119,6 +119,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, verified: float
                     out["query_id"] += [ids[at]] * len(places)
                     out["vec_id"] += ids[held][places].tolist()
                     out["score"] += scores.tolist()
+        release()
         kinds = {"query_row": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         return pa.table({c: pa.array(out[c], kind) for c, kind in kinds.items()})
 
