@@ -20,7 +20,6 @@ own too, with a null class. Other columns, whatever their names, are not carried
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import release, stored, unused
+from gridloom.llm.common import release, stored, unused, words_key
 from gridloom.llm.components import connected
 from gridloom.llm.wordhash import grams, mix, slices, words
 
@@ -46,8 +45,8 @@ BROADCAST_KEYS = 1_000_000
 _CDF = np.cumsum([np.exp(-1.0)] + [np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(1, 16)])
 
 
-def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(text, hash, weight) of the distinct shingles, sorted, and each text's key: a digest of its words, b"" without any."""
+def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, weight) of the distinct shingles, sorted; texts without words have none."""
     w = words(texts)
     n = np.diff(w.first)
     g = grams(w.hash, size)
@@ -64,9 +63,7 @@ def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray,
     new[1:] = (of[1:] != of[:-1]) | (value[1:] != value[:-1])
     places = np.flatnonzero(new)
     weight = np.diff(np.append(places, len(of)))
-    raw = w.hash.tobytes()
-    keys = [hashlib.blake2b(raw[8 * a : 8 * z], digest_size=16).digest() if z > a else b"" for a, z in zip(w.first[:-1], w.first[1:], strict=True)]
-    return of[places], value[places], weight, keys
+    return of[places], value[places], weight
 
 
 def _darts(element: np.ndarray, weight: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,17 +126,16 @@ def _signed(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame
         for whole in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = whole.column("text").to_pylist()
             for a, z in slices(texts, 200_000):
-                of, value, weight, keys = shingles(texts[a:z])
+                of, value, weight = shingles(texts[a:z])
                 sig = signatures(of, value, weight if weighted else np.ones_like(weight), z - a, bands * rows)
-                hashes = _band_hashes(sig, bands)
-                lists = [h if k else [] for h, k in zip(hashes, keys, strict=True)]
-                sizes = pa.array(np.bincount(of, minlength=z - a).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [whole.column("doc_id").slice(a, z - a), pa.array([k or None for k in keys], pa.binary()), sizes, pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "key", "size", "buckets"]
-                )
+                sizes = np.bincount(of, minlength=z - a).astype(np.int32)
+                lists = [h if n else [] for h, n in zip(_band_hashes(sig, bands), sizes, strict=True)]
+                own = [whole.column(c).slice(a, z - a) for c in ("doc_id", "key")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "key", "size", "buckets"])
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, key binary, size int, buckets array<long>")
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_key(F.col("text")).alias("key"), "text")
+    return rows_.mapInArrow(sign, "doc_id long, key binary, size int, buckets array<long>")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -147,7 +143,7 @@ def _sets(texts: pd.Series) -> pd.Series:
     """The sorted shingle hashes, eight bytes each."""
     values, out = texts.tolist(), []
     for a, z in slices(values, 400_000):
-        of, value, _, _ = shingles(values[a:z])
+        of, value, _ = shingles(values[a:z])
         for part in np.split(value.astype("<u8"), np.searchsorted(of, np.arange(1, z - a))):
             out.append(part.tobytes())
     release()
@@ -310,21 +306,10 @@ def _shingle_sets(docs: DataFrame, involved: DataFrame) -> DataFrame:
     # an id that rows of different texts share names several classes; the digest of the words tells them apart
     ids = involved.select("first").distinct()
     found = texts.join(_near(ids, ids.count()), "first")
-    keyed = found.select(_keys("text").alias("key"), _sets("text").alias("set"))
+    keyed = found.select(words_key(F.col("text")).alias("key"), _sets("text").alias("set"))
     return keyed.where("key is not null").groupBy("key").agg(F.first("set").alias("set")).join(involved.select("key", "cid"), "key").select("cid", "set")
 
 
-@F.pandas_udf(T.BinaryType())
-def _keys(texts: pd.Series) -> pd.Series:
-    values, out = texts.tolist(), []
-    for a, z in slices(values, 400_000):
-        w = words(values[a:z])
-        raw = w.hash.tobytes()
-        out += [hashlib.blake2b(raw[8 * i : 8 * j], digest_size=16).digest() if j > i else None for i, j in zip(w.first[:-1], w.first[1:], strict=True)]
-    release()
-    return pd.Series(out, dtype=object)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a")
     both = one.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
@@ -347,9 +332,9 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     best = rows.groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.sum("n").alias("all")).where("all > 1").select("part", "best")
     met = stored(rows.join(best, "part").withColumn("stays", F.col("best") == F.struct("doc_id", "key")).where("not stays or n > 1").select(F.col("doc_id").alias(id_), F.col("key").alias(key), "stays"))
     gone, again = met.drop("stays"), met.where("stays").drop("stays")
-    left = own.withColumn(key, _keys("text")).join(_near(gone, gone.count()), [id_, key], "left_anti").select(docs.columns)
+    left = own.withColumn(key, words_key(F.col("text"))).join(_near(gone, gone.count()), [id_, key], "left_anti").select(docs.columns)
     ids, many = again.select(id_).distinct(), again.count()
-    copies = own.join(_near(ids, many), id_, "left_semi").withColumn(key, _keys("text")).join(_near(again, many), [id_, key], "left_semi")
+    copies = own.join(_near(ids, many), id_, "left_semi").withColumn(key, words_key(F.col("text"))).join(_near(again, many), [id_, key], "left_semi")
     row = F.struct(*docs.columns)
     one = copies.groupBy(id_, key).agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
     return left.unionByName(one)

@@ -9,13 +9,14 @@ equal always meet on one route, and each window lies in exactly one piece. Equal
 
 Index. A shard is some routes' distinct pieces; their FM-index (a wavelet matrix over the Burrows-Wheeler transform) is
 searched backwards for the streamed pieces, and windows whose interval holds two or more places are repeated. Pieces that
-occur more than once need no search. A route with more pieces than a shard may hold is split by the windows' own hashes,
-which are then compared whole.
+occur more than once need no search. A route with more pieces than a shard may hold is split: its pieces are cut in two by
+the anchor's place in the window, and as windows of either half share more words than the anchor, those words make new
+routes. Splitting goes on until every route fits, at the latest when a route is a single window; all are searched alike.
 
 Cover. Repeated windows come back to their texts as intervals of words to remove. Texts of the same words are one class
 and take part once, with their number.
 
-Words are compared by 64-bit hashes when anchors are chosen and by 32 of their bits inside a route.
+Words are compared by 64-bit hashes when anchors are chosen and by 48 of their bits inside a route.
 
 Null and empty texts have no words and nothing to remove; texts shorter than a window keep all their words. Rows without
 doc_id count like others, as do repeated rows. An empty table gives an empty result. The texts that come out have their
@@ -32,29 +33,25 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridloom.llm.common import release, stored, unused
+from gridloom.llm.common import release, stored, unused, words_key
 from gridloom.llm.fm_index import FMIndex
 from gridloom.llm.wordhash import Words, grams, mix, slices, words
 
 WINDOW, ANCHOR = 35, 20
 #: A shard's distinct pieces, and those of one route, at most.
 SHARD_PIECES, ROUTE_PIECES = 10_000, 4_000
+#: Bytes of a word's hash inside a piece.
+WIDE = 6
 #: Tables by text are broadcast up to so many rows and array entries; above, joined by shuffling.
 BROADCAST_ROWS, BROADCAST_ENTRIES = 500_000, 4_000_000
 
 
-def _keys(w: Words) -> list[bytes | None]:
-    raw = w.hash.tobytes()
-    return [hashlib.blake2b(raw[8 * a : 8 * z], digest_size=16).digest() if z > a else None for a, z in zip(w.first[:-1], w.first[1:], strict=True)]
-
-
-def _pieces(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window's place among all words, windows, anchor's hash) of the pieces of all texts in w."""
+def _pieces(w: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """(text, first window's place among all words, windows, anchor's hash, anchor's place) of the pieces of all texts in w."""
     empty = np.zeros(0, dtype=np.int64)
     if len(w.hash) < window:
-        return empty, empty, empty, empty.view(np.uint64)
+        return empty, empty, empty, empty.view(np.uint64), empty
     g = grams(w.hash, anchor)
     lead = np.lib.stride_tricks.sliding_window_view(g, window - anchor + 1).argmin(axis=1) + np.arange(len(g) - (window - anchor))
     at = np.arange(len(lead))
@@ -64,7 +61,7 @@ def _pieces(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray,
     new = np.ones(len(at), dtype=bool)
     new[1:] = (lead[1:] != lead[:-1]) | (owner[1:] != owner[:-1])
     places = np.flatnonzero(new)
-    return owner[places], at[places], np.diff(np.append(places, len(at))), g[lead[places]]
+    return owner[places], at[places], np.diff(np.append(places, len(at))), g[lead[places]], lead[places]
 
 
 def _by_text(docs: DataFrame, table: DataFrame, entries: str) -> DataFrame:
@@ -73,15 +70,6 @@ def _by_text(docs: DataFrame, table: DataFrame, entries: str) -> DataFrame:
     return F.broadcast(table) if n <= BROADCAST_ROWS and m <= BROADCAST_ENTRIES else table
 
 
-@F.pandas_udf(T.BinaryType())
-def _key(texts: pd.Series) -> pd.Series:
-    values, out = texts.tolist(), []
-    for a, z in slices(values, 400_000):
-        out += _keys(words(values[a:z]))
-    release()
-    return pd.Series(out, dtype=object)
-
-
 def _anchored(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(doc_id, key, anchors) of texts with a window at least."""
 
@@ -90,47 +78,50 @@ def _anchored(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             texts = whole.column("text").to_pylist()
             for a, z in slices(texts, 400_000):
                 w = words(texts[a:z])
-                owner, _, _, route = _pieces(w, window, anchor)
-                keys, route = _keys(w), route.view(np.int64)
+                owner, _, _, route, _ = _pieces(w, window, anchor)
+                route = route.view(np.int64)
                 cut = np.searchsorted(owner, np.arange(z - a + 1))
                 lists = [route[p:q] for p, q in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([whole.column("doc_id").slice(a, z - a), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "key", "anchors"])
+                own = [whole.column(c).slice(a, z - a) for c in ("doc_id", "key")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "key", "anchors"])
         release()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_key(F.col("text")).alias("key"), "text").where("text is not null")
     return rows.mapInArrow(run, "doc_id long, key binary, anchors array<long>").where("size(anchors) > 0")
 
 
 def _emit(rows: DataFrame, window: int, anchor: int, bodies: bool) -> DataFrame:
-    """Pieces on repeated anchors of rows(key, text, hot): with bodies, (pid, route, body, windows, copies); else (key, pid, first)."""
-    names = ["pid", "route", "body", "windows", "copies"] if bodies else ["key", "pid", "first"]
+    """Pieces on repeated anchors of rows(key, text, hot): with bodies, (pid, route, body, windows, lead, copies); else (key, pid, first).
+
+    lead is the anchor's place in the piece.
+    """
+    names = ["pid", "route", "body", "windows", "lead", "copies"] if bodies else ["key", "pid", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts, hot = whole.column("text").to_pylist(), whole.column("hot")
             for a, z in slices(texts, 400_000):
                 w = words(texts[a:z])
-                owner, at, count, route = _pieces(w, window, anchor)
+                owner, at, count, route, lead = _pieces(w, window, anchor)
                 flat = hot.slice(a, z - a)
                 wanted = np.repeat(np.arange(z - a, dtype=np.uint64), np.asarray(flat.value_lengths().fill_null(0)))
                 with np.errstate(over="ignore"):
                     pair = lambda o, r: mix(r.view(np.uint64) + mix(o.astype(np.uint64)))
                     keep = np.isin(pair(owner, route), pair(wanted, flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
-                owner, at, count, route = owner[keep], at[keep], count[keep], route[keep]
-                small = (w.hash >> np.uint64(32)).astype("<u4")
-                raw = small.tobytes()
-                spans = [raw[4 * p : 4 * (p + n + window - 1)] for p, n in zip(at.tolist(), count.tolist(), strict=True)]
+                owner, at, count, route, lead = owner[keep], at[keep], count[keep], route[keep], lead[keep]
+                raw = np.ascontiguousarray(w.hash.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDE :]).tobytes()
+                spans = [raw[WIDE * p : WIDE * (p + n + window - 1)] for p, n in zip(at.tolist(), count.tolist(), strict=True)]
                 pid = pa.array([hashlib.blake2b(s, digest_size=12, key=r.tobytes()).digest() for s, r in zip(spans, route, strict=True)], pa.binary())
                 of = pa.array(owner, pa.int64())
                 if bodies:
                     copies = whole.column("copies").slice(a, z - a).take(of)
-                    yield pa.RecordBatch.from_arrays([pid, pa.array(route.view(np.int64)), pa.array(spans, pa.binary()), pa.array(count.astype(np.int32)), copies], names=names)
+                    yield pa.RecordBatch.from_arrays([pid, pa.array(route.view(np.int64)), pa.array(spans, pa.binary()), pa.array(count.astype(np.int32)), pa.array((lead - at).astype(np.int32)), copies], names=names)
                 else:
                     yield pa.RecordBatch.from_arrays([whole.column("key").slice(a, z - a).take(of), pid, pa.array((at - w.first[owner]).astype(np.int32))], names=names)
         release()
 
     if bodies:
-        return rows.select("text", "hot", "copies").mapInArrow(run, "pid binary, route long, body binary, windows int, copies long")
+        return rows.select("text", "hot", "copies").mapInArrow(run, "pid binary, route long, body binary, windows int, lead int, copies long")
     return rows.select("key", "text", "hot").mapInArrow(run, "key binary, pid binary, first int")
 
 
@@ -138,9 +129,11 @@ def _searcher(window: int):
     def search(shard: pa.Table) -> pa.Table:
         """The repeated windows of a shard's pieces that occur once, as bits."""
         bodies = shard["body"].to_pylist()
-        sizes = np.array([len(b) // 4 for b in bodies], dtype=np.int64)
-        flat = np.frombuffer(b"".join(bodies), dtype="<u4")
-        _, symbol = np.unique(flat, return_inverse=True)
+        sizes = np.array([len(b) // WIDE for b in bodies], dtype=np.int64)
+        raw = np.frombuffer(b"".join(bodies), dtype=np.uint8).reshape(-1, WIDE)
+        flat = np.zeros((len(raw), 8), dtype=np.uint8)
+        flat[:, :WIDE] = raw
+        _, symbol = np.unique(flat.view("<u8").ravel(), return_inverse=True)
         # a separator after each piece
         ends = np.cumsum(sizes)
         text = np.insert(symbol + 1, ends, 0)
@@ -150,20 +143,64 @@ def _searcher(window: int):
         bits = np.zeros(len(alone), dtype=np.int64)
         np.bitwise_or.at(bits, piece, np.int64(1) << k)
         some = np.flatnonzero(bits)
+        release()
         return pa.table({"pid": shard["pid"].take(pa.array(alone[some])).combine_chunks(), "bits": pa.array(bits[some])}, schema=pa.schema([("pid", pa.binary()), ("bits", pa.int64())]))
 
     return search
 
 
-def _windows_of(wide: DataFrame, window: int) -> DataFrame:
-    """(pid, bit, whole, n): each window of pieces by itself."""
+def _halves(crowded: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(pid, base, part, route, body, windows, lead, low, high, n): pieces cut in two by the anchor's place in a window.
+
+    The places of crowded's pieces lie from low to high. Windows with the anchor at or behind a place have that many words
+    before it in common where they are equal, and likewise after it. base is a part's first window in its piece.
+    """
+    names = ["pid", "base", "part", "route", "body", "windows", "lead", "low", "high", "n"]
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    spare = window - anchor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [(p, k, body[4 * k : 4 * (k + window)], n) for p, body, m, n in zip(*(b.column(c).to_pylist() for c in ("pid", "body", "windows", "n")), strict=True) for k in range(m)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.binary(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["pid", "bit", "whole", "n"])
+        for whole in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
+            out = []
+            for pid, route, body, windows, lead, low, high, n in zip(*(whole.column(c).to_pylist() for c in ("pid", "route", "body", "windows", "lead", "low", "high", "n")), strict=True):
+                middle = (low + high) // 2
+                cut = min(max(lead - middle, 0), windows)
+                for first, last, a, z in ((0, cut, middle + 1, high), (cut, windows, low, middle)):
+                    if first == last:
+                        continue
+                    shared = body[WIDE * (lead - a) : WIDE * (lead + anchor + spare - z)]
+                    own = hashlib.blake2b(shared, digest_size=8, key=route.to_bytes(8, "little", signed=True), person=bytes([a, z])).digest()
+                    text = body[WIDE * first : WIDE * (last - 1 + window)]
+                    part = hashlib.blake2b(text, digest_size=12, key=own).digest()
+                    out.append((pid, first, part, int.from_bytes(own, "little", signed=True), text, last - first, lead - first, a, z, n))
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
+        release()
+
+    schema = "pid binary, base int, part binary, route long, body binary, windows int, lead int, low int, high int, n long"
+    return crowded.select("pid", "route", "body", "windows", "lead", "low", "high", "n").mapInArrow(run, schema)
+
 
-    return wide.select("pid", "body", "windows", "n").mapInArrow(run, "pid binary, bit int, whole binary, n long")
+def _repeated(pieces: DataFrame, window: int, anchor: int, most: int) -> DataFrame:
+    """(pid, bits): which windows of stored pieces(pid, route, body, windows, lead, low, high, n) start at two places or more.
+
+    Routes of more than `most` pieces are split and their parts' bits come back to the pieces, shifted to their base.
+    """
+    everything = F.expr("shiftleft(1L, windows) - 1")
+    by_route = pieces.groupBy("route").agg(F.count("*").alias("m"), F.min("low").alias("low"), F.max("high").alias("high"))
+    crowded = stored(by_route.where((F.col("m") > most) & (F.col("low") < F.col("high"))).select("route"))
+    total, many = pieces.count(), crowded.count()
+    marked = F.broadcast(crowded) if many <= BROADCAST_ROWS else crowded
+    narrow = pieces.join(marked, "route", "left_anti") if many else pieces
+    shard = F.pmod(F.xxhash64("route"), F.lit(max(1, -(-total // SHARD_PIECES)))).alias("shard")
+    found = narrow.select(shard, "pid", "body", "windows", "n").groupBy("shard").applyInArrow(_searcher(window), "pid binary, bits long")
+    found = found.unionByName(pieces.where("n > 1").select("pid", everything.alias("bits")))
+    if many:
+        parts = stored(_halves(pieces.join(marked, "route"), window, anchor))
+        deeper = parts.groupBy(F.col("part").alias("pid"), "route", "body", "windows").agg(F.min("lead").alias("lead"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+        back = _repeated(stored(deeper), window, anchor, most).withColumnRenamed("pid", "part")
+        found = found.unionByName(parts.select("part", "pid", "base").join(back, "part").select("pid", F.expr("shiftleft(bits, base)").alias("bits")))
+    return stored(found.groupBy("pid").agg(F.bit_or("bits").alias("bits")))
 
 
 def repeated_windows(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -177,26 +214,18 @@ def repeated_windows(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANC
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()))
     placed = classes.select("cid", "copies", F.explode("anchors").alias("route"))
     repeated = placed.groupBy("route").agg(F.sum("copies").alias("n")).where("n > 1").select("route")
-    hot = placed.select("cid", "route").join(repeated, "route").groupBy("cid").agg(F.collect_set("route").alias("hot"))
+    repeated = stored(repeated)
+    few = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    hot = placed.select("cid", "route").join(few, "route").groupBy("cid").agg(F.collect_set("route").alias("hot"))
     leads = stored(classes.select("cid", "key", "first", "copies").join(hot, "cid").drop("cid"))
     lead = _by_text(docs, leads, "hot")
-    keyed = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_doc"), "text", _key("text").alias("key"))
+    keyed = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_doc"), "text", words_key(F.col("text")).alias("key"))
     # a class's text once: from the rows of its smallest id; rows that repeat it whole are told apart by max below
     rows = keyed.join(lead, "key").where(F.col("_doc").eqNullSafe(F.col("first")))
     found = _emit(rows, window, anchor, True)
-    per_class = found.groupBy("pid", "route", "body", "windows").agg(F.sum("copies").alias("n"))
-    pieces = stored(per_class)
-    by_route = pieces.groupBy("route").agg(F.count("*").alias("m"))
-    crowded = stored(by_route.where(F.col("m") > ROUTE_PIECES).select("route"))
-    total = pieces.count()
-    narrow = pieces.join(crowded, "route", "left_anti") if crowded.limit(1).count() else pieces
-    shard = F.pmod(F.xxhash64("route"), F.lit(max(1, -(-total // SHARD_PIECES)))).alias("shard")
-    searched = narrow.select(shard, "pid", "body", "windows", "n").groupBy("shard").applyInArrow(_searcher(window), "pid binary, bits long")
-    several = pieces.where("n > 1").select("pid", (F.expr("shiftleft(1L, windows)") - 1).alias("bits"))
-    wide = stored(_windows_of(pieces.join(crowded, "route").where("windows > 0"), window))
-    twice = wide.groupBy("whole").agg(F.sum("n").alias("n")).where("n > 1").select("whole")
-    split = wide.join(twice, "whole").groupBy("pid").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    masks = stored(several.unionByName(searched).unionByName(split).groupBy("pid").agg(F.bit_or("bits").alias("bits")))
+    per_class = found.groupBy("pid", "route", "body", "windows").agg(F.min("lead").alias("lead"), F.sum("copies").alias("n"))
+    pieces = stored(per_class.withColumns({"low": F.lit(0), "high": F.lit(window - anchor)}))
+    masks = _repeated(pieces, window, anchor, ROUTE_PIECES)
     occurs = _emit(keyed.join(lead, "key").where(F.col("_doc").eqNullSafe(F.col("first"))), window, anchor, False).dropDuplicates()
     marked = occurs.join(masks, "pid").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - anchor)))).where("shiftright(bits, k) & 1 = 1")
     return marked.groupBy("key").agg(F.array_sort(F.collect_list(F.col("first") + F.col("k"))).alias("starts"))
@@ -223,7 +252,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
     t = unused(docs.columns)
-    keyed = docs.withColumn(f"{t}key", _key("text"))
+    keyed = docs.withColumn(f"{t}key", words_key(F.col("text")))
     met = keyed.join(_by_text(docs, starts, "starts").withColumnsRenamed({"key": f"{t}key2", "starts": f"{t}starts"}), F.col(f"{t}key") == F.col(f"{t}key2"), "left")
     done = met.withColumn(f"{t}kept", kept("text", f"{t}starts"))
     return done.withColumns({c: F.col(f"{t}kept.{c}") for c in ("text", "n_words", "n_removed")}).drop(*[f"{t}{c}" for c in ("key", "key2", "starts", "kept")])

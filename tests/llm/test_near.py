@@ -98,7 +98,7 @@ def test_filters_lose_no_pair(spark):
     """All texts in one bucket, none linked: every pair at the threshold is a candidate, few others are."""
     rng = np.random.default_rng(3)
     texts = list(dict.fromkeys(crowd(rng, 120, 60, 8) + crowd(rng, 40, 9, 2) + ["a b c d e", "a b c d e f", "one", "two"]))
-    of, value, _, _ = N.shingles(texts)
+    of, value, _ = N.shingles(texts)
     own = [set(value[of == k].tolist()) for k in range(len(texts))]
     sets = spark.createDataFrame([(k, bytearray(np.sort(np.array(list(s), dtype="<u8")).tobytes())) for k, s in enumerate(own)], "cid long, set binary")
     for threshold in (0.8, 0.55, 1.0):
