@@ -18,6 +18,15 @@ from pyspark.sql import functions as F
 WORD = "[^\x20\x09-\x0d]+"
 
 
+#: The largest Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, from now on and for the whole session: 10,000 rows may be texts of any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only in local mode (tests), where it is unset, a temporary one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -64,7 +73,13 @@ def words_key(text: Column) -> Column:
 
     In Spark's own functions, so that a pass which needs it beside a Python function needs no second Python worker.
     """
-    plain = F.trim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " "))
+    plain = text
+    for space in "\t\n\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    # tabs and line feeds are gone by now and serve as marks: of a run of spaces only the outer marks stay
+    for old, new in ((" ", "\t\n"), ("\n\t", ""), ("\t\n", " ")):
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    plain = F.trim(plain)
     return F.when(F.length(plain) > 0, F.unhex(F.substring(F.sha2(plain.cast("binary"), 256), 1, 32)))
 
 

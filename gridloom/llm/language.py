@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import release, stored, unused
+from gridloom.llm.common import release, small_batches, stored, unused
 from gridloom.llm.wordhash import slices
 
 BITS = 16
@@ -67,6 +67,7 @@ def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def fit(docs: DataFrame, *, per_language: int = 400) -> TrigramModel:
     """From the texts with a known `lang`, all of its values; at most per_language distinct whole texts of each."""
+    small_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null and length(text) > 0").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"), "text")
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
     picked = known.select("lang", "h", "doc_id", "t").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "h", "t").distinct()
@@ -116,6 +117,7 @@ def identify(rows: DataFrame, model: TrigramModel, *, text: Column, declared: Co
 
     The rows are read twice: once for the counts, once for the result.
     """
+    small_batches(rows.sparkSession)
     names = list(model.languages)
     if not names:
         return rows.drop(*drop).withColumns({"language": F.lit(None).cast("string"), "confidence": F.lit(0.0), "text_language": F.lit(None).cast("string")})

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import release, stored, unused, words_key
+from gridloom.llm.common import release, small_batches, stored, unused, words_key
 from gridloom.llm.components import connected
 from gridloom.llm.wordhash import grams, mix, slices, words
 
@@ -180,6 +180,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = BAN
 
 def _classed(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """near_duplicates with the key of each row's words and the class itself, part: ids may stand in several classes."""
+    small_batches(docs.sparkSession)
     signed = stored(_signed(docs, bands, rows, weighted))
     usable = signed.where("key is not null and doc_id is not null")
     classes = usable.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("buckets").alias("buckets"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import cached, release, stored
+from gridloom.llm.common import cached, release, small_batches, stored
 
 CAPACITY, END = 1024, 2
 VOCABULARY = "byte_bpe_50k.json"
@@ -66,6 +66,7 @@ def _encoder(vocabulary: str):
 
 def pieces(docs: DataFrame, *, vocabulary: str, capacity: int = CAPACITY, end: int = END, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep..., piece, start, length, ids, block, rank): ids is binary, four bytes a token; block and rank place the piece."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col("text").alias("_text"))
     schema = T.StructType([docs.schema[c] for c in keep])
     for name, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids", "binary"), ("block", "integer"), ("rank", "long")):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cached, release
+from gridloom.llm.common import cached, release, small_batches
 from gridloom.llm.wordhash import slices
 
 MARK = "▁"
@@ -218,6 +218,7 @@ def _model_type(model_file: str) -> int:
 
 def encode(docs: DataFrame, model_file: str, *, text: str = "text", into: str = "ids") -> DataFrame:
     """docs with the ids of the whole text, as binary, four little-endian bytes an id."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def ids_of(texts: pd.Series) -> pd.Series:
@@ -233,6 +234,7 @@ def encode(docs: DataFrame, model_file: str, *, text: str = "text", into: str =
 
 def decode(docs: DataFrame, model_file: str, *, ids: str = "ids", into: str = "text") -> DataFrame:
     """docs with the text of the ids that encode wrote."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def text_of(values: pd.Series) -> pd.Series:

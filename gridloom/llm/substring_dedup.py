@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import release, stored, unused, words_key
+from gridloom.llm.common import release, small_batches, stored, unused, words_key
 from gridloom.llm.fm_index import FMIndex
 from gridloom.llm.wordhash import Words, grams, mix, slices, words
 
 WINDOW, ANCHOR = 35, 20
 #: A shard's distinct pieces, and those of one route, at most.
-SHARD_PIECES, ROUTE_PIECES = 10_000, 4_000
+SHARD_PIECES, ROUTE_PIECES = 6_000, 4_000
 #: Bytes of a word's hash inside a piece.
 WIDE = 6
 #: Tables by text are broadcast up to so many rows and array entries; above, joined by shuffling.
@@ -233,6 +233,7 @@ def repeated_windows(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANC
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """docs with text reduced to the kept words, and n_words, n_removed."""
+    small_batches(docs.sparkSession)
     starts = stored(repeated_windows(docs, window=window, anchor=anchor))
 
     @F.pandas_udf("struct<text: string, n_words: long, n_removed: long>")
