@@ -6,7 +6,8 @@ toxic text uses in many contexts and ordinary text does not. This list stands in
 windows, which does far worse here (README); phrases, and words that stand after few distinct words in the toxic
 sample, are not in it and are no evidence. Windows that shrink more with the toxic dictionary are
 evidence; how far they must shrink, and how many of them a text of some length needs, is learned by a logistic
-calibration on labelled texts that the dictionaries have not seen.
+calibration on labelled texts that the dictionaries have not seen. The calibration weighs the classes as if a fixed share
+of texts, `prior`, were toxic: what a score means depends neither on the sample's bounds nor on the table's size.
 
 The fit uses at most `max_toxic` and `max_ordinary` labelled rows (smallest hash of their id first) and a single driver
 process; scoring is one Arrow pass over whole texts without a shuffle.
@@ -31,11 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cached, release
+from gridloom.llm.common import cached, release, small_batches
 
-WINDOW = 16
+WINDOW = 8
 DICTIONARY = 4096
 TOXIC_DICTIONARY = 2048
+#: The share of toxic texts that scores reckon with; above the usual one, as a toxic text missed weighs more than a false alarm.
+PRIOR = 0.2
 
 
 @dataclass(frozen=True)
@@ -144,7 +147,7 @@ def _spread(groups: Iterable[list], sizes: list[int], most: int) -> list:
     return [own[i * len(own) // n] for own, n in zip(groups, _shares(sizes, most), strict=True) for i in range(n)]
 
 
-def train(toxic: list[str], ordinary: list[str], *, most_windows: int = 60_000, most_beginnings: int = 200_000) -> ToxicityModel:
+def train(toxic: list[str], ordinary: list[str], *, most_windows: int = 60_000, most_beginnings: int = 200_000, prior: float = PRIOR) -> ToxicityModel:
     """Dictionaries from seven tenths of the texts of either class, the calibration from the rest.
 
     The ordinary dictionary is trained on at most most_windows windows of eight words and the toxic one on at most
@@ -163,13 +166,14 @@ def train(toxic: list[str], ordinary: list[str], *, most_windows: int = 60_000,
     rest_bad, rest_good = toxic[a:] or toxic, ordinary[b:] or ordinary
     x = _features([*rest_bad, *rest_good, ""], _compressor(common), _compressor(special + common))
     y = np.array([1.0] * len(rest_bad) + [0.0] * len(rest_good) + [0.0])
+    counts = len(y) * np.where(y == 1, prior / y.sum(), (1 - prior) / (len(y) - y.sum()))
     mean, spread = x.mean(0), x.std(0) + 1e-9
     z = _expand((x - mean) / spread)
     w = np.zeros(z.shape[1])
     for _ in range(40):  # Newton steps of a ridge-regularised logistic regression
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.eye(len(w))
-        w = w + np.linalg.solve(h, z.T @ (y - p) - w)
+        h = (z * (counts * (p * (1 - p) + 1e-6))[:, None]).T @ z + np.eye(len(w))
+        w = w + np.linalg.solve(h, z.T @ (counts * (y - p)) - w)
     return ToxicityModel(special + common, common, tuple(w), tuple(mean), tuple(spread), base)
 
 
@@ -181,7 +185,7 @@ def score_texts(model: ToxicityModel, texts) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_expand(np.clip(x, -6, 6)) @ np.array(model.weights), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_toxic: int = 2000, max_ordinary: int = 4000, most_windows: int = 60_000, most_beginnings: int = 200_000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_toxic: int = 2000, max_ordinary: int = 4000, most_windows: int = 60_000, most_beginnings: int = 200_000, prior: float = PRIOR) -> ToxicityModel:
     """Learns from the labelled rows given; at most max_toxic and max_ordinary of them reach the driver. The rest as in train."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y")).distinct()
     sides = []
@@ -190,11 +194,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_toxic:
         found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
         rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
         sides.append([r.text for r in rows.select("text").toLocalIterator()])
-    return train(*sides, most_windows=most_windows, most_beginnings=most_beginnings)
+    return train(*sides, most_windows=most_windows, most_beginnings=most_beginnings, prior=prior)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", into: str = "score") -> DataFrame:
     """docs with the column `into`: how likely the whole text is toxic, 0 to 1."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
