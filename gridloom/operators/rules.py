@@ -1,14 +1,15 @@
 """Rule ladders on cells, as SQL text: elevation and depth scaling, surface, snow, forest, lakebed, shore, plants, colours.
 
-Names of layers are column names or expressions. Assignments that overwrite each other are cases with the last one first.
+Names of layers are column names or expressions; noises come as a dictionary of them by name, for the layers listed here. Assignments that overwrite each other are cases with the last one first.
 """
 
 from __future__ import annotations
 
 from gridloom.functions.dialect import SPARK, Dialect, case, clip
 from gridloom.functions.hashing import bhash
-from gridloom.functions.noise import smooth_noise, white_noise
+from gridloom.functions.noise import white_noise
 from gridloom.functions.palette import BLOCKS, CODE, pick, uniform
+from gridloom.operators.noise_layers import Smooth
 
 # fixed values: landcover codes in the order of their priority
 LANDCOVER = ["none", "grass", "farm", "forest", "scrub", "wetland", "scree", "rock", "glacier", "water"]
@@ -58,16 +59,23 @@ def derived_landcover(landcover: str, water: str) -> str:
     return case([(water, str(LC["water"])), (f"{landcover} = {LC['water']}", str(LC["wetland"]))], landcover)
 
 
-def fields(x: str, z: str, seed: int = 1234, d: Dialect = SPARK) -> dict[str, str]:
-    """The noise layers that the surface ladder reads."""
-    clump = smooth_noise(x, z, 20, seed + 3, 2, d)
+def field_noise(seed: int = 1234) -> dict[str, Smooth]:
+    """The noises below the surface ladder's layers."""
     return {
-        "n_big": smooth_noise(x, z, 440, seed, 3, d),
-        "n_mid": smooth_noise(x, z, 104, seed + 1, 3, d),
-        "r": clip(f"{d.num(0.28)} * {white_noise(x, z, seed + 2, d)} + {d.num(0.72)} * ({clump} * 0.5 + 0.5)", "0", d.num(0.999)),
-        "rb": clip(f"{d.num(0.35)} * {white_noise(x, z, seed + 909, d)} + {d.num(0.65)} * ({smooth_noise(x, z, 16, seed + 910, 2, d)} * 0.5 + 0.5)", "0", d.num(0.999)),
-        "n_snow": smooth_noise(x, z, 34, seed + 4001, 2, d),
-        "glade": clip(f"({smooth_noise(x, z, 60, seed + 5001, 3, d)} - {d.num(0.18)}) * {d.num(2.4)}", 0, 1),
+        "n_big": Smooth(440, seed, 3), "n_mid": Smooth(104, seed + 1, 3), "clump": Smooth(20, seed + 3, 2), "grain": Smooth(16, seed + 910, 2),
+        "n_snow": Smooth(34, seed + 4001, 2), "open": Smooth(60, seed + 5001, 3),
+    }
+
+
+def fields(noise: dict[str, str], x: str, z: str, seed: int = 1234, d: Dialect = SPARK) -> dict[str, str]:
+    """The layers that the surface ladder reads, from those of field_noise()."""
+    return {
+        "n_big": noise["n_big"],
+        "n_mid": noise["n_mid"],
+        "r": clip(f"{d.num(0.28)} * {white_noise(x, z, seed + 2, d)} + {d.num(0.72)} * ({noise['clump']} * 0.5 + 0.5)", "0", d.num(0.999)),
+        "rb": clip(f"{d.num(0.35)} * {white_noise(x, z, seed + 909, d)} + {d.num(0.65)} * ({noise['grain']} * 0.5 + 0.5)", "0", d.num(0.999)),
+        "n_snow": noise["n_snow"],
+        "glade": clip(f"({noise['open']} - {d.num(0.18)}) * {d.num(2.4)}", 0, 1),
     }
 
 
@@ -157,11 +165,15 @@ def snow_phase(units: str, offset: str) -> str:
     return f"case when {units} > 0 then {moved} else {units} end"
 
 
-def underwater_relief(depth: str, water: str, x: str, z: str, seed: int = 8128, d: Dialect = SPARK) -> str:
-    """Basins, ridges and cliffs on the lakebed; the shelf of one and two blocks stays."""
+def relief_noise(seed: int = 8128) -> dict[str, Smooth]:
+    """The noises of the lakebed's relief."""
+    return {"basin": Smooth(180, seed, 3), "dent": Smooth(58, seed + 101, 2), "ridge": Smooth(92, seed + 211, 2), "cliff": Smooth(138, seed + 307, 2)}
+
+
+def underwater_relief(depth: str, water: str, noise: dict[str, str], d: Dialect = SPARK) -> str:
+    """Basins, ridges and cliffs on the lakebed; the shelf of one and two blocks stays. Reads relief_noise()."""
     n = d.num
-    broad, medium = smooth_noise(x, z, 180, seed, 3, d), smooth_noise(x, z, 58, seed + 101, 2, d)
-    ridge, cliff = smooth_noise(x, z, 92, seed + 211, 2, d), smooth_noise(x, z, 138, seed + 307, 2, d)
+    broad, medium, ridge, cliff = (noise[k] for k in ("basin", "dent", "ridge", "cliff"))
     inner = clip(f"({depth} - 2) / {n(12.0)}", 0, 1)
     basins = f"({n(2.8)} * {broad} + {n(1.6)} * {medium} - 3 * {clip(f'1 - abs({ridge}) / {n(0.16)}', 0, 1)}) * {inner}"
     steps = f"(case when {cliff} > {n(0.24)} then 3 when {cliff} < {n(-0.38)} then -2 else 0 end) * {clip(f'({depth} - 7) / {n(8.0)}', 0, 1)}"
@@ -169,12 +181,18 @@ def underwater_relief(depth: str, water: str, x: str, z: str, seed: int = 8128,
     return f"cast(case when not {water} or {depth} <= 2 then {depth} else {changed} end as int)"
 
 
-def naturalise_score(x: str, z: str, seed: int = 9321, d: Dialect = SPARK) -> str:
-    return f"({d.num(0.78)} * {smooth_noise(x, z, 18, seed, 2, d)} + {d.num(0.22)} * {smooth_noise(x, z, 6, seed + 71, 2, d)})"
+def edge_noise(seed: int = 9321) -> dict[str, Smooth]:
+    """The noises of lake edges."""
+    return {"bay": Smooth(18, seed, 2), "nick": Smooth(6, seed + 71, 2)}
+
+
+def naturalise_score(noise: dict[str, str], d: Dialect = SPARK) -> str:
+    return f"({d.num(0.78)} * {noise['bay']} + {d.num(0.22)} * {noise['nick']})"
 
 
-def lakebed_fields(x: str, z: str, d: Dialect = SPARK) -> dict[str, str]:
-    return {"broad": smooth_noise(x, z, 84, 7611, 3, d), "medium": smooth_noise(x, z, 42, 7682, 2, d)}
+#: The noises of the lakebed's materials, and those of its plants.
+LAKEBED_NOISE = {"broad": Smooth(84, 7611, 3), "medium": Smooth(42, 7682, 2)}
+HABITAT_NOISE = {"meadow": Smooth(52, 8841, 3), "tuft": Smooth(23, 8912, 2)}
 
 
 def _bands(value: str, bands: list[tuple[float, str]], last: str) -> str:
@@ -182,7 +200,7 @@ def _bands(value: str, bands: list[tuple[float, str]], last: str) -> str:
 
 
 def lakebed(depth: str, relief: str, lake: str, d: Dialect = SPARK) -> str:
-    """Reads the layers of lakebed_fields(), too."""
+    """Reads the layers of LAKEBED_NOISE, too."""
     n = d.num
     half = lambda f: f"({f} * 0.5 + 0.5)"
     texture = clip(f"{n(0.74)} * {half('broad')} + {n(0.26)} * {half('medium')}", 0, n(0.999))
@@ -200,9 +218,26 @@ def lakebed(depth: str, relief: str, lake: str, d: Dialect = SPARK) -> str:
     )
 
 
-def habitat(x: str, z: str, d: Dialect = SPARK) -> str:
+def habitat(noise: dict[str, str], d: Dialect = SPARK) -> str:
+    """Reads HABITAT_NOISE."""
     half = lambda f: f"({f} * 0.5 + 0.5)"
-    return clip(f"{d.num(0.78)} * {half(smooth_noise(x, z, 52, 8841, 3, d))} + {d.num(0.22)} * {half(smooth_noise(x, z, 23, 8912, 2, d))}", 0, 1)
+    return clip(f"{d.num(0.78)} * {half(noise['meadow'])} + {d.num(0.22)} * {half(noise['tuft'])}", 0, 1)
+
+
+#: The noises of decoration's layers.
+DECOR_NOISE = {"wet": Smooth(70, 5150, 3), "open": Smooth(60, 5151, 3), "a": Smooth(14, 5152, 2), "b": Smooth(9, 5153, 2), "c": Smooth(24, 5154, 2)}
+
+
+def decor_fields(noise: dict[str, str], d: Dialect = SPARK) -> dict[str, str]:
+    """Damp ground, clearings and three patterns of patches, from DECOR_NOISE and the layers north and curv."""
+    half = lambda f: f"({f} * 0.5 + 0.5)"
+    return {
+        "damp": clip(f"{d.num(0.45)} + {d.num(0.3)} * north + {d.num(0.35)} * curv + {d.num(0.2)} * {noise['wet']}", 0, 1),
+        "clearing": clip(f"({noise['open']} - {d.num(0.18)}) * {d.num(2.4)}", 0, 1),
+        "patch_a": half(noise["a"]),
+        "patch_b": half(noise["b"]),
+        "patch_c": half(noise["c"]),
+    }
 
 
 def aquatic_plant(depth: str, bed: str, relief: str, x: str, z: str, d: Dialect = SPARK) -> str:
@@ -295,14 +330,14 @@ def ground_cover(zone: str, r: str, a: str, b: str, c: str, damp: str, dense: st
     return case([(f"{zone} = 'wetland'", wet), (f"{zone} = 'alpine'", alpine), (f"{zone} = 'forest'", forest)], meadow)
 
 
-def colour(channel: int, surface_key: str, leaf_key: str, p: str, snow: str, d: Dialect = SPARK) -> str:
-    """One channel (0 red, 1 green, 2 blue) of the leaves over the ground, and the snow over both."""
+def colour(channel: int, surface_key: str, leaf_key: str, p: str, snow: str, d: Dialect = SPARK, shade: str = "1") -> str:
+    """One channel (0 red, 1 green, 2 blue) of the leaves over the ground, the snow over both, and the light on all."""
     of = lambda key: case([(f"{key} = '{b[0]}'", d.num(float(b[2 + channel]))) for b in BLOCKS], of_water)
     of_water = d.num(float(BLOCKS[0][2 + channel]))
     w, s = clip(f"{p} * {d.num(1.15)}", 0, 1), f"({clip(f'{snow} / {d.num(8.0)}', 0, 1)} * {d.num(0.9)})"
     mixed = f"(({of(surface_key)}) * (1 - {w}) + ({of(leaf_key)}) * {w})"
     snowy = d.num(float(BLOCKS[CODE["snow_thin"]][2 + channel]))
-    return f"cast(floor({clip(f'{mixed} * (1 - {s}) + {snowy} * {s}', 0, 255)}) as int)"
+    return f"cast(floor({clip(f'({mixed} * (1 - {s}) + {snowy} * {s}) * {shade}', 0, 255)}) as int)"
 
 
 def utm_epsg(lon: str, lat: str, d: Dialect = SPARK) -> str:
@@ -312,3 +347,42 @@ def utm_epsg(lon: str, lat: str, d: Dialect = SPARK) -> str:
 
 # fixed values: metres by kind of waterway, and of any other
 WIDTHS, WIDTH = {"river": 12, "canal": 8, "stream": 4, "ditch": 2, "drain": 2}, 4
+
+
+def plantable(soil: str, mud: str, wet_shore: str, snow: str, water: str, ice: str, beach: str) -> str:
+    """Where low plants may grow; all arguments are truths but snow, a number of layers."""
+    return f"(({soil} or {mud} or {wet_shore}) and {snow} = 0 and not {water} and not {ice} and not {beach})"
+
+
+def plant_zone(surface_key: str, wet_shore: str, forest: str, elev: str) -> str:
+    """The zone whose plants a plantable cell gets; null where nothing grows."""
+    return case(
+        [
+            (f"{surface_key} = 'mud' or {wet_shore}", "'wetland'"),
+            (f"{forest} > 0.28", "'forest'"),
+            (f"{elev} > {TREELINE}", "'alpine'"),
+            (f"{surface_key} in ('grass', 'moss')", "'meadow'"),
+        ],
+        "null",
+    )
+
+
+# fixed values: the block that shows a lakebed material, and the colours of sand, plants under water and dry land
+LAKEBED_BLOCK = {"stream": "moss", "gravel": "gravel", "clay": "clay", "mud": "mud", "stone": "stone", "cobble": "cobble", "calcite": "calcite"}
+SAND, OVERLAY, DRY = (219, 207, 163), {"short": (66, 116, 52), "tall": (45, 139, 56), "lily": (83, 139, 55)}, (22, 27, 24)
+
+
+def lakebed_colour(channel: int, bed: str, depth: str, plant: str, water: str, d: Dialect = SPARK) -> str:
+    """One channel of a lakebed's picture: materials, darker with depth, plants over them, dry land dark."""
+    n = lambda v: d.num(float(v))
+    ground = case([(f"{bed} = 'sand'", n(SAND[channel])), *((f"{bed} = '{k}'", n(BLOCKS[CODE[b]][2 + channel])) for k, b in LAKEBED_BLOCK.items())], n(0))
+    shaded = f"({ground} * (1 - {d.num(0.26)} * {clip(f'{depth} / {d.num(30.0)}', 0, 1)}))"
+    shown = case([(f"not {water}", n(DRY[channel])), *((f"{plant} = '{k}'", n(v[channel])) for k, v in OVERLAY.items())], shaded)
+    return f"cast(floor({clip(shown, 0, 255)}) as int)"
+
+
+def relief_shade(gx: str, gz: str, d: Dialect = SPARK) -> str:
+    """How much light a slope gets, 0.38 to 1.32; the sun stands north-west at 50 degrees."""
+    steep, aspect = f"atan(sqrt({gx} * {gx} + {gz} * {gz}))", f"atan2(-({gx}), {gz})"
+    light = f"(sin(radians(50.0)) * cos({steep}) + cos(radians(50.0)) * sin({steep}) * cos(radians(315.0) - {aspect}))"
+    return clip(f"{d.num(0.58)} + {d.num(0.62)} * {light}", d.num(0.38), d.num(1.32))

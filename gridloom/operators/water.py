@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.dialect import column
 from gridloom.operators import rules as R
 from gridloom.operators.grid import count8, l1_distance, over_tiles
+from gridloom.operators.noise_layers import with_noise
 
 #: Depth saturates before a chamfer distance of 107 cells, so a halo of as many gives exact depths.
 HALO = 107
@@ -64,7 +65,9 @@ def base_depth(cells: DataFrame, **tiles: int) -> DataFrame:
 
 def water_depth(cells: DataFrame, **tiles: int) -> DataFrame:
     """Depth by the distance to the shore, with basins, ridges and cliffs."""
-    return base_depth(cells, **tiles).withColumn("depth", column(R.underwater_relief("depth", "water", "x", "z")))
+    noise = R.relief_noise()
+    rows = with_noise(base_depth(cells, **tiles), noise)
+    return rows.withColumn("depth", column(R.underwater_relief("depth", "water", {k: k for k in noise}))).drop(*noise)
 
 
 #: How far around a lake's core its edges are shaped, and from which depth a cell is core.
@@ -74,7 +77,9 @@ SEARCH, CORE = 12, 3
 def naturalise(cells: DataFrame, **tiles: int) -> DataFrame:
     """cells with `natural`: the water mask with broad lakes' edges moved by one cell at most; streams stay."""
     rows = base_depth(cells, **tiles).withColumn("core", F.col("water") & (F.col("depth") >= CORE))
-    rows = l1_distance(count8(rows, "water", "neighbours"), F.col("core"), "steps").withColumn("score", column(R.naturalise_score("x", "z")))
+    rows = l1_distance(count8(rows, "water", "neighbours"), F.col("core"), "steps")
+    noise = R.edge_noise()
+    rows = with_noise(rows, noise).withColumn("score", column(R.naturalise_score({k: k for k in noise}))).drop(*noise)
     erodes = F.col("water") & (F.col("steps") <= SEARCH) & (F.col("neighbours") >= 5) & (F.col("score") < -0.26)
     floods = ~F.col("water") & (F.col("steps") <= SEARCH + 1) & (F.col("neighbours") >= 3) & (F.col("score") > 0.34)
     return rows.withColumn("natural", F.when(F.col("core"), True).when(erodes, False).when(floods, True).otherwise(F.col("water")))

@@ -16,8 +16,8 @@ from gridloom.operators.grid import complete, grid
 SIZE = 64
 
 
-def layers(d: Dialect) -> dict[str, str]:
-    wet = value_noise("x", "z", 14, 77, d)
+def layers(wet: str, d: Dialect) -> dict[str, str]:
+    """Layers over coordinates and sums; wet is the expression or column of the noise that makes water."""
     return {
         "elev": f"({d.num(620.0)} + {d.num(1900.0)} * {value_noise('x', 'z', 24, 11, d)} + {d.num(0.25)} * (qty % 8))",
         "landcover": f"cast((ln + 3 * {d.div_floor('x', 8)} + 5 * {d.div_floor('z', 8)}) % 10 as int)",
@@ -27,13 +27,18 @@ def layers(d: Dialect) -> dict[str, str]:
     }
 
 
+def _wet(d: Dialect) -> str:
+    return value_noise("x", "z", 14, 77, d)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     sums = items.groupBy((F.col("l_partkey") % SIZE).cast("int").alias("x"), (F.col("l_suppkey") % SIZE).cast("int").alias("z")).agg(
         F.sum("l_quantity").cast("long").alias("qty"), F.sum("l_linenumber").cast("long").alias("ln"), F.count("*").alias("n")
     )
     base = complete(grid(spark, SIZE, SIZE), sums, {"qty": 0, "ln": 0, "n": 0})
-    return base.select("x", "z", "qty", "ln", "n", *[column(e).alias(c) for c, e in layers(SPARK).items()])
+    base = base.withColumn("wet", column(_wet(SPARK)))
+    return base.select("x", "z", "qty", "ln", "n", *[column(e).alias(c) for c, e in layers("wet", SPARK).items()])
 
 
 CELLS_SQL = f"""base as (
@@ -41,7 +46,7 @@ CELLS_SQL = f"""base as (
   from range({SIZE}) g cross join range({SIZE}) h left join (
     select l_partkey % {SIZE} as px, l_suppkey % {SIZE} as pz, cast(sum(l_quantity) as bigint) as qty, cast(sum(l_linenumber) as bigint) as ln, count(*) as n
     from lineitem group by 1, 2) s on s.px = g.range and s.pz = h.range),
-cells as materialized (select x, z, qty, ln, n, {', '.join(f'{e} as {c}' for c, e in layers(DUCK).items())} from base)"""
+cells as materialized (select x, z, qty, ln, n, {', '.join(f'{e} as {c}' for c, e in layers(_wet(DUCK), DUCK).items())} from base)"""
 
 
 def sql(body: str, *steps: str) -> str:

@@ -14,6 +14,7 @@ from gridloom.functions.palette import BLOCKS, band, pick, uniform
 from gridloom.operators import grid as G
 from gridloom.operators import rules as R
 from gridloom.operators import water as W
+from gridloom.operators.noise_layers import texts, with_noise
 from gridloom.plans.fixture import cells, sql
 from gridloom.plans.registry import query
 
@@ -49,13 +50,21 @@ projection("chunk_address", lambda d: {"cx": d.shr("(x - 40)", 4), "cz": d.shr("
 projection("utm_zone", lambda d: {"epsg": R.utm_epsg("(x * 5.6 - 180)", "(z - 32)", d)})
 projection("subsoil_layers", lambda d: {f"layer{k}": R.subsoil(k, "elev", "x", "z", d) for k in (1, 2, 3)})
 projection("clamped_depth", lambda d: {"depth": R.clamped_depth("(x - 70)", "depth", "water"), "clipped": f"(water and {R.clamped_depth('(x - 70)', 'depth', 'water')} < depth)"})
-projection("underwater_relief", lambda d: {"depth": R.underwater_relief("depth", "water", "x", "z", 8128, d)})
 projection("snow_phase", lambda d: {"units": R.snow_phase("cast(x % 17 as int)", "(z / 63.0 - 0.5)")})
 projection("snow_units", lambda d: {"units": R.snow_units("(elev / 1000 - 1)", d)})
 projection("shore_material", lambda d: {"material": R.shore_material("(not water)", "(depth = 0)", d.num(0.6), hash01("x", "z", 1, d), hash01("x", "z", 2, d), hash01("x", "z", 3, d), hash01("x", "z", 4, d), "(x * 0.5)", "x", "z", d)})
 projection("effective_slope", lambda d: {"slope": six(f"x * {d.num(0.9)} - 7 * (z / {d.num(64.0)} - {d.num(0.5)})"), "shift": six(f"120 * {smooth_noise('x', 'z', 440, 1234, 3, d)} - 85 * (z / {d.num(64.0)})")})
 
 
+_SAME = lambda layers: {k: k for k in layers}
+
+
+@query("underwater_relief", sql(f"select x, z, {R.underwater_relief('depth', 'water', texts(R.relief_noise(), 'x', 'z', DUCK), DUCK)} as depth from cells"))
+def underwater_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_noise(cells(spark, sf_dir).select("x", "z", "depth", "water"), R.relief_noise())
+    return rows.select("x", "z", column(R.underwater_relief("depth", "water", _SAME(R.relief_noise()))).alias("depth"))
+
+
 def _h(k: int, d: Dialect) -> str:
     return hash01("x", "z", 100 + k, d)
 
@@ -192,15 +201,15 @@ def chamfer_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("water_depth", sql(
-    f"select x, z, {R.underwater_relief('d', 'water', 'x', 'z', 8128, DUCK)} as depth from (select x, z, water, {R.depth_curve('distance', 'water', DUCK)} as d from chamfer)", CHAMFER_SQL))
+    f"select x, z, {R.underwater_relief('d', 'water', texts(R.relief_noise(), 'x', 'z', DUCK), DUCK)} as depth from (select x, z, water, {R.depth_curve('distance', 'water', DUCK)} as d from chamfer)", CHAMFER_SQL))
 def water_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.water_depth(cells(spark, sf_dir).select("x", "z", "water")).select("x", "z", "depth")
 
 
 @query("naturalise_edges", sql(
     f"""select a.x, a.z, case when core then true
-      when water and near12 and neighbours >= 5 and {R.naturalise_score('a.x', 'a.z', 9321, DUCK)} < -0.26 then false
-      when not water and near13 and neighbours >= 3 and {R.naturalise_score('a.x', 'a.z', 9321, DUCK)} > 0.34 then true else water end as water
+      when water and near12 and neighbours >= 5 and {R.naturalise_score(texts(R.edge_noise(), 'a.x', 'a.z', DUCK), DUCK)} < -0.26 then false
+      when not water and near13 and neighbours >= 3 and {R.naturalise_score(texts(R.edge_noise(), 'a.x', 'a.z', DUCK), DUCK)} > 0.34 then true else water end as water
     from (select c.x, c.z, c.water, c.water and c.d >= 3 as core,
       exists(select 1 from prelim b where b.water and b.d >= 3 and abs(b.x - c.x) + abs(b.z - c.z) <= 12) as near12,
       exists(select 1 from prelim b where b.water and b.d >= 3 and abs(b.x - c.x) + abs(b.z - c.z) <= 13) as near13,
@@ -218,13 +227,13 @@ def lake_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BED_SQL = f"""bed as (select x, z, depth, water, coalesce(greatest({', '.join(_NEAR)}), 0) as relief,
-  {', '.join(f'{e} as {c}' for c, e in R.lakebed_fields('x', 'z', DUCK).items())}, {R.habitat('x', 'z', DUCK)} as habitat from cells),
+  {', '.join(f'{e} as {c}' for c, e in texts(R.LAKEBED_NOISE, 'x', 'z', DUCK).items())}, {R.habitat(texts(R.HABITAT_NOISE, 'x', 'z', DUCK), DUCK)} as habitat from cells),
 material as (select *, {R.lakebed('depth', 'relief', '(x % 16 > 2)', DUCK)} as bed from bed)"""
 
 
 def bedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cells(spark, sf_dir).withColumn("relief", G.relief4("depth"))
-    rows = rows.withColumns({c: column(e) for c, e in R.lakebed_fields("x", "z").items()}).withColumn("habitat", column(R.habitat("x", "z")))
+    rows = with_noise(rows, R.LAKEBED_NOISE | R.HABITAT_NOISE).withColumn("habitat", column(R.habitat(_SAME(R.HABITAT_NOISE))))
     return rows.withColumn("bed", column(R.lakebed("depth", "relief", "(x % 16 > 2)")))
 
 
@@ -246,7 +255,7 @@ def lakebed_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- the surface -------------------------------------------------------------------------------------------------------------
-SURFACE_SQL = f"""noisy as (select *, {', '.join(f'{e} as {c}' for c, e in R.fields('x', 'z', 1234, DUCK).items())} from slopes),
+SURFACE_SQL = f"""noisy as (select *, {', '.join(f'{e} as {c}' for c, e in R.fields(texts(R.field_noise(), 'x', 'z', DUCK), 'x', 'z', 1234, DUCK).items())} from slopes),
 ground as (select *, {R.surface(d=DUCK, names=True)} as surface, {R.snow_amount('elev', 'slope', 'north', DUCK)} as snow from noisy),
 wooded as (select *, {R.forest_probability('elev', 'landcover', 'slope', 'north', 'surface', "(landcover % 9)", DUCK)} as p from ground),
 painted as (select *, {R.leaf('p', 'elev', 'r')} as leaf from wooded)"""
@@ -255,7 +264,8 @@ painted as (select *, {R.leaf('p', 'elev', 'r')} as leaf from wooded)"""
 def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid with its noise fields, surface, snow, forest and leaves."""
     rows = slopes(cells(spark, sf_dir))
-    rows = rows.withColumns({c: column(e) for c, e in R.fields("x", "z", 1234).items()})
+    noise = R.field_noise()
+    rows = with_noise(rows, noise).withColumns({c: column(e) for c, e in R.fields(_SAME(noise), "x", "z", 1234).items()})
     rows = rows.withColumns({"surface": column(R.surface(names=True)), "snow": column(R.snow_amount("elev", "slope", "north"))})
     rows = rows.withColumn("p", column(R.forest_probability("elev", "landcover", "slope", "north", "surface", "(landcover % 9)")))
     return rows.withColumn("leaf", column(R.leaf("p", "elev", "r")))
@@ -289,20 +299,13 @@ def rgb_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return painted(spark, sf_dir).select("x", "z", *[column(e).alias(c) for c, e in _RGB(SPARK).items()])
 
 
-def _decor(d: Dialect) -> dict[str, str]:
-    half = lambda scale, seed: f"({smooth_noise('x', 'z', scale, seed, 2, d)} * 0.5 + 0.5)"
-    return {
-        "damp": f"least(greatest({d.num(0.45)} + {d.num(0.3)} * north + {d.num(0.35)} * curv + {d.num(0.2)} * {smooth_noise('x', 'z', 70, 5150, 3, d)}, 0), 1)",
-        "clearing": f"least(greatest(({smooth_noise('x', 'z', 60, 5151, 3, d)} - {d.num(0.18)}) * {d.num(2.4)}, 0), 1)",
-        "patch_a": half(14, 5152),
-        "patch_b": half(9, 5153),
-        "patch_c": half(24, 5154),
-    }
+_DECOR_SQL = ", ".join(f"round({e}, 6) as {c}" for c, e in R.decor_fields(texts(R.DECOR_NOISE, "x", "z", DUCK), DUCK).items())
 
 
-@query("decor_fields", sql("select x, z, " + ", ".join(f"round({e}, 6) as {c}" for c, e in _decor(DUCK).items()) + " from slopes", SLOPES_SQL))
+@query("decor_fields", sql(f"select x, z, {_DECOR_SQL} from slopes", SLOPES_SQL))
 def decor_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slopes(cells(spark, sf_dir)).select("x", "z", *[F.round(column(e), 6).alias(c) for c, e in _decor(SPARK).items()])
+    rows = with_noise(slopes(cells(spark, sf_dir)), R.DECOR_NOISE)
+    return rows.select("x", "z", *[F.round(column(e), 6).alias(c) for c, e in R.decor_fields(_SAME(R.DECOR_NOISE)).items()])
 
 
 @query("grid_class_share", sql(

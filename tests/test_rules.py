@@ -6,6 +6,7 @@ from gridloom.functions.noise import smooth_noise
 from gridloom.operators import features
 from gridloom.operators import rules as R
 from gridloom.operators import voxels as V
+from gridloom.operators.noise_layers import Smooth, with_noise
 from gridloom.plans.table_queries import preflight_of, validation_of
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def test_writes_resolve(spark):
 
 def test_lakebed_statistics(spark):
     cells = spark.range(192 * 192).select((F.col("id") % 192).alias("x"), F.expr("id div 192").alias("z"))
-    cells = cells.withColumns({c: column(e) for c, e in R.lakebed_fields("x", "z").items()})
+    cells = with_noise(cells, R.LAKEBED_NOISE)
     deep = cells.select(column(R.lakebed("22", "0", "true")).alias("b")).groupBy("b").count().collect()
     fine = sum(r["count"] for r in deep if r.b in ("clay", "mud"))
     assert fine > 0.6 * 192 * 192
