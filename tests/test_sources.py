@@ -4,6 +4,7 @@ import struct
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 
 from gridloom.operators import ledger
@@ -41,7 +42,9 @@ def test_templates(spark, tmp_path):
         (tmp_path / name).write_bytes(document(value))
     (tmp_path / "bad.nbt").write_bytes(b"\x0a\0")
     got = {}
-    for r in B.templates(B.files(spark, str(tmp_path))).collect():
+    found = B.templates(B.files(spark, str(tmp_path))).collect()
+    assert [r.path[-7:] for r in found if r.error] == ["bad.nbt"]
+    for r in (r for r in found if not r.error):
         got.setdefault(r.path[-5:], set()).add((r.x, r.y, r.z, r.name, tuple(sorted(r.props.items()))))
     assert got["a.nbt"] == {(1, 2, 3, "m:log", (("axis", "y"),))}
     assert got["schem"] == {(1, 0, 0, "m:leaf", (("a", "1"), ("b", "x"))), (1, 0, 1, "m:leaf", (("a", "1"), ("b", "x")))}
@@ -58,8 +61,14 @@ def test_regions(spark, tmp_path):
 
 
 def test_varints_bits_and_states():
-    assert B.varints(bytes([0, 127, 128, 1, 255, 255, 3])) == [0, 127, 128, 65535]
-    assert B.bit_packed([-1, 1], 5, 13) == [31] * 13
+    assert B.varints(bytes([0, 127, 128, 1, 255, 255, 3, 128])).tolist() == [0, 127, 128, 65535]
+    assert B.varints(b"").tolist() == B.varints(b"\x80").tolist() == []
+    assert B.bit_packed([-1, 1], 5, 13).tolist() == [31] * 13 and B.bit_packed([-1], 5, 15).tolist() == [31] * 12 + [15, 0, 0]
+    rng = np.random.default_rng(1)
+    for bits in (2, 3, 7, 13, 31):
+        want = rng.integers(0, 2**bits, 200).tolist()
+        whole = sum(v << (bits * k) for k, v in enumerate(want))
+        assert B.bit_packed([whole >> (64 * k) & (2**64 - 1) for k in range(bits * 200 // 64 + 1)], bits, 200).tolist() == want
     assert B.state("m:log[axis=y, lit = true]") == ("m:log", {"axis": "y", "lit": "true"})
     assert B.state("m:air") == ("m:air", {})
 
@@ -81,6 +90,36 @@ def test_archives_and_rasters(spark, tmp_path):
     assert got == {(x, z): px[z][x] for z in range(2) for x in range(3)}
 
 
+def test_raster_filters_and_broken_files(spark):
+    """All five line filters, several data chunks, rasters that are cut off or none at all."""
+    rng = np.random.default_rng(2)
+    px = rng.integers(0, 65536, (11, 7))
+    lines, above, out = px.astype(">u2").view(np.uint8).reshape(11, -1).astype(int), np.zeros(14, dtype=int), b""
+    for k, line in enumerate(lines):
+        left, corner = np.concatenate([[0, 0], line[:-2]]), np.concatenate([[0, 0], above[:-2]])
+        p = left + above - corner
+        near = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
+        out += bytes([k % 5]) + ((line - [np.zeros(14, dtype=int), left, above, (left + above) // 2, near][k % 5]) & 255).astype(np.uint8).tobytes()
+        above = line
+    packed = zlib.compress(out)
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    raw = B.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 11, 16, 0, 0, 0, 0)) + chunk(b"IDAT", packed[:40]) + chunk(b"IDAT", packed[40:]) + chunk(b"IEND", b"")
+    colour = B.png_bytes(np.zeros((2, 2, 3), dtype=int))
+    files = [("a", raw), ("b", B.png_bytes(px)), ("cut", raw[:60]), ("none", b"x"), ("null", None), ("colour", colour)]
+    found = B.png16(spark.createDataFrame([(n, None if r is None else bytearray(r)) for n, r in files], "path string, content binary")).collect()
+    for name in "ab":
+        assert {(r.x, r.z): r.px for r in found if r.path == name and r.error is None} == {(x, z): px[z, x] for z in range(11) for x in range(7)}
+    assert {r.path for r in found if r.error} == {"cut", "none", "null", "colour"}
+
+
+def test_broken_containers_are_rows(spark):
+    bad = spark.createDataFrame([("a", bytearray(b"no zip")), ("b", None), ("c", bytearray())], "path string, content binary")
+    assert {r.path for r in B.archives(bad, "", "", 0).collect() if r.error} == {"a", "b", "c"}
+    assert {r.path for r in B.templates(bad).collect() if r.error} == {"a", "b", "c"}
+    assert {r.path for r in B.world(bad).collect() if r.error} == {"a", "b", "c"}
+    assert B.templates(bad.limit(0)).count() == B.png16(bad.limit(0)).count() == 0
+
+
 def test_fingerprint_changes_with_any_file(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / name).write_bytes(name.encode())
