@@ -1,8 +1,8 @@
-"""Vector features: tag filters, widths, and which cells boxes and lines touch."""
+"""Vector features: classes by tags, widths, which cells boxes and lines touch, source tiles, map projections."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,99 @@ def mosaic(tiles: DataFrame, value: str, order: str) -> DataFrame:
     return known.groupBy("x", "z").agg(F.min_by(value, order).alias(value))
 
 
+def tagged(features: DataFrame, classes: DataFrame) -> DataFrame:
+    """features(id, tags map, ...) with the class of their tags: classes(name, code, key, value, priority) is a fixed list of
+    tag values, counted and small. Of several classes a feature takes the one of the greatest priority."""
+    pairs = features.withColumn("_tag", F.explode(F.map_entries("tags")))
+    listed = F.broadcast(classes.select("name", "code", "priority", F.col("key").alias("_k"), F.col("value").alias("_v")))
+    met = pairs.join(listed, (F.col("_tag.key") == F.col("_k")) & (F.col("_tag.value") == F.col("_v"))).drop("_tag", "_k", "_v")
+    rest = [c for c in features.columns if c not in ("id", "tags")]
+    best = met.groupBy("id").agg(F.max_by(F.struct("name", "code", "priority", *rest), F.struct("priority", "code")).alias("b"))
+    return best.select("id", "b.*")
+
+
+def source_tiles(spark: SparkSession, bounds: tuple[float, float, float, float], tile: int, name: str) -> DataFrame:
+    """(path, x0, z0, x1, z1) of the tiles that meet bounds (x0, z0, x1, z1); name has places for a tile's x and z."""
+    x0, z0, x1, z1 = bounds
+    low = [int(v // tile) for v in (x0, z0)]
+    n = [max(0, -int(-v // tile) - a) for v, a in zip((x1, z1), low, strict=True)]
+    at = spark.range(n[0] * n[1]).select((F.col("id") % max(1, n[0]) + low[0]).alias("i"), (F.floor(F.col("id") / max(1, n[0])) + low[1]).alias("k"))
+    corner = at.select((F.col("i") * tile).cast("int").alias("x0"), (F.col("k") * tile).cast("int").alias("z0"))
+    path = F.format_string(name.format(x="%1$d", z="%2$d"), "x0", "z0")
+    return corner.select(path.alias("path"), "x0", "z0", (F.col("x0") + tile).alias("x1"), (F.col("z0") + tile).alias("z1"))
+
+
+def windowed(read: DataFrame, tiles: DataFrame, bounds: tuple[int, int, int, int], step: int = 1) -> DataFrame:
+    """(x, z, px) of read(path, x, z, px, error), places within their tiles, moved to their tiles' corners and cut to bounds
+    (x0, z0, x1, z1; the last two outside); every step-th cell. Tiles that don't open or aren't there add nothing."""
+    placed = read.where("error is null").join(tiles.select("path", "x0", "z0"), "path")
+    whole = placed.select((F.col("x") + F.col("x0")).alias("x"), (F.col("z") + F.col("z0")).alias("z"), "px")
+    x0, z0, x1, z1 = bounds
+    cut = whole.where((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("z") >= z0) & (F.col("z") < z1))
+    return cut.where(((F.col("x") - x0) % step == 0) & ((F.col("z") - z0) % step == 0)) if step > 1 else cut
+
+
+def utm_back(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Degrees of an easting and northing in a zone: the series of utm(), inverted, and a few steps for the latitude."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    xi = (north - F.when(south, 10_000_000).otherwise(0)) / (0.9996 * big)
+    eta = (east - 500_000) / (0.9996 * big)
+    x, y = xi, eta
+    for k, c in enumerate(series, 1):
+        x = x - c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        y = y - c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    to_phi = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    phi = chi
+    for k, c in enumerate(to_phi, 1):
+        phi = phi + c * F.sin(2 * k * chi)
+    return F.degrees(F.atan2(F.sinh(y), F.cos(x))) + (zone * 6 - 183), F.degrees(phi)
+
+
+# fixed values: the equal-area projection of Europe (EPSG 3035): ellipsoid, middle in degrees, false easting and northing
+EUROPE = (6378137.0, 1 / 298.257222101, 52.0, 10.0, 4321000.0, 3210000.0)
+
+
+def _authalic(phi: Column, e: float) -> Column:
+    s = F.sin(phi)
+    return (1 - e * e) * (s / (1 - e * e * s * s) + F.atanh(e * s) / e)
+
+
+def europe(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Easting and northing in the equal-area projection of Europe."""
+    a, f, lat0, lon0, fe, fn = EUROPE
+    e = (2 * f - f * f) ** 0.5
+    qp, q0, q = (_authalic(F.radians(p), e) for p in (F.lit(90.0), F.lit(lat0), lat))
+    beta, beta0 = F.asin(F.least(F.lit(1.0), q / qp)), F.asin(q0 / qp)
+    rq, away = a * F.sqrt(qp / 2), F.radians(lon - lon0)
+    phi0 = F.radians(F.lit(lat0))
+    d = a * F.cos(phi0) / F.sqrt(1 - e * e * F.sin(phi0) * F.sin(phi0)) / (rq * F.cos(beta0))
+    b = rq * F.sqrt(2 / (1 + F.sin(beta0) * F.sin(beta) + F.cos(beta0) * F.cos(beta) * F.cos(away)))
+    return fe + b * d * F.cos(beta) * F.sin(away), fn + b / d * (F.cos(beta0) * F.sin(beta) - F.sin(beta0) * F.cos(beta) * F.cos(away))
+
+
+def europe_back(east: Column, north: Column) -> tuple[Column, Column]:
+    """Degrees of an easting and northing in the equal-area projection of Europe."""
+    a, f, lat0, lon0, fe, fn = EUROPE
+    e2 = 2 * f - f * f
+    e = e2**0.5
+    qp, q0, phi0 = _authalic(F.radians(F.lit(90.0)), e), _authalic(F.radians(F.lit(lat0)), e), F.radians(F.lit(lat0))
+    beta0, rq = F.asin(q0 / qp), a * F.sqrt(qp / 2)
+    d = a * F.cos(phi0) / F.sqrt(1 - e2 * F.sin(phi0) * F.sin(phi0)) / (rq * F.cos(beta0))
+    x, y = (east - fe) / d, (north - fn) * d
+    rho = F.sqrt(x * x + y * y)
+    c = 2 * F.asin(rho / (2 * rq))
+    beta = F.when(rho == 0, beta0).otherwise(F.asin(F.cos(c) * F.sin(beta0) + y * F.sin(c) * F.cos(beta0) / rho))
+    terms = [e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360]
+    phi = beta
+    for k, t in enumerate(terms, 1):
+        phi = phi + t * F.sin(2 * k * beta)
+    return F.degrees(F.atan2(x * F.sin(c), rho * F.cos(beta0) * F.cos(c) - y * F.sin(beta0) * F.sin(c))) + lon0, F.degrees(phi)
+
+
 def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     """Easting and northing of WGS84 degrees in a zone, by the third-order series in the flattening; well below a millimetre
     within the zone. South of the equator northings count from ten million metres below it."""

@@ -111,8 +111,10 @@ def decor_kind(roll: str, zone: str) -> str:
     return f"case when {roll} < 0.10 and {zone} = 'forest' then 'log' when {roll} < 0.18 and {zone} = 'forest' then 'stump' when {roll} < 0.26 then 'boulder' when {roll} < 0.40 and {zone} <> 'alpine' then 'bush' end"
 
 
-def sampled(points: DataFrame, cells: DataFrame, width: int, depth: int) -> DataFrame:
-    """points with the layers of their cell; points beyond the grid's edge take the nearest cell's."""
+def sampled(points: DataFrame, cells: DataFrame, width: int, depth: int, clamp: bool = False) -> DataFrame:
+    """points with the layers of their cell; points beyond the grid's edge go, or with clamp take the nearest cell's."""
+    if not clamp:
+        return points.join(cells, ["x", "z"])
     at = points.withColumns({"_x": F.least(F.greatest("x", F.lit(0)), F.lit(width - 1)), "_z": F.least(F.greatest("z", F.lit(0)), F.lit(depth - 1))})
     return at.join(cells.withColumnsRenamed({"x": "_x", "z": "_z"}), ["_x", "_z"]).drop("_x", "_z")
 
@@ -156,10 +158,62 @@ def disc(spark: SparkSession, radius: int) -> DataFrame:
 
 def crown(spark: SparkSession, height: int) -> DataFrame:
     """The broad-leaved shape of a trunk height: (dx, dy, dz, kind)."""
-    trunk = spark.range(height).select(F.lit(0).alias("dx"), F.col("id").cast("int").alias("dy"), F.lit(0).alias("dz"), F.lit("log").alias("kind"))
-    rows = spark.range(height - 2, height + 2).select(F.col("id").cast("int").alias("dy"))
-    leaves = disc(spark, 2).crossJoin(F.broadcast(rows)).where(F.expr(f"dx * dx + dz * dz <= case when dy < {height} then 6 else 2 end and not (dx = 0 and dz = 0 and dy < {height})"))
-    return trunk.unionByName(leaves.select("dx", "dy", "dz", F.lit("leaf").alias("kind")))
+    return shapes(spark.range(1).select(F.lit("oak").alias("tree"), F.lit(height).alias("height"))).select("dx", "dy", "dz", "kind")
+
+
+# fixed values: a spruce's radii from its top layer down, the last for all below; the heights of each shape
+SPRUCE_RADII = [0, 1, 1, 2, 2, 1, 1, 2, 2, 1, 1]
+HEIGHTS = {"spruce": (6, 10), "oak": (4, 6), "birch": (5, 7), "krummholz": (2, 3)}
+
+
+def shapes(trees: DataFrame) -> DataFrame:
+    """trees(tree, height, ...) with dx, dy, dz, kind ('log' or 'leaf'), a row a block.
+
+    Spruces are cones of layers whose radii swing, oaks and birches have a crown of four layers, krummholz one flat layer
+    with a smaller one on it. Leaves fill discs of dx^2 + dz^2 <= r^2 + r.
+    """
+    h = F.col("height")
+    span = lambda low, high: F.explode(F.sequence(low, high))
+    trunk = trees.withColumn("dy", span(F.lit(0), h - 1)).withColumns({"dx": F.lit(0), "dz": F.lit(0), "kind": F.lit("log")})
+    is_ = lambda *names: F.col("tree").isin(*names)
+    low = F.when(is_("spruce"), F.lit(2)).when(is_("krummholz"), h - 1).otherwise(h - 2)
+    high = F.when(is_("krummholz"), h).otherwise(h + 1)
+    cone = F.when(F.col("dy") >= h, F.lit(0)).otherwise(F.element_at(F.array(*map(F.lit, SPRUCE_RADII)), F.least(h - F.col("dy"), F.lit(len(SPRUCE_RADII)))))
+    layers = trees.withColumn("dy", span(low, high)).withColumn("r", F.when(is_("spruce"), cone).when(is_("krummholz"), F.lit(2)).otherwise(F.when(F.col("dy") < h, 2).otherwise(1)))
+    plane = layers.withColumn("dx", span(-F.col("r"), F.col("r"))).withColumn("dz", span(-F.col("r"), F.col("r")))
+    away = F.expr("dx * dx + dz * dz")
+    middle = (F.col("dx") == 0) & (F.col("dz") == 0)
+    fits = F.when(is_("krummholz"), F.when(F.col("dy") < h, away <= 5).otherwise((F.abs("dx") <= 1) & (F.abs("dz") <= 1))).otherwise(away <= F.col("r") * F.col("r") + F.col("r"))
+    # trunks stay free of leaves, but for a spruce's top log and krummholz
+    trunk_here = middle & F.when(is_("spruce"), F.col("dy") < h - 1).when(is_("krummholz"), F.lit(False)).otherwise(F.col("dy") < h)
+    leaves = plane.where(fits & ~trunk_here).drop("r").withColumn("kind", F.lit("leaf"))
+    return trunk.unionByName(leaves)
+
+
+def decor_blocks(points: DataFrame) -> DataFrame:
+    """points(x, z, kind, ...) of logs, stumps and bushes with dx, dy, dz, block and axis; draws are hashes of the place.
+
+    A fallen log is three to six long, a stump one or two high; a bush is a square of leaves that lacks about half of its
+    corners, with one more on top and, in two of five, a trunk inside.
+    """
+    draw = lambda salt, x="x", z="z": column(bhash(x, z, salt))
+    span = lambda low, high: F.explode(F.sequence(F.lit(low), high))
+    none = F.lit(0)
+    logs = points.where("kind = 'log'").withColumns({"_k": span(0, F.least(F.lit(5), F.lit(2) + F.floor(draw(71) * 4).cast("int"))), "axis": F.when(draw(72) < 0.5, "x").otherwise("z")})
+    logs = logs.withColumns({"dx": F.when(F.col("axis") == "x", F.col("_k")).otherwise(none), "dy": none, "dz": F.when(F.col("axis") == "z", F.col("_k")).otherwise(none), "block": F.lit("log")})
+    stumps = points.where("kind = 'stump'").withColumns({"dy": span(0, F.least(F.lit(1), F.floor(draw(73) * 2).cast("int"))), "axis": F.lit("y")})
+    stumps = stumps.withColumns({"dx": none, "dz": none, "block": F.lit("log")})
+    bush = points.where("kind = 'bush'")
+    leaves = bush.withColumn("dx", span(-1, F.lit(1))).withColumn("dz", span(-1, F.lit(1)))
+    leaves = leaves.where((F.abs("dx") + F.abs("dz") < 2) | (column(bhash("x * 4 + dx", "z * 4 + dz", 74)) >= 0.5)).withColumn("dy", none)
+    top = bush.withColumns({"dx": none, "dz": none, "dy": F.lit(1)})
+    leafy = leaves.unionByName(top).withColumns({"axis": F.lit(None).cast("string"), "block": F.lit("leaves")})
+    trunk = bush.where(draw(75) < 0.4).withColumns({"dx": none, "dy": none, "dz": none, "axis": F.lit("y"), "block": F.lit("log")})
+    keep = [*points.columns, "dx", "dy", "dz", "block", "axis"]
+    out = logs.select(keep)
+    for part in (stumps, leafy, trunk):
+        out = out.unionByName(part.select(keep))
+    return out
 
 
 def boulder(spark: SparkSession, radius: int) -> DataFrame:

@@ -27,6 +27,38 @@ def resolved(writes: DataFrame, priority: str | Column, keep: str = "last") -> D
     return writes.groupBy("x", "y", "z").agg(choose("block", priority).alias("block"))
 
 
+# fixed values: blocks that count as nothing, and the plants that trees may grow through besides
+AIR = ["air", "cave_air", "void_air"]
+SOFT = [
+    *AIR, "snow", "short_grass", "fern", "large_fern", "tall_grass", "dead_bush", "brown_mushroom", "red_mushroom", "dandelion", "poppy", "oxeye_daisy",
+    "cornflower", "azure_bluet", "moss_carpet", "sweet_berry_bush", "allium", "white_tulip", "orange_tulip",
+]
+#: The volume's lowest and highest blocks (fixed values).
+BOTTOM, TOP = -64, 318
+
+
+def guarded(writes: DataFrame, volume: DataFrame, box: tuple[int, int, int, int], bottom: int = BOTTOM, top: int = TOP) -> DataFrame:
+    """The writes(x, y, z, block, guard, ...) that may happen: inside the box (x0, x1, z0, z1; x1 and z1 outside) and the
+    heights, and where guard asks for it on a voxel of volume(x, y, z, block) that is air ('air') or soft ('soft').
+
+    Voxels that the volume lacks are air. Writes without guard replace anything.
+    """
+    x0, x1, z0, z1 = box
+    inside = writes.where(F.col("x").between(x0, x1 - 1) & F.col("z").between(z0, z1 - 1) & F.col("y").between(bottom, top))
+    met = inside.join(volume.select("x", "y", "z", F.col("block").alias("_held")), ["x", "y", "z"], "left")
+    held = F.coalesce("_held", F.lit("air"))
+    allowed = F.when(F.col("guard") == "air", held.isin(AIR)).when(F.col("guard") == "soft", held.isin(SOFT)).otherwise(True)
+    return met.where(allowed).drop("_held")
+
+
+def used_tiles(cells: DataFrame, value: str, tile: int) -> DataFrame:
+    """cells of those tiles that hold anything: a value that is neither null nor 0 in one cell at least."""
+    at = {f"_t{c}": F.floor(F.col(c) / tile).cast("int") for c in ("x", "z")}
+    placed = cells.withColumns(at)
+    some = placed.where(F.coalesce(F.col(value) != 0, F.lit(False))).select("_tx", "_tz").distinct()
+    return placed.join(some, ["_tx", "_tz"], "left_semi").drop("_tx", "_tz")
+
+
 def chunk_mode(cells: DataFrame, value: str, bits: int = 4) -> DataFrame:
     """(cx, cz, value): each chunk's commonest value, the smallest of equals."""
     return cells.groupBy(F.shiftright("x", bits).alias("cx"), F.shiftright("z", bits).alias("cz")).agg(F.mode(F.col(value), True).alias(value))

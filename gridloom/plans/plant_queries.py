@@ -157,16 +157,12 @@ def column_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.column_runs(cells(spark, sf_dir).withColumn("y", F.floor(F.col("elev") / 12).cast("int")), "y", "depth", -64)
 
 
-_WRITES = """select x, cast(y as int) as y, z, block, p from (select x, z, unnest(range(100, 104)) as y, 'stone' as block, 1 as p from cells where x < 16
-  union all select x, z, unnest(range(102, 106)), 'water', 2 from cells where x < 16 and water union all select x, z, 103, 'plant', 3 from cells where x < 16 and depth > 2)"""
-
-
-_WHOLE_WRITES = """select x, cast(y as int) as y, z, block, p from (select x, z, unnest(range(100, 104)) as y, 'stone' as block, 1 as p from cells
+_WRITES = """select x, cast(y as int) as y, z, block, p from (select x, z, unnest(range(100, 104)) as y, 'stone' as block, 1 as p from cells
   union all select x, z, unnest(range(102, 106)), 'water', 2 from cells where water union all select x, z, 103, 'plant', 3 from cells where depth > 2)"""
 
 
-def _writes(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
-    rows = cells(spark, sf_dir).where(which)
+def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cells(spark, sf_dir)
     write = lambda low, high, block, p: ("x", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("y"), "z", F.lit(block).alias("block"), F.lit(p).alias("p"))
     solid, wet = rows.select(*write(100, 103, "stone", 1)), rows.where("water").select(*write(102, 105, "water", 2))
     return solid.unionByName(wet).unionByName(rows.where("depth > 2").select(*write(103, 103, "plant", 3)))
@@ -174,21 +170,11 @@ def _writes(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
 
 @query("voxel_resolve", sql(f"select x, y, z, arg_max(block, p) as block from ({_WRITES}) group by x, y, z"))
 def voxel_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.resolved(_writes(spark, sf_dir, "x < 16"), "p")
-
-
-@query("voxel_resolve_whole", sql(f"select x, y, z, arg_max(block, p) as block from ({_WHOLE_WRITES}) group by x, y, z"))
-def voxel_resolve_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.resolved(_writes(spark, sf_dir), "p")
 
 
 @query("first_write_wins", sql(f"select x, y, z, arg_min(block, p) as block from ({_WRITES}) group by x, y, z"))
 def first_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.resolved(_writes(spark, sf_dir, "x < 16"), "p", keep="first")
-
-
-@query("first_write_wins_whole", sql(f"select x, y, z, arg_min(block, p) as block from ({_WHOLE_WRITES}) group by x, y, z"))
-def first_write_wins_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.resolved(_writes(spark, sf_dir), "p", keep="first")
 
 
@@ -225,7 +211,7 @@ _CHANCE, _RADIUS = P.boulder_chance("bed", "relief", DUCK), f"case when {bhash('
 def underwater_boulders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boulders on beds of some depth, their columns; four times the usual chance, as the grid is small."""
     found = P.candidates(spark, P.BOULDERS, -32, 96, -32, 96).where("x between -2 and 65 and z between -2 and 65").select("x", "z")
-    met = P.sampled(found, bedded(spark, sf_dir).select("x", "z", "water", "depth", "relief", "bed"), 64, 64)
+    met = P.sampled(found, bedded(spark, sf_dir).select("x", "z", "water", "depth", "relief", "bed"), 64, 64, clamp=True)
     kept = met.where(F.col("water") & F.col("depth").between(4, 22) & column(f"{bhash('x', 'z', 4042)} <= {P.boulder_chance('bed', 'relief')} * 4"))
     return P.mounds(kept.withColumn("radius", F.when(column(f"{bhash('x', 'z', 4043)} < 0.24"), 2).otherwise(1)))
 

@@ -81,7 +81,6 @@ def validate_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TILES = "tiles as (select cast(a.range * 16 as int) as x0, cast(b.range * 16 as int) as z0 from range(4) a cross join range(4) b)"
-_DONE = "done as (select distinct concat(event_id % 4 * 16, ',', user_id % 3 * 16) as tile_key from events where event_id < 9)"
 
 
 def pending_of(events: DataFrame) -> DataFrame:
@@ -91,15 +90,9 @@ def pending_of(events: DataFrame) -> DataFrame:
     return ledger.pending(tiles, done, 5).select("tile_key", "x0", "z0")
 
 
-@query("pending_tiles", f"with {_TILES}, {_DONE} select concat(x0, ',', z0) as tile_key, x0, z0 from tiles where concat(x0, ',', z0) not in (select tile_key from done) order by x0, z0 limit 5")
+@query("pending_tiles", f"with {_TILES}, done as (select distinct concat(event_id % 4 * 16, ',', user_id % 3 * 16) as tile_key from events) select concat(x0, ',', z0) as tile_key, x0, z0 from tiles where concat(x0, ',', z0) not in (select tile_key from done) order by x0, z0 limit 5")
 def pending_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next five tiles that the ledger, here the first nine events, does not name."""
-    return pending_of(spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 9"))
-
-
-@query("pending_tiles_whole", f"with {_TILES}, done as (select distinct concat(event_id % 4 * 16, ',', user_id % 3 * 16) as tile_key from events) select concat(x0, ',', z0) as tile_key, x0, z0 from tiles where concat(x0, ',', z0) not in (select tile_key from done) order by x0, z0 limit 5")
-def pending_tiles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with every event in the ledger."""
+    """The next five tiles that the ledger, here every event, does not name."""
     return pending_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
@@ -111,9 +104,6 @@ def width_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.with_width(lines, widths, "kind", float(R.WIDTH))
 
 
-_BOXES = "boxes as (select o_orderkey, cast(o_orderkey * 13 % 70 - 3 as double) + 0.5 as x0, cast(o_orderkey * 29 % 70 - 3 as double) + 0.25 as z0, cast(o_custkey % 9 as int) + 1 as code from orders where o_orderkey % 500 = 0), wide as (select *, x0 + code as x1, z0 + 3 as z1 from boxes)"
-
-
 def boxes_of(orders: DataFrame, priority: Column) -> DataFrame:
     """The cells of each order's box; of several boxes on a cell the code of the greatest priority."""
     boxes = orders.select("o_orderkey", (F.col("o_orderkey") * 13 % 70 - 3 + F.lit(0.5)).alias("x0"), (F.col("o_orderkey") * 29 % 70 - 3 + F.lit(0.25)).alias("z0"), ((F.col("o_custkey") % 9).cast("int") + 1).alias("code"))
@@ -121,17 +111,10 @@ def boxes_of(orders: DataFrame, priority: Column) -> DataFrame:
     return features.rasterised(features.cells_of_box(boxes, 64, 64), "code", "priority")
 
 
-@query("rasterise_box", f"""with {_BOXES} select cast(g.range as int) as x, cast(h.range as int) as z, arg_max(code, code * 1000000 + o_orderkey) as code from range(64) g cross join range(64) h
-  join wide b on x0 < g.range + 1 and x1 >= g.range and z0 < h.range + 1 and z1 >= h.range group by 1, 2""")
-def rasterise_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The boxes of one order in 500."""
-    return boxes_of(spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 500 = 0"), F.col("code") * 1000000 + F.col("o_orderkey"))
-
-
-@query("rasterise_box_whole", """with boxes as (select distinct o_orderkey * 13 % 70 - 3 + 0.5 as x0, o_orderkey * 29 % 70 - 3 + 0.25 as z0, cast(o_custkey % 9 as int) + 1 as code from orders)
+@query("rasterise_box", """with boxes as (select distinct o_orderkey * 13 % 70 - 3 + 0.5 as x0, o_orderkey * 29 % 70 - 3 + 0.25 as z0, cast(o_custkey % 9 as int) + 1 as code from orders)
   select cast(g.range as int) as x, cast(h.range as int) as z, max(code) as code from range(64) g cross join range(64) h
   join boxes b on x0 < g.range + 1 and x0 + code >= g.range and z0 < h.range + 1 and z0 + 3 >= h.range group by 1, 2""")
-def rasterise_box_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rasterise_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boxes of all orders; keys of any size leave the codes' order alone."""
     return boxes_of(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.struct("code", "o_orderkey"))
 
@@ -145,18 +128,10 @@ def buffered(nations: DataFrame) -> DataFrame:
     return touched.where(features.near_segment(c("x"), c("z"), c("ax"), c("az"), c("bx"), c("bz"), F.lit(2.0))).select("x", "z").distinct()
 
 
-@query("buffer_line", sql("""select c.x, c.z from cells c join (select 4.0 * n_nationkey - 20 as x0, 2.0 * n_nationkey as z0, 70.0 - 2 * n_nationkey as x1, 60.0 - n_nationkey as z1 from nation where n_nationkey % 6 = 0) s
+@query("buffer_line", sql("""select c.x, c.z from cells c join (select 4.0 * n_nationkey - 20 as x0, 2.0 * n_nationkey as z0, 70.0 - 2 * n_nationkey as x1, 60.0 - n_nationkey as z1 from nation) s
   on ((c.x - x0) * (x1 - x0) + (c.z - z0) * (z1 - z0)) between 0 and (x1 - x0) * (x1 - x0) + (z1 - z0) * (z1 - z0)
   and pow((c.x - x0) * (z1 - z0) - (c.z - z0) * (x1 - x0), 2) <= 4 * ((x1 - x0) * (x1 - x0) + (z1 - z0) * (z1 - z0)) group by c.x, c.z"""))
 def buffer_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of one nation in six."""
-    return buffered(spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 6 = 0"))
-
-
-@query("buffer_line_whole", sql("""select c.x, c.z from cells c join (select 4.0 * n_nationkey - 20 as x0, 2.0 * n_nationkey as z0, 70.0 - 2 * n_nationkey as x1, 60.0 - n_nationkey as z1 from nation) s
-  on ((c.x - x0) * (x1 - x0) + (c.z - z0) * (z1 - z0)) between 0 and (x1 - x0) * (x1 - x0) + (z1 - z0) * (z1 - z0)
-  and pow((c.x - x0) * (z1 - z0) - (c.z - z0) * (x1 - x0), 2) <= 4 * ((x1 - x0) * (x1 - x0) + (z1 - z0) * (z1 - z0)) group by c.x, c.z"""))
-def buffer_line_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all nations."""
     return buffered(spark.read.parquet(f"{sf_dir}/nation.parquet"))
 
