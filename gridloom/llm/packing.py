@@ -3,8 +3,8 @@
 Texts become token pieces of at most `capacity` tokens, the first of a longer text being the shorter one. What the packer decides depends only on how many pieces have
 each length: the histogram, at most `capacity` numbers, is all that reaches the driver. The program "fewest sequences,
 each filled by a configuration of lengths, that cover the histogram" is solved by multiplicative weights: lengths carry
-weights, a knapsack by dynamic programming finds the configuration of greatest weight, the configuration is used and the
-weights of the lengths it covers fall. The mixture is rounded down to whole sequences; what is left over is packed by
+weights, a knapsack by dynamic programming prices configurations by them, those are used, and the weights of the lengths
+they cover fall. The mixture's full configurations are rounded down to whole sequences; what is left over is packed by
 best-fit decreasing, also on the histogram. Pieces then find their place by the rank among the pieces of their length.
 
 Ranks need no sort: each tokenising task numbers its own pieces per length, and the running sums over tasks of the
@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from gridloom.llm.common import cached, release, small_batches, stored
 
 CAPACITY, END = 1024, 2
+#: How strongly weights fall with cover; the mixtures' steps and lengths priced at a time; the shares of the volume that are tried.
+WEIGHT_STEP, MIXTURES, SHARES = 0.1, ((0.1, 32), (0.5, 8)), (1.0, 0.8, 0.6, 0.45, 0.3)
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -102,94 +104,117 @@ def pieces(docs: DataFrame, *, vocabulary: str, capacity: int = CAPACITY, end: i
 
 @dataclass(frozen=True)
 class Plan:
-    """Runs of equal sequences, as rows (length, first rank, ranks per sequence, first sequence, offset of the first)."""
+    """Runs of equal sequences, as rows (length, first rank, ranks per sequence, first sequence, offset of the first).
+
+    by_program: how many of the sequences the program's configurations fill; the rest is best fit's.
+    """
 
     runs: tuple[tuple[int, int, int, int, int], ...]
     sequences: int
     lower_bound: float
+    by_program: int = 0
 
 
 def _knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length is used in a configuration of greatest value (unbounded knapsack)."""
+    """For each room up to capacity, the length that a best filling of it takes first, or -1 for a unit left empty."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        fits = int(np.searchsorted(lengths, room, side="right"))
-        best[room] = best[room - 1]
-        if fits:
-            gain = best[room - lengths[:fits]] + value[:fits]
-            k = int(np.argmax(gain))
+        best[room], n = best[room - 1], fits[room]
+        if n:
+            gain = best[room - lengths[:n]] + value[:n]
+            k = int(gain.argmax())
             if gain[k] > best[room]:
                 best[room], took[room] = gain[k], k
-    use, room = np.zeros(len(lengths), dtype=np.int64), capacity
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-        else:
-            use[took[room]] += 1
-            room -= lengths[took[room]]
-    return use
-
-
-def _mixture(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int) -> dict[tuple[int, ...], float]:
-    """Multiplicative weights: how often each configuration is used, scaled so that no length is covered beyond its need."""
-    # an item's weight starts at its share of the volume, and falls as its length gets covered
-    weight, mix = lengths / (lengths * need).sum(), {}
-    for _ in range(rounds):
-        use = np.minimum(_knapsack(lengths, weight, capacity), need)
-        width = (use / need).max()
-        mix[tuple(use)] = mix.get(tuple(use), 0.0) + 1 / width
-        weight = weight * np.exp(-0.5 * (use / need) / width)
-        weight = weight / (weight * need).sum()
-    covered = sum(np.array(u) * x for u, x in mix.items())
-    return {u: x / (covered / need).max() for u, x in mix.items()}
+    return took
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 120, scales: tuple[float, ...] = (1, 0.5, 0.1, 0.02, 0)) -> Plan:
-    """The mixture, rounded down to whole sequences at several scales; the scale whose plan needs fewest sequences wins.
+def _mixture(lengths: np.ndarray, need: np.ndarray, capacity: int, step: float, each: int) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often each is used, in the order in which they were found; every need is covered, none twice.
 
-    Few rounds leave rare lengths uncovered, so that a smaller share of the mixture with more left to best fit can be
-    the better rounding.
+    A length's weight is its share of a sequence, times a factor that falls as its need gets covered. With these weights the
+    knapsack prices configurations: for the `each` lengths whose cover lags most, the best one that holds each of them. A
+    configuration is used for `step` of what its scarcest length still needs, and for all of it where that is little, so
+    the number of rounds depends on the number of lengths and not on their needs.
     """
+    covered, mix = np.zeros(len(need)), []
+    need = need.astype(float)
+    while (open_ := np.flatnonzero(covered < need * (1 - 1e-9))).size:
+        share = covered[open_] / need[open_]
+        weight = lengths[open_] * np.exp(-WEIGHT_STEP * (share - share.min()))
+        took = _knapsack(lengths[open_], weight, capacity)
+        for at in np.argsort(share - 1e-6 * lengths[open_], kind="stable")[:each]:
+            left = need - covered
+            if left[open_[at]] <= need[open_[at]] * 1e-9:
+                continue
+            use, room = np.zeros(len(need), dtype=np.int64), capacity - int(lengths[open_[at]])
+            use[open_[at]] = 1
+            while room > 0:
+                if took[room] < 0:
+                    room -= 1
+                else:
+                    use[open_[took[room]]] += 1
+                    room -= int(lengths[open_[took[room]]])
+            use[left <= need * 1e-9] = 0
+            used = np.flatnonzero(use)
+            scarce = used[np.argmin(left[used] / use[used])]
+            times = left[scarce] / use[scarce]
+            if times > 1 and left[scarce] > 0.01 * need[scarce]:
+                times *= step
+            mix.append((use, times))
+            covered = covered + use * times
+    return mix
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The mixtures of two step sizes, each rounded up to several shares of the volume; the plan of fewest sequences wins, of
+    equals the one that takes most from the program."""
     lengths = np.array(sorted(n for n, c in histogram.items() if c > 0), dtype=np.int64)
     need = np.array([histogram[n] for n in lengths], dtype=np.int64)
     if not len(lengths):
         return Plan((), 0, 0.0)
-    mix = sorted(_mixture(lengths, need, capacity, rounds).items(), key=lambda p: (-p[1], p[0]))
-    return min((_rounded(lengths, need, capacity, mix, scale) for scale in scales), key=lambda p: p.sequences)
+    plans = (_rounded(lengths, need, capacity, mix, share) for mix in (_mixture(lengths, need, capacity, *m) for m in MIXTURES) for share in SHARES)
+    return min(plans, key=lambda p: (p.sequences, -p.by_program))
 
 
-def _rounded(lengths: np.ndarray, need: np.ndarray, capacity: int, mix: list, scale: float) -> Plan:
-    left, chosen = need.copy(), []
-    for own, x in mix:
-        use = np.array(own)
-        times = min(int(x * scale), int((left[use > 0] // use[use > 0]).min()))
-        # a configuration that leaves room would waste it in each of its sequences; best fit uses that room better
-        if times > 0 and (use * lengths).sum() == capacity:
-            chosen.append((use, times))
-            left = left - use * times
-    runs, rank, sequence = [], np.zeros(len(lengths), dtype=np.int64), 0
+def _rounded(lengths: np.ndarray, need: np.ndarray, capacity: int, mix: list[tuple[np.ndarray, float]], share: float) -> Plan:
+    """Whole sequences of the mixture's full configurations, in its order, up to a share of the volume; the rest by best fit.
+
+    What rounding down leaves of a configuration is carried on to its next use. A configuration that leaves room would
+    waste it in each of its sequences; best fit uses that room better.
+    """
+    left, runs, rank, sequence, volume = need.copy(), [], np.zeros(len(lengths), dtype=np.int64), 0, int((lengths * need).sum())
 
     def add(use: np.ndarray, times: int) -> None:
-        nonlocal sequence
+        nonlocal sequence, left
         offset = 0
         for k in np.flatnonzero(use)[::-1]:
             runs.append((int(lengths[k]), int(rank[k]), int(use[k]), sequence, offset))
             rank[k] += use[k] * times
             offset += int(lengths[k] * use[k])
         sequence += times
+        left = left - use * times
 
-    for use, times in chosen:
-        add(use, times)
+    carried: dict[bytes, float] = {}
+    for use, times in mix:
+        if (use * lengths).sum() != capacity:
+            continue
+        if sequence * capacity >= share * volume:
+            break
+        key, used = use.tobytes(), np.flatnonzero(use)
+        carried[key] = carried.get(key, 0.0) + times
+        whole = min(int(carried[key] + 1e-9), int((left[used] // use[used]).min()))
+        if whole > 0:
+            carried[key] -= whole
+            add(use, whole)
+    by_program = sequence
     while left.any():  # fill the sequence with the exact best fit for its largest piece, as often as the counts allow
         top = int(np.flatnonzero(left)[-1])
         use, room = np.zeros(len(lengths), dtype=np.int64), capacity - int(lengths[top])
         use[top] = 1
-        fill = _fill(lengths, left - use, room)
-        use = use + fill
-        times = int((left[use > 0] // use[use > 0]).min())
-        add(use, times)
-        left = left - use * times
-    return Plan(tuple(runs), sequence, float((lengths * need).sum() / capacity))
+        use = use + _fill(lengths, left - use, room)
+        add(use, int((left[use > 0] // use[use > 0]).min()))
+    return Plan(tuple(runs), sequence, volume / capacity, by_program)
 
 
 def _fill(lengths: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:

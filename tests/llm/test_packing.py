@@ -54,6 +54,7 @@ def test_plans_cover_the_histogram_close_to_the_bound():
         assert dict(got) == histogram
         assert max(filled.values()) <= 1024 and set(filled) == set(range(plan.sequences))
         assert plan.sequences <= np.ceil(plan.lower_bound) * 1.02 + 2
+        assert n < 500 or plan.by_program >= 0.25 * plan.sequences
 
 
 def test_small_plans_are_optimal():
@@ -61,3 +62,22 @@ def test_small_plans_are_optimal():
     assert P.solve({600: 3, 424: 3}).sequences == 3
     assert P.solve({342: 1, 341: 2}).sequences == 1
     assert P.solve({}).sequences == 0
+
+
+def test_mixtures_cover_every_need_once():
+    rng = np.random.default_rng(8)
+    lengths = np.sort(rng.choice(np.arange(1, 1025), 150, replace=False))
+    for most in (3, 1000, 10**9):
+        need = rng.integers(1, most + 1, 150)
+        mix = P._mixture(lengths, need, 1024, 0.5, 8)
+        assert np.allclose(sum(u * x for u, x in mix), need) and all((u * lengths).sum() <= 1024 and x > 0 for u, x in mix)
+        assert len(mix) < 20_000
+
+
+def test_ids_are_those_of_the_library():
+    """The faster library with its altered pattern, against the JSON file's own tokenizer."""
+    rng, encode, library = np.random.default_rng(9), P._encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    parts = ["the", " cat", "'s", " 12", "345", "  ", "\n", "\t", " \n ", "é", "中文", "😀", "!?", " ...", "\u00a0", "\u2003", "<|endoftext|>", "don't", "\x00", "_", "ﬁ", "\r\n", "I'LL", "x" * 50]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, int(rng.integers(0, 12))))
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
