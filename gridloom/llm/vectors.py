@@ -24,4 +24,4 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """A list column of equal lengths as a matrix of doubles."""
     flat = column.combine_chunks()
     values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(flat), -1)
+    return values.reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))

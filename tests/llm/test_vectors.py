@@ -66,3 +66,15 @@ def test_search_recall_and_order(spark):
     few = V.search(df.where("vec_id < 5"), df["vec_id"] == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
     assert V.search(df.limit(0), df["vec_id"] == 0).count() == 0
+
+
+def test_several_blocks_give_what_one_gives(spark, monkeypatch):
+    """Blocks as a large table has them: every pair of blocks is compared, no row is lost or met twice."""
+    _, df = table(spark, 5, 400)
+    links = {tuple(r) for r in E.near_duplicates(df).collect()}
+    found = {tuple(r) for r in V.search(df, df["vec_id"] % 20 == 0, verified=1.0).collect()}
+    monkeypatch.setattr(E, "numbered", lambda rows, *_: (rows.count(), 4))
+    assert {tuple(r) for r in E.near_duplicates(df).collect()} == links
+    blocks = iter((3, 2))
+    monkeypatch.setattr(V, "numbered", lambda rows, *_: (rows.count(), next(blocks)))
+    assert {tuple(r) for r in V.search(df, df["vec_id"] % 20 == 0, verified=1.0).collect()} == found
