@@ -7,7 +7,7 @@ trigram model is fitted on a bounded sample of labelled texts: of every language
 distinct whole texts, smallest id hash first. They are counted where they lie; only the counts reach the driver.
 
 Letters are those of any script; marks, digits, dashes and pictures are none. A text without letters has no evidence of its own: its language is null and its confidence 0. Null hosts, suffixes and
-declarations are no evidence. Ties go to the alphabetically first language. Rows repeat as they are given; extra columns
+declarations are no evidence. Texts of any length are read whole, a long one alone. Ties go to the alphabetically first language. Rows repeat as they are given; extra columns
 stay, and an input column named like an output column is replaced. Without labelled texts every language is null.
 """
 
@@ -28,6 +28,8 @@ from gridloom.llm.common import release, small_batches, stored, unused
 from gridloom.llm.wordhash import slices
 
 BITS = 16
+#: In so many parts a language's sample is looked for.
+PARTS = 64
 #: How many trigrams of a text count as one independent observation.
 TEMPER = 6.0
 #: Below so many host rows the prior table is broadcast; above, joined by shuffling.
@@ -69,8 +71,11 @@ def fit(docs: DataFrame, *, per_language: int = 400) -> TrigramModel:
     """From the texts with a known `lang`, all of its values; at most per_language distinct whole texts of each."""
     small_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null and length(text) > 0").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"), "text")
+    # the first of each part of a language, then of these, whose number is bounded, the first of all
+    part = F.pmod("h", F.lit(PARTS))
+    first = known.select("lang", "h", "doc_id", "t", F.row_number().over(Window.partitionBy("lang", part).orderBy("h", "doc_id", "t")).alias("k")).where(F.col("k") <= per_language)
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
-    picked = known.select("lang", "h", "doc_id", "t").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "h", "t").distinct()
+    picked = first.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "h", "t").distinct()
     texts = known.join(F.broadcast(picked), ["lang", "h", "t"]).groupBy("lang", "h", "t").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +114,8 @@ def likelihoods(model: TrigramModel, text: Column) -> Column:
         release()
         return pd.Series(out, dtype=object)
 
-    return of(text)
+    # else a filter on the result would be pushed below it and compute it a second time
+    return of.asNondeterministic()(text)
 
 
 def identify(rows: DataFrame, model: TrigramModel, *, text: Column, declared: Column, host: Column, suffix: Column, drop: tuple[str, ...] = ()) -> DataFrame:
