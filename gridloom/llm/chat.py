@@ -6,8 +6,9 @@ that does not end with an assistant turn gets one more example without a trainab
 The template writes a turn as `[TURN]role` newline `text</s>`. Inside roles and texts the characters with which control
 strings begin are written as entities (`&` first), so no text can forge a mark, and reading back restores it exactly.
 
-Turns are ordered by turn, role and text; repeated rows are turns of their own. Null roles and texts count as empty; rows
-without conv_id form one conversation. Columns beyond conv_id, turn, role and text are not carried. An empty table gives
+Turns are ordered by turn, role and text; repeated rows are turns of their own. Null roles and texts count as empty. Rows
+without conv_id form one conversation, which like any other is one row: a table with very many of them should be given
+ids first. A conversation's examples repeat its earlier turns, so very long conversations grow with the square of their turns. Columns beyond conv_id, turn, role and text are not carried. An empty table gives
 no example.
 """
 

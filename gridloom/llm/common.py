@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import sys
 import tempfile
 import types
@@ -33,18 +35,37 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        own = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, own, True)
+        where = "file://" + own
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, partition: int | None = None) -> DataFrame:
+#: The folders that stored() wrote in this process.
+WRITTEN: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes all that stored() wrote in this process, wherever it lies, and gives the number of folders.
+
+    For after a result is written: results are lazy and read these folders.
+    """
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(WRITTEN)
+    while WRITTEN:
+        place = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        place.getFileSystem(conf).delete(place, True)
+    return n
+
+
+def stored(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts lineage, and every later pass sees the same rows.
 
     Void columns (a column of untyped nulls) become strings, as Parquet has no such type.
     """
     df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -73,13 +94,8 @@ def words_key(text: Column) -> Column:
 
     In Spark's own functions, so that a pass which needs it beside a Python function needs no second Python worker.
     """
-    plain = text
-    for space in "\t\n\x0b\x0c\r":
-        plain = F.replace(plain, F.lit(space), F.lit(" "))
-    # tabs and line feeds are gone by now and serve as marks: of a run of spaces only the outer marks stay
-    for old, new in ((" ", "\t\n"), ("\n\t", ""), ("\t\n", " ")):
-        plain = F.replace(plain, F.lit(old), F.lit(new))
-    plain = F.trim(plain)
+    # the single spaces of ordinary text match nothing and stay
+    plain = F.trim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]{2,}|[\\x09-\\x0D]", " "))
     return F.when(F.length(plain) > 0, F.unhex(F.substring(F.sha2(plain.cast("binary"), 256), 1, 32)))
 
 

@@ -10,7 +10,7 @@ best-fit decreasing, also on the histogram. Pieces then find their place by the
 Ranks need no sort: each tokenising task numbers its own pieces per length, and the running sums over tasks of the
 counts per task and length make the numbers global.
 
-Null and empty texts are documents of a single end token. Repeated rows are packed each on its own. An empty table gives
+Null and empty texts are documents of a single end token; texts of any length are read whole, a batch of texts at a time. Repeated rows are packed each on its own. An empty table gives
 no piece. Extra columns are dropped, except those named in `keep`; names of output columns cannot be kept.
 """
 
@@ -68,6 +68,8 @@ def _encoder(vocabulary: str):
 
 def pieces(docs: DataFrame, *, vocabulary: str, capacity: int = CAPACITY, end: int = END, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep..., piece, start, length, ids, block, rank): ids is binary, four bytes a token; block and rank place the piece."""
+    if taken := {"piece", "start", "length", "ids", "block", "rank"} & {c.lower() for c in keep}:
+        raise ValueError(f"columns of the result cannot be kept: {sorted(taken)}")
     small_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col("text").alias("_text"))
     schema = T.StructType([docs.schema[c] for c in keep])

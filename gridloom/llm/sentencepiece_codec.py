@@ -11,7 +11,7 @@ there, a prefix's last piece is the one that stays apart from the piece before i
 (each prefix has exactly one such piece), so the same pass gives the merges' own result. Which of the two holds is read
 from the model file.
 
-Null and empty texts have no ids. Repeated rows and ties are encoded alike; an input column named like an output column
+Null and empty texts have no ids; texts of any length are coded whole. Repeated rows and ties are encoded alike; an input column named like an output column
 is replaced; an empty table gives an empty result.
 """
 

@@ -12,7 +12,7 @@ of texts, `prior`, were toxic: what a score means depends neither on the sample'
 The fit uses at most `max_toxic` and `max_ordinary` labelled rows (smallest hash of their id first) and a single driver
 process; scoring is one Arrow pass over whole texts without a shuffle.
 
-Null and empty texts have no windows: their features are all zero and they get the calibrated base score of such texts.
+Texts of any length are scored whole. Null and empty texts have no windows: their features are all zero and they get the calibrated base score of such texts.
 Ties, repeated rows and extra columns pass through; an input column named like an output column is replaced.
 If the labels name no row of one of the classes there is nothing to learn: every score is the share of toxic labels
 (0.0 without any label).

@@ -12,7 +12,7 @@ Every pair of a query block and an index block is one task's work; every row is
 query, and the best of these are the result: nearest first, ties to the smaller vec_id.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors of different lengths are
-never compared. Rows without vec_id take no part. Rows of one vec_id are vectors of their own; a query's own row alone is
+never compared. Other columns, whatever their names, are not carried. Rows without vec_id take no part. Rows of one vec_id are vectors of their own; a query's own row alone is
 left out. An empty table gives an empty result.
 """
 
