@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A caller's list of kinds or classes is broadcast up to so many rows; above, it is joined as a table.
+MOST_KINDS = 10_000
+
+
+def _listed(kinds: DataFrame) -> DataFrame:
+    return F.broadcast(kinds) if kinds.limit(MOST_KINDS + 1).count() <= MOST_KINDS else kinds
+
+
 def with_width(lines: DataFrame, widths: DataFrame, kind: str, default: float) -> DataFrame:
-    """lines with width by their kind, or the default; widths(kind, width) is a fixed list of kinds."""
-    return lines.join(F.broadcast(widths.withColumnRenamed("kind", "_kind")), F.col(kind) == F.col("_kind"), "left").drop("_kind").withColumn("width", F.coalesce("width", F.lit(default)))
+    """lines with width by their kind, or the default; widths(kind, width) is a list of kinds."""
+    return lines.join(_listed(widths.withColumnRenamed("kind", "_kind")), F.col(kind) == F.col("_kind"), "left").drop("_kind").withColumn("width", F.coalesce("width", F.lit(default)))
 
 
 def cells_of_box(boxes: DataFrame, width: int, depth: int) -> DataFrame:
@@ -51,10 +59,10 @@ def mosaic(tiles: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def tagged(features: DataFrame, classes: DataFrame) -> DataFrame:
-    """features(id, tags map, ...) with the class of their tags: classes(name, code, key, value, priority) is a fixed list of
-    tag values, counted and small. Of several classes a feature takes the one of the greatest priority."""
+    """features(id, tags map, ...) with the class of their tags: classes(name, code, key, value, priority) is a list of
+    tag values. Of several classes a feature takes the one of the greatest priority."""
     pairs = features.withColumn("_tag", F.explode(F.map_entries("tags")))
-    listed = F.broadcast(classes.select("name", "code", "priority", F.col("key").alias("_k"), F.col("value").alias("_v")))
+    listed = _listed(classes.select("name", "code", "priority", F.col("key").alias("_k"), F.col("value").alias("_v")))
     met = pairs.join(listed, (F.col("_tag.key") == F.col("_k")) & (F.col("_tag.value") == F.col("_v"))).drop("_tag", "_k", "_v")
     rest = [c for c in features.columns if c not in ("id", "tags")]
     best = met.groupBy("id").agg(F.max_by(F.struct("name", "code", "priority", *rest), F.struct("priority", "code")).alias("b"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.dialect import DUCK, SPARK, Dialect, column
@@ -313,7 +313,10 @@ def decor_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: lineitem to cells to noise to weighted blocks to shares."""
     picked = cells(spark, sf_dir).select(column(pick(white_noise("x", "z", 1236), "meadow", names=True)).alias("block"))
-    return picked.groupBy("block").agg(F.count("*").alias("n")).select("block", "n", F.round(F.col("n") / 4096.0, 6).alias("share"))
+    counts = picked.groupBy("block").agg(F.count("*").alias("n"))
+    # the blocks of a zone are few: a window over their counts, not over cells
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return counts.select("block", "n", F.round(F.col("n") / total, 6).alias("share"))
 
 
 _LUMA, _SAT = "0.2126 * r + 0.7152 * g + 0.0722 * b", "(greatest(r, g, b) - least(r, g, b)) / (greatest(r, g, b) + 0.000001)"

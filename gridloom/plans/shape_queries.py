@@ -192,7 +192,7 @@ def mosaic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files.withColumn("content", F.when(F.col("path") == "hm_x20_z20.png", F.lit("broken").cast("binary")).otherwise(F.col("content")))
     bounds = (13, 9, 47, 51)
     tiles = features.source_tiles(spark, bounds, 20, "hm_x{x}_z{z}.png")
-    return features.windowed(binary.png16(files.join(F.broadcast(tiles.select("path")), "path", "left_semi")), tiles, bounds, 2)
+    return features.windowed(binary.png16(files.join(tiles.select("path"), "path", "left_semi")), tiles, bounds, 2)
 
 
 _PLACES = "c_custkey, c_custkey * 37 % 3600 / 10.0 - 180 as lon, c_custkey * 17 % 1600 / 10.0 - 80 as lat"

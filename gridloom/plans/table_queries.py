@@ -21,7 +21,9 @@ def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every class of the dictionary, those without cells too."""
     dim = spark.createDataFrame(list(enumerate([*R.LANDCOVER, "unused"])), "landcover int, name string")
     counts = cells(spark, sf_dir).groupBy("landcover").agg(F.count("*").alias("n"))
-    return dim.join(counts, "landcover", "left").select("landcover", "name", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("n", F.lit(0)) / 4096.0, 6).alias("share"))
+    total = counts.agg(F.sum("n").alias("t"))
+    n = F.coalesce("n", F.lit(0))
+    return dim.join(counts, "landcover", "left").crossJoin(F.broadcast(total)).select("landcover", "name", n.alias("n"), F.round(n / F.col("t"), 6).alias("share"))
 
 
 @query("share_desc", sql("select landcover, count(*) as n, row_number() over (order by count(*) desc, landcover) as place from cells group by landcover"))
@@ -165,7 +167,7 @@ def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wet.groupBy("z").agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
     upto = Window.partitionBy("one").orderBy("z").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = rows.select("z", (F.sum("n").over(upto) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy("one")).alias("m"))
-    ranked = wet.withColumn("r", F.row_number().over(Window.partitionBy("z").orderBy("x"))).join(F.broadcast(starts), "z").withColumn("k", F.col("start") + F.col("r") - 1)
+    ranked = wet.withColumn("r", F.row_number().over(Window.partitionBy("z").orderBy("x"))).join(starts, "z").withColumn("k", F.col("start") + F.col("r") - 1)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.floor((F.col("m") - 1) * i / 9.0))
     return ranked.where(F.array_contains(wanted, F.col("k"))).select("x", "z", "k")
 
