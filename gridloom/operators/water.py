@@ -36,10 +36,11 @@ def _around(a: np.ndarray, diagonal: bool = False):
         yield (4 if dx and dz else 3), np.roll(a, (dx, dz), (0, 1))
 
 
-def chamfer(cells: DataFrame, *, tile: int = 256, halo: int = HALO) -> DataFrame:
+def chamfer(cells: DataFrame, *, tile: int = 1024, halo: int = HALO) -> DataFrame:
     """cells(x, z, water) with `distance` to the nearest land: 1 a cardinal step, 4/3 a diagonal one; 0 on land.
 
-    Distances above the halo are not exact, and infinite where no land is within it.
+    Distances above the halo are not exact, and infinite where no land is within it. Tiles are large beside the halo, as
+    every cell moves once for each tile whose halo it lies in.
     """
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:

@@ -220,7 +220,22 @@ def naturalise_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.naturalise(cells(spark, sf_dir).select("x", "z", "water")).select("x", "z", F.col("natural").alias("water"))
 
 
-@query("lake_levels")
+def _lake_sql(search: int = W.SEARCH, flat: int = 4, relax: int = 4) -> str:
+    """A step of spreading or relaxing after another, each over the four neighbours."""
+    near = [f"{f}(level) over ({ALONG[a]})" for a in ("x", "z") for f in ("lag", "lead")]
+    kept = "x, z, base, water, depth, core"
+    steps = [f"lake0 as (select x, z, base, water, depth, water and depth >= {W.CORE} as core, case when water and depth >= {W.CORE} then base + 1 end as level from (select *, cast(floor(elev / 12) as int) as base from cells))"]
+    for k in range(search):
+        ramp = "least(greatest(base, near - 1), near + 1)"
+        ramp = f"case when abs(base - near) <= 1 then near else {ramp} end" if k < flat else ramp
+        steps.append(f"lake{k + 1} as materialized (select {kept}, case when water and level is null and near is not null then {ramp} else level end as level from (select *, greatest({', '.join(near)}) as near from lake{k}))")
+    for k in range(search, search + relax):
+        moves = "level is not null and not core and low <= high and (level < low or level > high)"
+        steps.append(f"lake{k + 1} as materialized (select {kept}, case when {moves} then least(greatest(level, low), high) else level end as level from (select *, greatest({', '.join(near)}) - 1 as low, least({', '.join(near)}) + 1 as high from lake{k}))")
+    return sql(f"select x, z, base as base_y, water, depth, cast(coalesce(level, base) as int) as y, level is not null as lake from lake{search + relax}", *steps)
+
+
+@query("lake_levels", _lake_sql())
 def lake_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cells(spark, sf_dir).select("x", "z", "water", "depth", F.expr("cast(floor(elev / 12) as int)").alias("base_y"))
     return W.lake_levels(rows)

@@ -220,6 +220,23 @@ def png_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.png16(files).where("error is null").select("path", "x", "z", "px")
 
 
+@query("array_scan", sql("select concat('tile_', x // 16, '_', z // 16, '.npz') as path, name, cast(x % 16 as int) as x, cast(z % 16 as int) as z, value from (select x, z, 'hm' as name, cast(hm as double) as value from cells union all select x, z, 'water', case when water then 1.0 else 0.0 end from cells)"))
+def array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two layers of the grid as compressed array files of 16 x 16 cells, read back."""
+
+    def pack(key, part):
+        import numpy as np
+        import pandas as pd
+
+        layers = {"hm": np.zeros((16, 16), dtype=np.uint16), "water": np.zeros((16, 16), dtype=bool)}
+        for name, layer in layers.items():
+            layer[part["x"] % 16, part["z"] % 16] = part[name]
+        return pd.DataFrame({"path": [f"tile_{key[0]}_{key[1]}.npz"], "content": [binary.array_bytes(layers)]})
+
+    tiles = cells(spark, sf_dir).select("x", "z", "hm", "water").groupBy(F.shiftright("x", 4), F.shiftright("z", 4))
+    return binary.arrays(tiles.applyInPandas(pack, "path string, content binary")).where("error is null").select("path", "name", "x", "z", "value")
+
+
 @query("world_scan", "select n_name as path, concat('world of ', n_name) as name, case when n_nationkey % 2 = 0 then cast(n_nationkey as varchar) end as version from nation")
 def world_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata files of one world a nation, gzipped; some name no version."""

@@ -218,7 +218,21 @@ def mosaic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.mosaic(tiles, "v", "t")
 
 
-@query("utm_points")
+def _utm_sql() -> str:
+    """The forward series, term by term."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    e, big = 2 * n**0.5 / (1 + n), a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    terms = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    sums = [f"({start} + " + " + ".join(f"{c!r} * {p}({2 * k} * xi) * {q}({2 * k} * eta)" for k, c in enumerate(terms, 1)) + ")" for start, p, q in (("eta", "cos", "sinh"), ("xi", "sin", "cosh"))]
+    return f"""with placed as (select c_custkey, (c_custkey * 37 % 3600) / 10 - 180 as lon, (c_custkey * 17 % 1600) / 10 - 80 as lat from customer),
+      zoned as (select *, cast(trunc((lon + 180) / 6) as int) + 1 as zone from placed),
+      bent as (select *, radians(lon - (zone * 6 - 183)) as away, sinh(atanh(sin(radians(lat))) - {e!r} * atanh({e!r} * sin(radians(lat)))) as t from zoned),
+      flat as (select *, atan2(t, cos(away)) as xi, atanh(sin(away) / sqrt(1 + t * t)) as eta from bent)
+      select c_custkey, zone, round(500000 + {0.9996 * big!r} * {sums[0]}, 3) as east, round(case when lat < 0 then 10000000 else 0 end + {0.9996 * big!r} * {sums[1]}, 3) as north from flat"""
+
+
+@query("utm_points", _utm_sql())
 def utm_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' invented places in their zones."""
     who = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", ((F.col("c_custkey") * 37 % 3600) / 10 - 180).alias("lon"), ((F.col("c_custkey") * 17 % 1600) / 10 - 80).alias("lat"))

@@ -434,6 +434,40 @@ def png16(contents: DataFrame) -> DataFrame:
     return contents.select("path", "content").mapInPandas(read, "path string, x int, z int, px int, error string")
 
 
+def array_bytes(arrays: dict[str, np.ndarray], compressed: bool = True) -> bytes:
+    """An .npz file of named arrays; without compression and with one array only, an .npy file."""
+    out = io.BytesIO()
+    if compressed:
+        np.savez_compressed(out, **arrays)
+    else:
+        (only,) = arrays.values()
+        np.save(out, only)
+    return out.getvalue()
+
+
+def arrays(contents: DataFrame) -> DataFrame:
+    """(path, name, x, z, value, error) of the cells of .npz and .npy files' arrays, told by content; the first axis is x, the
+    second z. An array is given out a line of x at a time. Arrays of another number of axes, of objects, and what doesn't
+    decode are rows with their error; an .npy file's array has no name."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, raw in zip(part["path"], part["content"], strict=True):
+                try:
+                    found = np.load(io.BytesIO(raw), allow_pickle=False)
+                    for name in found.files if hasattr(found, "files") else [None]:
+                        own = found if name is None else found[name]
+                        if own.ndim != 2:
+                            raise ValueError(f"{name}: {own.ndim} axes")
+                        for x, line in enumerate(own):
+                            yield pd.DataFrame({"path": path, "name": name, "x": np.int32(x), "z": np.arange(len(line), dtype=np.int32), "value": line.astype(np.float64), "error": None})
+                except BROKEN as e:
+                    none = pd.array([None], "Int32")
+                    yield pd.DataFrame({"path": [path], "name": None, "x": none, "z": none, "value": [np.nan], "error": [f"{type(e).__name__}: {e}"]})
+
+    return contents.select("path", "content").mapInPandas(read, "path string, name string, x int, z int, value double, error string")
+
+
 def png_bytes(px: np.ndarray) -> bytes:
     """A PNG file of an array: two dimensions of 16-bit grey, or three with red, green and blue of 8 bits; lines are stored
     as differences to the line above."""

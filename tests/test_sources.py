@@ -112,11 +112,22 @@ def test_raster_filters_and_broken_files(spark):
     assert {r.path for r in found if r.error} == {"cut", "none", "null", "colour"}
 
 
+def test_array_files(spark):
+    px = np.arange(12, dtype=np.int16).reshape(3, 4)
+    files = [("a", B.array_bytes({"v": px}, compressed=False)), ("b", B.array_bytes({"one": px, "two": px > 5})), ("c", B.array_bytes({"line": px[0]}))]
+    found = B.arrays(spark.createDataFrame([(n, bytearray(r)) for n, r in files], "path string, content binary")).collect()
+    cells = lambda a: {(x, z, float(a[x, z])) for x in range(3) for z in range(4)}
+    for path, name, want in (("a", None, px), ("b", "one", px), ("b", "two", px > 5)):
+        assert {(r.x, r.z, r.value) for r in found if r.path == path and r["name"] == name} == cells(want)
+    assert [r.path for r in found if r.error] == ["c"]
+
+
 def test_broken_containers_are_rows(spark):
     bad = spark.createDataFrame([("a", bytearray(b"no zip")), ("b", None), ("c", bytearray())], "path string, content binary")
     assert {r.path for r in B.archives(bad, "", "", 0).collect() if r.error} == {"a", "b", "c"}
     assert {r.path for r in B.templates(bad).collect() if r.error} == {"a", "b", "c"}
     assert {r.path for r in B.world(bad).collect() if r.error} == {"a", "b", "c"}
+    assert {r.path for r in B.arrays(bad).collect() if r.error} == {"a", "b", "c"}
     assert B.templates(bad.limit(0)).count() == B.png16(bad.limit(0)).count() == 0
 
 
