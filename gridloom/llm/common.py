@@ -89,14 +89,9 @@ def release() -> None:
         pass
 
 
-def words_key(text: Column) -> Column:
-    """128 bits of a text's words, whatever white space of ASCII is between them; null without any.
-
-    In Spark's own functions, so that a pass which needs it beside a Python function needs no second Python worker.
-    """
-    # the single spaces of ordinary text match nothing and stay
-    plain = F.trim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]{2,}|[\\x09-\\x0D]", " "))
-    return F.when(F.length(plain) > 0, F.unhex(F.substring(F.sha2(plain.cast("binary"), 256), 1, 32)))
+def text_key(text: Column) -> Column:
+    """128 bits of a whole text, in Spark's own functions: a pass that joins by it needs no Python worker for that."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
 
 
 def unused(columns: list[str]) -> str:

@@ -27,11 +27,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridloom.llm.common import release, small_batches, stored, unused, words_key
+from gridloom.llm.common import release, small_batches, stored, unused
 from gridloom.llm.components import connected
-from gridloom.llm.wordhash import grams, mix, slices, words
+from gridloom.llm.wordhash import grams, mix, slices, word_keys, words
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
 #: Pivots of a bucket in a turn.
@@ -45,8 +44,8 @@ BROADCAST_KEYS = 1_000_000
 _CDF = np.cumsum([np.exp(-1.0)] + [np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(1, 16)])
 
 
-def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, weight) of the distinct shingles, sorted; texts without words have none."""
+def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]:
+    """(text, hash, weight) of the distinct shingles, sorted, and the key of each text's words, None without any."""
     w = words(texts)
     n = np.diff(w.first)
     g = grams(w.hash, size)
@@ -63,7 +62,7 @@ def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray,
     new[1:] = (of[1:] != of[:-1]) | (value[1:] != value[:-1])
     places = np.flatnonzero(new)
     weight = np.diff(np.append(places, len(of)))
-    return of[places], value[places], weight
+    return of[places], value[places], weight, word_keys(w)
 
 
 def _darts(element: np.ndarray, weight: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,28 +125,49 @@ def _signed(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame
         for whole in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = whole.column("text").to_pylist()
             for a, z in slices(texts, 200_000):
-                of, value, weight = shingles(texts[a:z])
+                of, value, weight, keys = shingles(texts[a:z])
                 sig = signatures(of, value, weight if weighted else np.ones_like(weight), z - a, bands * rows)
                 sizes = np.bincount(of, minlength=z - a).astype(np.int32)
                 lists = [h if n else [] for h, n in zip(_band_hashes(sig, bands), sizes, strict=True)]
-                own = [whole.column(c).slice(a, z - a) for c in ("doc_id", "key")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "key", "size", "buckets"])
+                columns = [whole.column("doc_id").slice(a, z - a), pa.array(keys, pa.binary()), pa.array(sizes), pa.array(lists, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "size", "buckets"])
         release()
 
-    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_key(F.col("text")).alias("key"), "text")
-    return rows_.mapInArrow(sign, "doc_id long, key binary, size int, buckets array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, key binary, size int, buckets array<long>")
 
 
-@F.pandas_udf(T.BinaryType())
-def _sets(texts: pd.Series) -> pd.Series:
-    """The sorted shingle hashes, eight bytes each."""
-    values, out = texts.tolist(), []
-    for a, z in slices(values, 400_000):
-        of, value, _ = shingles(values[a:z])
-        for part in np.split(value.astype("<u8"), np.searchsorted(of, np.arange(1, z - a))):
-            out.append(part.tobytes())
-    release()
-    return pd.Series(out)
+def _keyed_sets():
+    """Of a text, the key of its words and its sorted shingle hashes, eight bytes each.
+
+    Both functions here are marked as not deterministic: a filter on their result would else be pushed below them, and they
+    would be computed a second time, by a second Python worker.
+    """
+
+    @F.pandas_udf("struct<key: binary, set: binary>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        values, keys, sets = texts.tolist(), [], []
+        for a, z in slices(values, 400_000):
+            owner, value, _, own = shingles(values[a:z])
+            keys += own
+            sets += [part.tobytes() for part in np.split(value.astype("<u8"), np.searchsorted(owner, np.arange(1, z - a)))]
+        release()
+        return pd.DataFrame({"key": pd.Series(keys, dtype=object), "set": pd.Series(sets, dtype=object)})
+
+    return of.asNondeterministic()
+
+
+def _keys():
+    """The key of a text's words, as of near_duplicates."""
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        values, out = texts.tolist(), []
+        for a, z in slices(values, 400_000):
+            out += word_keys(words(values[a:z]))
+        release()
+        return pd.Series(out, dtype=object)
+
+    return of.asNondeterministic()
 
 
 def _similar(threshold: float):
@@ -307,7 +327,7 @@ def _shingle_sets(docs: DataFrame, involved: DataFrame) -> DataFrame:
     # an id that rows of different texts share names several classes; the digest of the words tells them apart
     ids = involved.select("first").distinct()
     found = texts.join(_near(ids, ids.count()), "first")
-    keyed = found.select(words_key(F.col("text")).alias("key"), _sets("text").alias("set"))
+    keyed = found.select(_keyed_sets()("text").alias("s")).select("s.key", "s.set")
     return keyed.where("key is not null").groupBy("key").agg(F.first("set").alias("set")).join(involved.select("key", "cid"), "key").select("cid", "set")
 
 
@@ -333,9 +353,9 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     best = rows.groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.sum("n").alias("all")).where("all > 1").select("part", "best")
     met = stored(rows.join(best, "part").withColumn("stays", F.col("best") == F.struct("doc_id", "key")).where("not stays or n > 1").select(F.col("doc_id").alias(id_), F.col("key").alias(key), "stays"))
     gone, again = met.drop("stays"), met.where("stays").drop("stays")
-    left = own.withColumn(key, words_key(F.col("text"))).join(_near(gone, gone.count()), [id_, key], "left_anti").select(docs.columns)
+    left = own.withColumn(key, _keys()("text")).join(_near(gone, gone.count()), [id_, key], "left_anti").select(docs.columns)
     ids, many = again.select(id_).distinct(), again.count()
-    copies = own.join(_near(ids, many), id_, "left_semi").withColumn(key, words_key(F.col("text"))).join(_near(again, many), [id_, key], "left_semi")
+    copies = own.join(_near(ids, many), id_, "left_semi").withColumn(key, _keys()("text")).join(_near(again, many), [id_, key], "left_semi")
     row = F.struct(*docs.columns)
     one = copies.groupBy(id_, key).agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
     return left.unionByName(one)

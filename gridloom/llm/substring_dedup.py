@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import release, small_batches, stored, unused, words_key
+from gridloom.llm.common import release, small_batches, stored, text_key, unused
 from gridloom.llm.fm_index import FMIndex
-from gridloom.llm.wordhash import Words, grams, mix, slices, words
+from gridloom.llm.wordhash import grams, mix, slices, word_keys, Words, words
 
 WINDOW, ANCHOR = 35, 20
 #: A shard's distinct pieces, and those of one route, at most.
@@ -71,7 +71,7 @@ def _by_text(docs: DataFrame, table: DataFrame, entries: str) -> DataFrame:
 
 
 def _anchored(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, key, anchors) of texts with a window at least."""
+    """(doc_id, raw, key, anchors) of texts with a window at least: raw stands for the whole text, key for its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
@@ -82,12 +82,12 @@ def _anchored(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 route = route.view(np.int64)
                 cut = np.searchsorted(owner, np.arange(z - a + 1))
                 lists = [route[p:q] for p, q in zip(cut[:-1], cut[1:], strict=True)]
-                own = [whole.column(c).slice(a, z - a) for c in ("doc_id", "key")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "key", "anchors"])
+                own = [whole.column(c).slice(a, z - a) for c in ("doc_id", "raw")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(word_keys(w), pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "raw", "key", "anchors"])
         release()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_key(F.col("text")).alias("key"), "text").where("text is not null")
-    return rows.mapInArrow(run, "doc_id long, key binary, anchors array<long>").where("size(anchors) > 0")
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("raw"), "text")
+    return rows.mapInArrow(run, "doc_id long, raw binary, key binary, anchors array<long>").where("size(anchors) > 0")
 
 
 def _emit(rows: DataFrame, window: int, anchor: int, bodies: bool) -> DataFrame:
@@ -204,31 +204,35 @@ def _repeated(pieces: DataFrame, window: int, anchor: int, most: int) -> DataFra
 
 
 def repeated_windows(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(key, starts): by the digest of a text's words, the sorted places of its windows that start anywhere else too.
+    """(raw, starts): by the key of a whole text, the sorted places of its windows that start anywhere else too.
 
     A piece has at most window - anchor + 1 windows, so its windows' bits fit a long while that is below 63.
     """
     if not 0 < window - anchor < 62:
         raise ValueError("an anchor is shorter than a window, by 61 words at most")
-    classes = _anchored(docs, window, anchor).groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("anchors").alias("anchors"))
-    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()))
+    # texts of the same words first, by their whole texts: a class's row is that of its smallest text and that one's smallest id
+    texts = _anchored(docs, window, anchor).groupBy("raw", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("anchors").alias("anchors"))
+    texts = stored(texts)
+    classes = texts.groupBy("key").agg(F.min(F.struct("raw", "first")).alias("row"), F.sum("copies").alias("copies"), F.min("anchors").alias("anchors"))
+    classes = stored(classes.select("key", "row.raw", "row.first", "copies", "anchors").withColumn("cid", F.monotonically_increasing_id()))
     placed = classes.select("cid", "copies", F.explode("anchors").alias("route"))
     repeated = placed.groupBy("route").agg(F.sum("copies").alias("n")).where("n > 1").select("route")
     repeated = stored(repeated)
     few = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
     hot = placed.select("cid", "route").join(few, "route").groupBy("cid").agg(F.collect_set("route").alias("hot"))
-    leads = stored(classes.select("cid", "key", "first", "copies").join(hot, "cid").drop("cid"))
-    lead = _by_text(docs, leads, "hot")
-    keyed = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_doc"), "text", words_key(F.col("text")).alias("key"))
-    # a class's text once: from the rows of its smallest id; rows that repeat it whole are told apart by max below
-    rows = keyed.join(lead, "key").where(F.col("_doc").eqNullSafe(F.col("first")))
+    leads = stored(classes.select("cid", "raw", "key", "first", "copies").join(hot, "cid").drop("cid"))
+    lead = _by_text(docs, leads, "hot").withColumnRenamed("raw", "lead")
+    keyed = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_doc"), "text", text_key(F.col("text")).alias("raw"))
+    # a class's text once: from the rows of its smallest id; rows that repeat it whole count more, but are repeated anyway
+    rows = keyed.join(lead, F.col("raw").eqNullSafe(F.col("lead")) & F.col("_doc").eqNullSafe(F.col("first")))
     found = _emit(rows, window, anchor, True)
     per_class = found.groupBy("pid", "route", "body", "windows").agg(F.min("lead").alias("lead"), F.sum("copies").alias("n"))
     pieces = stored(per_class.withColumns({"low": F.lit(0), "high": F.lit(window - anchor)}))
     masks = _repeated(pieces, window, anchor, ROUTE_PIECES)
-    occurs = _emit(keyed.join(lead, "key").where(F.col("_doc").eqNullSafe(F.col("first"))), window, anchor, False).dropDuplicates()
+    occurs = _emit(rows, window, anchor, False).dropDuplicates()
     marked = occurs.join(masks, "pid").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - anchor)))).where("shiftright(bits, k) & 1 = 1")
-    return marked.groupBy("key").agg(F.array_sort(F.collect_list(F.col("first") + F.col("k"))).alias("starts"))
+    starts = marked.groupBy("key").agg(F.array_sort(F.collect_list(F.col("first") + F.col("k"))).alias("starts"))
+    return texts.select("raw", "key").join(starts, "key").select("raw", "starts")
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -253,7 +257,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
     t = unused(docs.columns)
-    keyed = docs.withColumn(f"{t}key", words_key(F.col("text")))
-    met = keyed.join(_by_text(docs, starts, "starts").withColumnsRenamed({"key": f"{t}key2", "starts": f"{t}starts"}), F.col(f"{t}key") == F.col(f"{t}key2"), "left")
+    keyed = docs.withColumn(f"{t}key", text_key(F.col("text")))
+    met = keyed.join(_by_text(docs, starts, "starts").withColumnsRenamed({"raw": f"{t}key2", "starts": f"{t}starts"}), F.col(f"{t}key") == F.col(f"{t}key2"), "left")
     done = met.withColumn(f"{t}kept", kept("text", f"{t}starts"))
     return done.withColumns({c: F.col(f"{t}kept.{c}") for c in ("text", "n_words", "n_removed")}).drop(*[f"{t}{c}" for c in ("key", "key2", "starts", "kept")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,6 +57,12 @@ def words(texts: list[str | None]) -> Words:
     return Words(h, first, start, stop, data)
 
 
+def word_keys(w: Words) -> list[bytes | None]:
+    """128 bits of each text's words, whatever white space is between them; None without any."""
+    raw = w.hash.tobytes()
+    return [hashlib.blake2b(raw[8 * a : 8 * z], digest_size=16).digest() if z > a else None for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """The hash of every n consecutive entries, by position of the first; empty where there are fewer than n."""
     if len(h) < n:
