@@ -31,8 +31,8 @@ from gridloom.llm.common import cached, release, small_batches
 from gridloom.llm.wordhash import slices
 
 MARK = "▁"
-#: Words that a worker remembers between batches.
-REMEMBERED = 700_000
+#: Words and pairs of pieces that a worker remembers between batches; beyond, it begins anew.
+REMEMBERED, REMEMBERED_PAIRS = 500_000, 1_000_000
 
 
 class Codec:
@@ -63,8 +63,9 @@ class Codec:
         self.text[self.unknown] = " ⁇ ".encode()
         self.code = {piece: k.to_bytes(4, "little") for piece, k in self.ids.items()}
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.built: dict[str, bool] = {}
+        #: by a piece and the piece before it; the empty one stands for a word's beginning
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.known = 0
 
     def _separate(self) -> str:
         """A pattern for letters and digits up to a punctuation mark that no piece has behind the last of them.
@@ -96,32 +97,59 @@ class Codec:
         return parts
 
     def _apart(self, a: str, b: str) -> bool:
-        """Whether the merges over a + b end with just these two pieces."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self._merged(a + b) == [a, b]
+        """Whether the merges over a + b end with just these two pieces; without a, whether they build b at all."""
+        found = self._merged(a + b) == ([a, b] if a else [b])
+        if self.known > REMEMBERED_PAIRS:
+            self.pairs.clear()
+            self.known = 0
+        self.pairs.setdefault(a, {})[b] = found
+        self.known += 1
         return found
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes new words in sorted order; states[i] are those of the current word's first i characters."""
-        states: list[tuple[float, str]] = [(0.0, "")]
-        before = ""
+        """Encodes new words in sorted order; last[i] is the last piece of the current word's first i characters, and
+        score[i], for unigram models, their greatest sum of scores."""
+        scores, pairs, reach, code = self.scores, self.pairs, self.reach.get, self.code
+        last, score, before = [""], [0.0], ""
         for word in sorted(words):
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
+            shared, n = 0, len(word)
+            for a, b in zip(before, word, strict=False):
+                if a != b:
+                    break
                 shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                states.append(self._state(word, end, states))
-            parts, end = [], len(word)
+            del last[shared + 1 :]
+            if self.unigram:
+                del score[shared + 1 :]
+            for end in range(shared + 1, n + 1):
+                first = end - reach(word[max(0, end - 3) : end], 2)
+                if self.unigram:
+                    best, piece = score[end - 1] + scores.get(word[end - 1], self.least), word[end - 1]
+                    for start in range(max(0, first), end - 1):
+                        own = scores.get(word[start:end])
+                        if own is not None and score[start] + own > best:
+                            best, piece = score[start] + own, word[start:end]
+                    score.append(best)
+                    last.append(piece)
+                    continue
+                for start in range(first if first > 0 else 0, end):
+                    piece = word[start:end]
+                    if piece in scores or start == end - 1:
+                        # a piece that the merges never build from its own characters doesn't occur
+                        row = pairs.get(last[start])
+                        apart = row.get(piece) if row is not None else None
+                        if apart if apart is not None else self._apart(last[start], piece):
+                            last.append(piece)
+                            break
+                else:
+                    raise AssertionError("every prefix has a segmentation")
+            parts, end = [], n
             while end:
-                parts.append(states[end][1])
-                end -= len(parts[-1])
+                piece = last[end]
+                parts.append(piece)
+                end -= len(piece)
             parts.reverse()
             try:
-                self.words[word] = b"".join(map(self.code.__getitem__, parts))
+                self.words[word] = b"".join([code[piece] for piece in parts])
             except KeyError:
                 self.words[word] = self._with_unknown(parts)
             before = word
@@ -138,34 +166,6 @@ class Codec:
                 ids.append(self.unknown)
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _state(self, word: str, end: int, states: list[tuple[float, str]]) -> tuple[float, str]:
-        scores, lone = self.scores, word[end - 1]
-        first = max(0, end - self.reach.get(word[max(0, end - 3) : end], min(end, 2)))
-        if self.unigram:
-            best = (states[end - 1][0] + scores.get(lone, self.least), lone)
-            for start in range(first, end - 1):
-                score = scores.get(word[start:end])
-                if score is not None and states[start][0] + score > best[0]:
-                    best = (states[start][0] + score, word[start:end])
-            return best
-        pairs, built = self.pairs, self.built
-        for start in range(first, end):
-            piece = word[start:end]
-            if piece not in scores and start < end - 1:
-                continue
-            if start:
-                apart = pairs.get((states[start][1], piece))
-                if apart is None:
-                    apart = self._apart(states[start][1], piece)
-            else:
-                # a piece that the merges never build from its own characters doesn't occur
-                apart = built.get(piece)
-                if apart is None:
-                    apart = built[piece] = self._merged(piece) == [piece]
-            if apart:
-                return (0.0, piece)
-        raise AssertionError("every prefix has a segmentation")
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, four little-endian bytes an id."""
         marked = [self.cut((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
