@@ -105,6 +105,18 @@ def l1_ball_max(cells: DataFrame, value: str, radius: int, into: str) -> DataFra
     return cells.join(reached, ["x", "z"], "left").fillna({into: 0})
 
 
+def kept(cells: DataFrame, condition: Column) -> DataFrame:
+    """cells where the condition holds, tested on the layers as they are.
+
+    A plain filter would be pushed below the ladders that make the layers, and hold a copy of a ladder for each mention of
+    its layer; a column that depends on the row's place, not on its values, keeps the filter above them.
+    """
+    place = "_place"
+    while place in cells.columns:
+        place += "_"
+    return cells.withColumn(place, F.monotonically_increasing_id()).where((F.col(place) >= 0) & condition).drop(place)
+
+
 def halo_tiles(cells: DataFrame, tile: int, halo: int) -> DataFrame:
     """Every cell once for each tile that it lies in or within halo of: columns tx, tz are added."""
     reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / F.lit(tile)), F.floor((F.col(c) + halo) / F.lit(tile))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.dialect import DUCK, SPARK, column
 from gridloom.functions.hashing import bhash
 from gridloom.operators import features, polygons
+from gridloom.operators import grid as G
 from gridloom.operators import points as P
 from gridloom.operators import rules as R
 from gridloom.operators import voxels as V
@@ -155,7 +156,8 @@ _PLANTABLE = R.plantable(_SOIL, "surface = 'mud'", _WET, _SNOWY, "water", "surfa
 @query("plant_zone", sql(f"select x, z, zone from (select x, z, {R.plant_zone('surface', _WET, 'p', 'elev')} as zone from painted where {_PLANTABLE}) where zone is not null", SLOPES_SQL, SURFACE_SQL))
 def plant_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where low plants may grow, and the zone whose plants they are."""
-    return painted(spark, sf_dir).where(column(_PLANTABLE)).select("x", "z", column(R.plant_zone("surface", _WET, "p", "elev")).alias("zone")).where("zone is not null")
+    rows = painted(spark, sf_dir).withColumn("zone", column(R.plant_zone("surface", _WET, "p", "elev")))
+    return G.kept(rows, column(_PLANTABLE) & F.col("zone").isNotNull()).select("x", "z", "zone")
 
 
 _BED_RGB = lambda d: {c: R.lakebed_colour(k, "bed", "depth", "plant", "water", d) for k, c in enumerate("rgb")}
