@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, embedding_dedup, language, near_dedup, packing, sentencepiece_codec, sharding, substring_dedup, toxicity, vector_search
+from gridloom.llm import chat, embedding_dedup, language, near_dedup, oracles, packing, sentencepiece_codec, sharding, substring_dedup, toxicity, vector_search
 from gridloom.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +66,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, sharding.topology(24), sharding.topology(25)).withColumn("law", F.lit("key"))
 
 
-@_query("op4_chat_formatting")
+@_query("op4_chat_formatting", oracles.CHAT)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations and one with forged marks; what it returns is read back from the examples."""
     roles = F.when(F.col("id") == 0, "user").otherwise("assistant")
@@ -100,7 +100,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@_query("op7_minhash_near_dedup")
+@_query("op7_minhash_near_dedup", oracles.NEAR)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document at a similarity of 0.8 over five-word shingles."""
     found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -124,13 +124,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-@_query("op10_embedding_dedup")
+@_query("op10_embedding_dedup", oracles.VECTORS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.95."""
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-@_query("op5_substring_dedup")
+@_query("op5_substring_dedup", oracles.SUBSTRINGS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of windows of 35 words that start anywhere else too."""
     done = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))

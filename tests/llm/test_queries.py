@@ -1,13 +1,17 @@
 """Queries against plain Python over every row."""
 
+import os
 import re
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from gridloom.llm import language, sharding, toxicity
-from gridloom.llm.queries import QUERIES
+from gridloom.llm.queries import ORACLES, QUERIES
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +90,15 @@ def test_language_posteriors(spark):
             score = score + np.log((n + 5 * np.array([0.9 if m == said else 0.1 / (len(names) - 1) for m in names])) / (total + 5))
         odds = np.exp(score - score.max())
         assert got[page].language == names[int(np.argmax(score))] and abs(got[page].confidence - 1 / odds.sum()) < 1e-4, page
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_like_its_sql(spark, name):
+    duck = duckdb.connect()
+    for file in os.listdir(SF):
+        duck.execute(f"create view {file.removesuffix('.parquet')} as select * from '{SF}/{file}'")
+    want = duck.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(want.fetchall())
