@@ -24,9 +24,9 @@ WORD = "[^\x20\x09-\x0d]+"
 BATCH_BYTES = 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bounds Arrow batches by bytes, from now on and for the whole session: 10,000 rows may be texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -32,7 +32,9 @@ from gridloom.llm.wordhash import slices
 
 MARK = "▁"
 #: Words and pairs of pieces that a worker remembers between batches; beyond, it begins anew.
-REMEMBERED, REMEMBERED_PAIRS = 500_000, 1_000_000
+REMEMBERED, REMEMBERED_PAIRS = 1_000_000, 1_000_000
+#: Bytes of a batch: words of more texts, sorted together, share more prefixes.
+BATCH = 16 << 20
 
 
 class Codec:
@@ -218,7 +220,7 @@ def _model_type(model_file: str) -> int:
 
 def encode(docs: DataFrame, model_file: str, *, text: str = "text", into: str = "ids") -> DataFrame:
     """docs with the ids of the whole text, as binary, four little-endian bytes an id."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
 
     @F.pandas_udf("binary")
     def ids_of(texts: pd.Series) -> pd.Series:
@@ -234,7 +236,7 @@ def encode(docs: DataFrame, model_file: str, *, text: str = "text", into: str =
 
 def decode(docs: DataFrame, model_file: str, *, ids: str = "ids", into: str = "text") -> DataFrame:
     """docs with the text of the ids that encode wrote."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
 
     @F.pandas_udf("string")
     def text_of(values: pd.Series) -> pd.Series:
