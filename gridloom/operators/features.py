@@ -6,6 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def raster_info(cells: DataFrame, value: str, metres: float, y_low: int, y_high: int) -> DataFrame:
+    """One row (info, meta) beside a raster of heights: a text for people and a JSON object for programs.
+
+    metres: how wide a cell is; heights lie between y_low and y_high once scaled. The extent is that of the cells.
+    """
+    ends = cells.agg(F.min(value).alias("low"), F.max(value).alias("high"), (F.max("x") - F.min("x") + 1).alias("wide"), (F.max("z") - F.min("z") + 1).alias("deep"))
+    each = (F.col("high") - F.col("low")) / (y_high - y_low)
+    lines = [
+        F.format_string("size %d x %d", "wide", "deep"), F.lit(f"y {y_low} to {y_high}"), F.format_string("horizontal 1 block = %.2f m", F.lit(metres)), F.format_string("vertical 1 block = %.2f m", each),
+        F.format_string("%.0f m is y %d", "low", F.lit(y_low)), F.format_string("%.0f m is y %d", "high", F.lit(y_high)),
+    ]
+    meta = F.to_json(F.struct(F.round("low", 3).alias("elev_min_m"), F.round("high", 3).alias("elev_max_m"), F.lit(y_low).alias("y_min"), F.lit(y_high).alias("y_max"), F.lit(metres).alias("meters_per_block_h"), F.round(each, 6).alias("meters_per_block_v"), F.col("wide").alias("grid")))
+    return ends.select(F.concat_ws("\n", *lines).alias("info"), meta.alias("meta"))
+
+
 #: A caller's list of kinds or classes is broadcast up to so many rows; above, it is joined as a table.
 MOST_KINDS = 10_000
 

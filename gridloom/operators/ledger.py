@@ -20,6 +20,11 @@ def record(tiles: DataFrame, path: str) -> None:
     tiles.select("tile_key").distinct().write.mode("append").parquet(path)
 
 
+def persist_sorted(done: DataFrame, path: str) -> None:
+    """Writes the ledger's keys as text, each once and in order; the files' order is the keys'."""
+    done.select("tile_key").distinct().orderBy("tile_key").write.mode("overwrite").text(path)
+
+
 def check_signature(spark: SparkSession, path: str, signature: str) -> None:
     """Refuses a ledger that was begun with another signature; begins one that isn't there."""
     from pyspark.errors import AnalysisException

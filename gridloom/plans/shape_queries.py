@@ -179,6 +179,15 @@ def rgb_shaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return painted(spark, sf_dir).select("x", "z", *[column(e).alias(c) for c, e in _SHADED(SPARK).items()])
 
 
+@query("raster_info", sql("""select concat_ws(chr(10), printf('size %d x %d', 64, 64), 'y -40 to 300', 'horizontal 1 block = 4.00 m', printf('vertical 1 block = %.2f m', (high - low) / 340), printf('%.0f m is y -40', low), printf('%.0f m is y 300', high)) as info,
+  round(low, 3) as elev_min_m, round(high, 3) as elev_max_m, round((high - low) / 340, 6) as meters_per_block_v, 64 as grid from (select min(elev) as low, max(elev) as high from cells)"""))
+def raster_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands beside a heightmap: its text, and numbers read back from its JSON."""
+    made = features.raster_info(cells(spark, sf_dir), "elev", 4.0, R.Y_MIN, R.Y_MAX)
+    read = F.from_json("meta", "elev_min_m double, elev_max_m double, meters_per_block_v double, grid int")
+    return made.select("info", read.alias("m")).select("info", "m.*")
+
+
 @query("resize_nearest", sql("select cast(a.range as int) as x, cast(b.range as int) as z, landcover from range(25) a cross join range(25) b join cells c on c.x = cast(floor((a.range + 0.5) * 64 / 25) as int) and c.z = cast(floor((b.range + 0.5) * 64 / 25) as int)"))
 def resize_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The landcover at 25 x 25: of each new cell the old one at its middle."""

@@ -152,6 +152,13 @@ def test_ledger_resumes(spark, tmp_path):
         ledger.check_signature(spark, str(tmp_path / "meta"), "two")
 
 
+def test_ledgers_are_written_sorted_and_once(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{k % 30},{k % 7}",) for k in range(500)], "tile_key string").repartition(4)
+    ledger.persist_sorted(rows, str(tmp_path / "keys"))
+    lines = [line for file in sorted((tmp_path / "keys").glob("part-*")) for line in file.read_text().split()]
+    assert lines == sorted({f"{k % 30},{k % 7}" for k in range(500)})
+
+
 def test_tiles_as_a_stream(spark, tmp_path):
     seen, source = [], str(tmp_path / "in")
     work = lambda part: seen.extend(r.x0 for r in part.collect())
