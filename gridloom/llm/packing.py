@@ -239,6 +239,7 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     starts = counts.select("block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = solve(histogram, capacity)
+    release()
     by_length: dict[int, list[tuple[int, ...]]] = {}
     for length, *run in plan.runs:
         by_length.setdefault(length, []).append(tuple(run))

@@ -194,7 +194,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_toxic:
         found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
         rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
         sides.append([r.text for r in rows.select("text").toLocalIterator()])
-    return train(*sides, most_windows=most_windows, most_beginnings=most_beginnings, prior=prior)
+    model = train(*sides, most_windows=most_windows, most_beginnings=most_beginnings, prior=prior)
+    del sides
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", into: str = "score") -> DataFrame:
