@@ -137,7 +137,8 @@ def _mixture(lengths: np.ndarray, need: np.ndarray, capacity: int, step: float,
     A length's weight is its share of a sequence, times a factor that falls as its need gets covered. With these weights the
     knapsack prices configurations: for the `each` lengths whose cover lags most, the best one that holds each of them. A
     configuration is used for `step` of what its scarcest length still needs, and for all of it where that is little, so
-    the number of rounds depends on the number of lengths and not on their needs.
+    the number of rounds depends on the number of lengths and not on their needs. Thousands of configurations are kept at
+    once, so their counts, of which none is above the capacity, take two bytes each.
     """
     covered, mix = np.zeros(len(need)), []
     need = need.astype(float)
@@ -163,7 +164,7 @@ def _mixture(lengths: np.ndarray, need: np.ndarray, capacity: int, step: float,
             times = left[scarce] / use[scarce]
             if times > 1 and left[scarce] > 0.01 * need[scarce]:
                 times *= step
-            mix.append((use, times))
+            mix.append((use.astype(np.uint16), times))
             covered = covered + use * times
     return mix
 
@@ -175,8 +176,15 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     need = np.array([histogram[n] for n in lengths], dtype=np.int64)
     if not len(lengths):
         return Plan((), 0, 0.0)
-    plans = (_rounded(lengths, need, capacity, mix, share) for mix in (_mixture(lengths, need, capacity, *m) for m in MIXTURES) for share in SHARES)
-    return min(plans, key=lambda p: (p.sequences, -p.by_program))
+    best = None
+    for m in MIXTURES:
+        mix = _mixture(lengths, need, capacity, *m)
+        for share in SHARES:
+            plan = _rounded(lengths, need, capacity, mix, share)
+            if best is None or (plan.sequences, -plan.by_program) < (best.sequences, -best.by_program):
+                best = plan
+        del mix  # before the next one is made: the driver holds one mixture at a time
+    return best
 
 
 def _rounded(lengths: np.ndarray, need: np.ndarray, capacity: int, mix: list[tuple[np.ndarray, float]], share: float) -> Plan:
@@ -198,12 +206,14 @@ def _rounded(lengths: np.ndarray, need: np.ndarray, capacity: int, mix: list[tup
         left = left - use * times
 
     carried: dict[bytes, float] = {}
-    for use, times in mix:
+    for narrow, times in mix:
+        use = narrow.astype(np.int64)
         if (use * lengths).sum() != capacity:
             continue
         if sequence * capacity >= share * volume:
             break
-        key, used = use.tobytes(), np.flatnonzero(use)
+        used = np.flatnonzero(use)
+        key = np.concatenate([used, use[used]]).astype("<u2").tobytes()
         carried[key] = carried.get(key, 0.0) + times
         whole = min(int(carried[key] + 1e-9), int((left[used] // use[used]).min()))
         if whole > 0:

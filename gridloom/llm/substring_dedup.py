@@ -13,7 +13,7 @@ occur more than once need no search. A route with more pieces than a shard may h
 the anchor's place in the window, and as windows of either half share more words than the anchor, those words make new
 routes. Splitting goes on until every route fits, at the latest when a route is a single window; all are searched alike.
 
-Cover. Repeated windows come back to their texts as intervals of words to remove. Texts of the same words are one class
+Cover. Repeated windows come back to their texts as runs, each an interval of words to remove. Texts of the same words are one class
 and take part once, with their number.
 
 Words are compared by 64-bit hashes when anchors are chosen and by 48 of their bits inside a route.
@@ -204,16 +204,19 @@ def _repeated(pieces: DataFrame, window: int, anchor: int, most: int) -> DataFra
 
 
 def repeated_windows(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(raw, starts): by the key of a whole text, the sorted places of its windows that start anywhere else too.
+    """(raw, runs): by the key of a whole text, the runs of its windows that start anywhere else too.
+
+    Runs are (first window's place, windows) one after another, sorted: a passage is two numbers, however long it is.
 
     A piece has at most window - anchor + 1 windows, so its windows' bits fit a long while that is below 63.
     """
     if not 0 < window - anchor < 62:
         raise ValueError("an anchor is shorter than a window, by 61 words at most")
     # texts of the same words first, by their whole texts: a class's row is that of its smallest text and that one's smallest id
-    texts = _anchored(docs, window, anchor).groupBy("raw", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("anchors").alias("anchors"))
-    texts = stored(texts)
-    classes = texts.groupBy("key").agg(F.min(F.struct("raw", "first")).alias("row"), F.sum("copies").alias("copies"), F.min("anchors").alias("anchors"))
+    texts = stored(_anchored(docs, window, anchor))
+    # a row without an id stands for its class only where no row of the smallest text has one
+    ranked = F.struct("raw", F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first"))
+    classes = texts.groupBy("key").agg(F.min(ranked).alias("row"), F.count("*").alias("copies"), F.first("anchors").alias("anchors"))
     classes = stored(classes.select("key", "row.raw", "row.first", "copies", "anchors").withColumn("cid", F.monotonically_increasing_id()))
     placed = classes.select("cid", "copies", F.explode("anchors").alias("route"))
     repeated = placed.groupBy("route").agg(F.sum("copies").alias("n")).where("n > 1").select("route")
@@ -221,35 +224,50 @@ def repeated_windows(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANC
     few = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
     hot = placed.select("cid", "route").join(few, "route").groupBy("cid").agg(F.collect_set("route").alias("hot"))
     leads = stored(classes.select("cid", "raw", "key", "first", "copies").join(hot, "cid").drop("cid"))
-    lead = _by_text(docs, leads, "hot").withColumnRenamed("raw", "lead")
+    near = _by_text(docs, leads, "hot")
+    lead = near.withColumnRenamed("raw", "lead")
     keyed = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_doc"), "text", text_key(F.col("text")).alias("raw"))
     # a class's text once: from the rows of its smallest id; rows that repeat it whole count more, but are repeated anyway
     rows = keyed.join(lead, F.col("raw").eqNullSafe(F.col("lead")) & F.col("_doc").eqNullSafe(F.col("first")))
+    if near is leads:  # joined by shuffling all texts: once, as both passes below read the few that are left
+        rows = stored(rows.select("key", "text", "hot", "copies"))
     found = _emit(rows, window, anchor, True)
     per_class = found.groupBy("pid", "route", "body", "windows").agg(F.min("lead").alias("lead"), F.sum("copies").alias("n"))
     pieces = stored(per_class.withColumns({"low": F.lit(0), "high": F.lit(window - anchor)}))
     masks = _repeated(pieces, window, anchor, ROUTE_PIECES)
     occurs = _emit(rows, window, anchor, False).dropDuplicates()
-    marked = occurs.join(masks, "pid").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - anchor)))).where("shiftright(bits, k) & 1 = 1")
-    starts = marked.groupBy("key").agg(F.array_sort(F.collect_list(F.col("first") + F.col("k"))).alias("starts"))
-    return texts.select("raw", "key").join(starts, "key").select("raw", "starts")
+    marked = occurs.join(masks, "pid").where("bits <> 0").groupBy("key").agg(F.flatten(F.collect_list(F.array(F.col("first").cast("long"), "bits"))).alias("marks"))
+    runs = marked.select("key", F.pandas_udf(_runs, "array<int>")("marks").alias("runs"))
+    return texts.select("raw", "key").distinct().join(runs, "key").select("raw", "runs")
+
+
+def _runs(marks: pd.Series) -> pd.Series:
+    """The runs of marks: (a piece's first window, the bits of its repeated windows) one after another, in any order."""
+    out = []
+    for flat in marks:
+        first, bits = np.asarray(flat, dtype=np.int64).reshape(-1, 2).T
+        at = np.unique(np.concatenate([first[piece] + k for k in range(62) for piece in [np.flatnonzero(bits >> k & 1)]]))
+        new = np.flatnonzero(np.diff(at, prepend=at[0] - 2) > 1)
+        out.append(np.column_stack([at[new], np.diff(np.append(new, len(at)))]).ravel().astype(np.int32))
+    return pd.Series(out, dtype=object)
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """docs with text reduced to the kept words, and n_words, n_removed."""
     small_batches(docs.sparkSession)
-    starts = stored(repeated_windows(docs, window=window, anchor=anchor))
+    runs = stored(repeated_windows(docs, window=window, anchor=anchor))
 
     @F.pandas_udf("struct<text: string, n_words: long, n_removed: long>")
-    def kept(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    def kept(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
         out = []
-        for text, at in zip(texts, starts, strict=True):
+        for text, own in zip(texts, runs, strict=True):
             found = text.encode("utf-8", "surrogatepass").split() if text else []
             n = len(found)
-            if at is not None and len(at):
+            if own is not None and len(own):
+                at, windows = np.asarray(own, dtype=np.int64).reshape(-1, 2).T
                 edge = np.zeros(n + 1, dtype=np.int64)
-                np.add.at(edge, np.asarray(at, dtype=np.int64), 1)
-                np.add.at(edge, np.asarray(at, dtype=np.int64) + window, -1)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + windows - 1 + window, -1)
                 keep = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                 found = [found[k] for k in keep]
             out.append((b" ".join(found).decode("utf-8", "surrogatepass"), n, n - len(found)))
@@ -258,6 +276,6 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
 
     t = unused(docs.columns)
     keyed = docs.withColumn(f"{t}key", text_key(F.col("text")))
-    met = keyed.join(_by_text(docs, starts, "starts").withColumnsRenamed({"raw": f"{t}key2", "starts": f"{t}starts"}), F.col(f"{t}key") == F.col(f"{t}key2"), "left")
-    done = met.withColumn(f"{t}kept", kept("text", f"{t}starts"))
-    return done.withColumns({c: F.col(f"{t}kept.{c}") for c in ("text", "n_words", "n_removed")}).drop(*[f"{t}{c}" for c in ("key", "key2", "starts", "kept")])
+    met = keyed.join(_by_text(docs, runs, "runs").withColumnsRenamed({"raw": f"{t}key2", "runs": f"{t}runs"}), F.col(f"{t}key") == F.col(f"{t}key2"), "left")
+    done = met.withColumn(f"{t}kept", kept("text", f"{t}runs"))
+    return done.withColumns({c: F.col(f"{t}kept.{c}") for c in ("text", "n_words", "n_removed")}).drop(*[f"{t}{c}" for c in ("key", "key2", "runs", "kept")])

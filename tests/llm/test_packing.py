@@ -1,4 +1,5 @@
-from collections import defaultdict
+import tracemalloc
+from collections import Counter, defaultdict
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -74,6 +75,26 @@ def test_mixtures_cover_every_need_once():
         assert len(mix) < 20_000
 
 
+def test_mixtures_stay_small_and_their_plans_whole():
+    """The driver holds thousands of configurations at once; their narrow counts must not overflow where ranks are added up."""
+    rng = np.random.default_rng(12)
+    lengths = np.sort(rng.choice(np.arange(1, 1025), 120, replace=False))
+    need = rng.integers(70_000, 10**6, 120)
+    tracemalloc.start()
+    plan = P.solve(dict(zip(lengths.tolist(), need.tolist(), strict=True)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6, peak
+    starts = sorted({r[3] for r in plan.runs}) + [plan.sequences]
+    times = dict(zip(starts, np.diff(starts).tolist(), strict=False))
+    given, volume = Counter(), Counter()
+    for length, rank, each, sequence, _ in plan.runs:
+        assert rank == given[length]
+        given[length] += each * times[sequence]
+        volume[sequence] += each * length
+    assert given == dict(zip(lengths.tolist(), need.tolist(), strict=True)) and max(volume.values()) <= 1024
+
+
 def test_ids_are_those_of_the_library():
     """The faster library with its altered pattern, against the JSON file's own tokenizer."""
     rng, encode, library = np.random.default_rng(9), P._encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)

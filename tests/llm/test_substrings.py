@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from gridloom.llm import fm_index
@@ -53,3 +54,12 @@ def test_awkward_rows(spark, awkward, nothing):
     assert len(got) == awkward.count()
     assert Counter((r.text, r.n_words, r.n_removed) for r in got) == Counter(plain([r.text for r in awkward.collect()], S.WINDOW))
     assert S.remove_repeats(nothing).count() == 0
+
+
+def test_a_long_passage_is_one_run(spark):
+    """What is repeated goes to the texts as runs: an entry a window outgrew the bound for broadcasting, and all texts were shuffled."""
+    passage, own = " ".join(f"p{k}" for k in range(400)), " ".join(f"o{k}" for k in range(40))
+    texts = {1: f"{own} {passage}", 2: f"{passage} end", 3: f"{passage.replace('p200', 'else')} {own}", 4: own}
+    runs = S.repeated_windows(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert sorted(r.runs for r in runs) == sorted([[0, 6, 40, 366], [0, 366], [0, 166, 201, 165, 400, 6], [0, 6]])
+    assert S._runs(pd.Series([np.array([40, 5, 0, 3, 2, 1, 100, 2**61])])).tolist()[0].tolist() == [0, 3, 40, 1, 42, 1, 161, 1]
