@@ -27,50 +27,80 @@ from gridloom.llm.common import release, stored
 from gridloom.llm.vectors import matrix, numbered, usable
 
 PROJECTIONS, COLLIDE, WIDEN, START = 96, 0.6, 1.12, 0.8
-#: Queries whose counts a task holds at a time.
+#: Queries whose windows a task looks up together.
 AT_ONCE = 64
+#: Rows of a block that are sorted together: their ranks are 16-bit numbers. Windows are ranges of projections, so slices collide as one.
+RANKED = 65_536
 #: The share of a block's vectors that a query verifies at least.
 VERIFIED = 0.12
 
 
 class CollisionIndex:
-    """Sorted projections of a block of vectors."""
+    """Sorted projections of a block of vectors, in slices, and every vector's rank in each."""
 
     def __init__(self, vectors: np.ndarray, longest: float, projections: int = PROJECTIONS, seed: int = 7):
         self.vectors, self.single, self.longest = vectors, vectors.astype(np.float32), longest
         unit = vectors / longest
         rest = np.sqrt(np.maximum(0.0, 1 - (unit * unit).sum(axis=1)))
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
-        projected = (np.column_stack([unit, rest]) @ self.directions).T
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        projected = self.directions.T @ np.column_stack([unit, rest]).T
+        self.sorted = [projected[:, a : a + RANKED].copy() for a in range(0, max(1, len(vectors)), RANKED)]
+        self.ranks = [np.empty(part.shape, np.uint16) for part in self.sorted]
+        for part, ranks in zip(self.sorted, self.ranks, strict=True):
+            for values, rank in zip(part, ranks, strict=True):
+                order = np.argsort(values)
+                rank[order] = np.arange(len(order), dtype=np.uint16)
+                values[:] = values[order]
+
+    def windows(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each query, slice and projection, the first rank around the query's own projection and the number of them."""
+        edge = lambda at, side: np.array([[np.searchsorted(s, c, side=side) for s, c in zip(part, at.T, strict=True)] for part in self.sorted])
+        first, past = edge(centres - half, "left"), edge(centres + half, "right")
+        return np.moveaxis(first, 2, 0), np.moveaxis(past - first, 2, 0)
+
+    def colliding(self, first: np.ndarray, width: np.ndarray, need: int) -> np.ndarray:
+        """The rows whose ranks are in at least `need` of one query's windows.
+
+        A window is a run of ranks, so each array takes three passes over its ranks instead of a step for each row in the
+        window; a rank below the window wraps to a number above its width.
+        """
+        found = []
+        for ranks, starts, widths in zip(self.ranks, first, width, strict=True):
+            m, n = ranks.shape
+            above, inside, count = np.empty(n, np.uint16), np.empty(n, np.bool_), np.zeros(n, np.min_scalar_type(m))
+            for k in np.flatnonzero(widths):
+                np.subtract(ranks[k], np.uint16(starts[k]), out=above)
+                np.less_equal(above, np.uint16(widths[k] - 1), out=inside)
+                np.add(count, inside.view(np.uint8), out=count)
+            found.append(np.flatnonzero(count >= need) + RANKED * len(found))
+        return np.concatenate(found)
 
     def candidates(self, queries: np.ndarray, least: int, collide: float = COLLIDE, widen: float = WIDEN):
-        """For each query, its number and the rows that collide with it in enough arrays, once at least `least` do."""
-        m, n = self.sorted.shape
+        """For each query, its number and the rows that collide with it in enough arrays, once at least `least` do.
+
+        Windows only grow, so the first that suffice are looked for from where the query before found its own.
+        """
+        m, n = self.directions.shape[1], len(self.vectors)
         centres = queries / np.linalg.norm(queries, axis=1)[:, None] @ self.directions[:-1]
-        need, least = int(np.ceil(collide * m)), min(least, n)
-        low = np.stack([np.searchsorted(s, c) for s, c in zip(self.sorted, centres.T, strict=True)])
-        high, live, half = low.copy(), np.arange(len(queries)), START
-        counts = {}
-        while len(live):
-            around = [(np.searchsorted(s, c - half, side="left"), np.searchsorted(s, c + half, side="right")) for s, c in zip(self.sorted, centres[live].T, strict=True)]
-            a, z = np.stack([x[0] for x in around]), np.stack([x[1] for x in around])
-            a, z = np.minimum(a, low[:, live]), np.maximum(z, high[:, live])
-            stay = []
-            for k, query in enumerate(live):
-                left, right = zip(low[:, query].tolist(), a[:, k].tolist(), strict=True), zip(high[:, query].tolist(), z[:, k].tolist(), strict=True)
-                new = [o[to:at] for o, (at, to) in zip(self.order, left, strict=True)] + [o[at:to] for o, (at, to) in zip(self.order, right, strict=True)]
-                count = counts.pop(query, 0) + np.bincount(np.concatenate(new), minlength=n)
-                found = np.flatnonzero(count >= need)
-                if len(found) >= least or (a[:, k] == 0).all() and (z[:, k] == n).all():
-                    yield int(query), found
-                else:
-                    counts[query] = count.astype(np.int16)
-                    stay.append(k)
-            low[:, live], high[:, live] = a, z
-            live = live[stay]
-            half *= widen
+        need, least = min(m, int(np.ceil(collide * m))), min(least, n)
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        step = 0
+
+        def at(query: int, step: int) -> np.ndarray:
+            if step not in known:
+                known[step] = self.windows(centres, START * widen**step)
+            return self.colliding(known[step][0][query], known[step][1][query], need)
+
+        for query in range(len(queries)):
+            found = at(query, step)
+            if len(found) < least:
+                while len(found) < least:
+                    step += 1
+                    found = at(query, step)
+            else:
+                while step and len(fewer := at(query, step - 1)) >= least:
+                    found, step = fewer, step - 1
+            yield query, found
 
 
 def best(index: CollisionIndex, ids: np.ndarray, rows: np.ndarray, own: int, query: np.ndarray, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +126,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, verified: float
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     longest = rows.agg(F.max(length).alias("m")).first().m or 1.0
     n, blocks = numbered(rows, 65_536, 262_144, 64.0)
-    asked, asking = numbered(rows.where("asks"), 256, 16_384, 4.0)
+    asked, asking = numbered(rows.where("asks"), 512, 16_384, 8.0)
     spread = lambda c, m: F.pmod(F.xxhash64(F.col(c)), F.lit(m)).cast("int")
     index = rows.withColumns({"x": spread("row", blocks), "q": F.explode(F.sequence(F.lit(0), F.lit(asking - 1))), "asks": F.lit(False)})
     queries = rows.where("asks").withColumns({"q": spread("row", asking), "x": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "asks": F.lit(True)})

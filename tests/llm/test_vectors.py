@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from gridloom.llm import embedding_dedup as E
@@ -78,3 +80,44 @@ def test_several_blocks_give_what_one_gives(spark, monkeypatch):
     blocks = iter((3, 2))
     monkeypatch.setattr(V, "numbered", lambda rows, *_: (rows.count(), next(blocks)))
     assert {tuple(r) for r in V.search(df, df["vec_id"] % 20 == 0, verified=1.0).collect()} == found
+
+
+def collisions(index, query, least):
+    """What collides with a query in three fifths of the arrays, counted from the projections as they are."""
+    x = np.column_stack([index.vectors / index.longest, np.sqrt(np.maximum(0, 1 - (index.vectors**2).sum(axis=1) / index.longest**2))])
+    apart, half = np.abs((x - np.append(query / np.linalg.norm(query), 0)) @ index.directions), V.START
+    while (found := np.flatnonzero((apart <= half).sum(axis=1) >= np.ceil(V.COLLIDE * V.PROJECTIONS))).size < least:
+        half *= V.WIDEN
+    return found.tolist()
+
+
+def test_candidates_are_the_colliding_rows(monkeypatch):
+    """In one slice, a full one and several, with copies, whatever queries were asked before."""
+    for n, ranked in ((1, 65_536), (40, 65_536), (3000, 65_536), (3000, 1000), (3000, 1024), (65_536, 65_536), (65_537, 65_536)):
+        monkeypatch.setattr(V, "RANKED", ranked)
+        v = np.random.default_rng(n).standard_normal((n, 16)) * np.linspace(0.2, 2, n)[:, None]
+        v[n // 2 : n // 2 + n // 5] = v[n // 2]
+        index = V.CollisionIndex(v, float(np.sqrt((v * v).sum(axis=1)).max()))
+        queries, least = v[:: max(1, n // 5)], max(1, n // 8)
+        want = [collisions(index, q, least) for q in queries]
+        assert {k: found.tolist() for k, found in index.candidates(queries, least)} == dict(enumerate(want))
+        assert {k: found.tolist() for k, found in index.candidates(queries[::-1], least)} == dict(enumerate(want[::-1]))
+
+
+def test_counting_costs_less_than_a_step_for_each_collision():
+    """Counting row numbers out of the windows, as it was done, is the sum of bincount's time and more."""
+    n, q = 40_000, 64
+    v = np.random.default_rng(2).standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    index = V.CollisionIndex(v, 1.0)
+    times, sums = [], []
+    for _ in range(3):
+        began = time.process_time()
+        assert len(list(index.candidates(v[:q], n // 8))) == q
+        times.append(time.process_time() - began)
+        inside = np.random.default_rng(3).integers(0, n, V.PROJECTIONS * n // 2).astype(np.int32)
+        began = time.process_time()
+        for _ in range(q):
+            np.bincount(inside, minlength=n)
+        sums.append(time.process_time() - began)
+    assert min(times) < 1.2 * min(sums)
